@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, mixing, sharding
+from broadsheet.llm import exact_dedup, mixing, packing, sharding, token_counts
 from broadsheet.llm.common import table
 
 
@@ -28,6 +28,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the same package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = token_counts.token_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return report.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -36,6 +53,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_packing": op6_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
 }
 
