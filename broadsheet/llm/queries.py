@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, mixing, packing, sharding, token_counts
+from broadsheet.llm import exact_dedup, html_text, language_id, mixing, packing, sharding, token_counts
 from broadsheet.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = token_counts.token_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return report.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -50,12 +54,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs, filters)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
