@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, html_text, language_id, mixing, packing, sharding, token_counts
+from broadsheet.llm import exact_dedup, html_text, language_id, mixing, nearest, packing, sharding, token_counts
 from broadsheet.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; the same package is installed on every machine."""
     import public_tokenizers
@@ -64,6 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_nearest": op5_nearest,
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
