@@ -18,7 +18,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import materialize
@@ -169,7 +169,8 @@ def _sample_common(docs: DataFrame, seed: int) -> np.ndarray:
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id and component_sets (different sets in its component).
+    """One row per row of df: id, n_shingles, component_id, component_sets (different sets in its component),
+    stays (the component's first row) and text_key.
 
     Two rows link when their sets of shingles are similar by SIMILARITY or more; component_id is the smallest id that
     links reach, the own id included (null if all are null). Rows without words link with nothing; rows whose sets are
@@ -177,7 +178,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed + 9), text_col).alias("tkey"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), text_key(text_col, seed).alias("tkey"), F.col(text_col).alias("text"))
     common = spark.sparkContext.broadcast(_sample_common(docs, seed))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,8 +237,35 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     edges = placed.groupBy("bucket").applyInPandas(compare, "a long, b long")
     roots = components(edges)
-    named = alike.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "id", F.coalesce("root", "k").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n_sets"))
-    where = named.select("k", "root").join(smallest, "root").select(F.col("k").alias("_k"), "component_id", "n_sets")
-    out = table.select("id", "n", "k").join(where, (F.col("k") == F.col("_k")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_sets", F.lit(1)).alias("component_sets"))
+    named = alike.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "id", "tkey", F.coalesce("root", "k").alias("root"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey"))
+    smallest = named.groupBy("root").agg(first.alias("first"), F.count("*").alias("n_sets"))
+    where = named.select("k", "root").join(smallest, "root").select(F.col("k").alias("_k"), "first", "n_sets")
+    out = table.select("id", "tkey", "n", "k").join(where, (F.col("k") == F.col("_k")) & (F.col("n") > 0), "left")
+    has = F.col("n") > 0
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(has, F.col("first.id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(has, F.col("n_sets")).otherwise(1).alias("component_sets"),
+        (~has | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tkey") == F.col("first.tkey")))).alias("stays"),
+        F.col("tkey").alias("text_key"),
+    )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+    """The rows of df without all but one of each component: the one of the smallest id stays (nulls last).
+
+    Rows without words stay. Of rows that repeat both the id and the text of the one that stays, one stays.
+    """
+    columns = df.columns
+    found = materialize(jaccard_groups(df, id_col, text_col, seed).filter("stays").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("n_shingles").alias("_n")), "kept")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(id_col).alias("_rid"), text_key(text_col, seed).alias("_rkey"))
+    kept = rows.join(found.select("_id", "_key", "_n").distinct(), F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rkey") == F.col("_key")))
+    if found.filter("_n > 0").groupBy("_id", "_key").count().filter("count > 1").isEmpty():
+        return kept.select("_row.*")
+    return kept.filter("_n = 0").select("_row.*").unionByName(kept.filter("_n > 0").dropDuplicates(["_rid", "_rkey"]).select("_row.*"))
+
+
+def text_key(text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 9), text_col)

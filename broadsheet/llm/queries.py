@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, html_text, jaccard_join, language_id, mixing, nearest, packing, sharding, token_counts
+from broadsheet.llm import exact_dedup, html_text, jaccard_join, language_id, lm_scoring, mixing, nearest, packing, sharding, token_counts
 from broadsheet.llm.common import table
 
 
@@ -25,13 +25,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "component_sets")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_nearest": op5_nearest,
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
@@ -83,6 +89,22 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_lm_scoring": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+        ), each AS (
+            SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words)
+        ), c1 AS (SELECT w, count(*) AS n FROM each GROUP BY w),
+        c2 AS (SELECT v, w, count(*) AS n FROM each WHERE v IS NOT NULL GROUP BY v, w),
+        total AS (SELECT count(*) AS n FROM each),
+        scores AS (
+            SELECT e.doc_id, sum(CASE WHEN e.v IS NULL THEN ln(a.n / t.n) WHEN c2.n >= 2 THEN ln(c2.n / b.n) ELSE ln(0.4 * a.n / t.n) END) AS s
+            FROM each e CROSS JOIN total t JOIN c1 a ON a.w = e.w LEFT JOIN c1 b ON b.w = e.v LEFT JOIN c2 ON c2.v = e.v AND c2.w = e.w
+            GROUP BY e.doc_id
+        )
+        SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, round(coalesce(s.s, 0), 4) AS log_score, round(s.s / nullif(len(w.ws), 0), 4) AS mean_log_score
+        FROM words w LEFT JOIN scores s USING (doc_id)
+    """,
     "op3_exact_dedup": r"""
         WITH texts AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
