@@ -1,10 +1,10 @@
 """Operator 2: exact Jaccard self-join on word shingles by pivots, Voronoi regions and triangle-inequality windows.
 
 Unrelated texts share no shingle: each is at distance 1 from every pivot, so regions around pivots drawn at random would
-hold every document. Pivots are therefore drawn where documents meet. Of a document's shingles, a fifth in a fixed order
-(its prefix) must hold one that it shares with any document it links to; the document with the smallest key among those
-that have a shingle in their prefix is the pivot of that shingle, and its region holds all of them. A region too large
-for a task is dealt in blocks. Inside a region pivots are drawn again: a document goes to the cell of its nearest pivot
+hold every document. Pivots are therefore drawn where documents meet. Of a document's shingles, three tenths in a fixed
+order (its prefix) must hold a twelfth that it shares with any document it links to (see least_shared); documents whose
+prefixes share less have no links. The document with the smallest key among those that have a shingle in their prefix is
+the pivot of that shingle, and its region holds all of them. A region too large for a task is dealt in blocks. Inside a region pivots are drawn again: a document goes to the cell of its nearest pivot
 and, as far as the triangle inequality leaves a partner possible, to the cells of the others (distance at most that to
 its own pivot plus twice the radius); cells join recursively until they are small or shrink no more, and are then
 compared exactly. Only what ties a region's documents together leaves a task, never all pairs.
@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.llm.common import materialize
 from broadsheet.llm.components import components
@@ -33,6 +34,8 @@ SAMPLE_ROWS, COMMON = 8192, 4
 BLOCK, LEAF, PIVOTS = 1024, 256, 8
 #: Documents that tasks handle together where regions are small.
 BUCKET_ROWS = 2048
+#: Bits of the filter that keeps texts without a region from being shuffled, as a power of two (2 MB).
+BLOOM_BITS = 24
 #: Words whose hashes a worker keeps at most; then it starts anew.
 KEPT_WORDS = 1_000_000
 
@@ -74,13 +77,23 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def prefix(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which a partner must share one: the first n - ceil(s n) + 1, common ones last."""
+    """Of a document's shingles in a fixed order (common ones last) the first n - ceil(s n) + n // 10 + 1, as numbers
+    that stand in that order.
+
+    A partner shares ceil(s n) shingles or more, so n // 10 + 1 of these, and they are the first ones that both share.
+    """
     n = len(grams)
     if not n:
-        return grams
-    keep = n - -(-SIMILARITY.numerator * n // SIMILARITY.denominator) + 1
+        return grams.view(np.int64)
     last = np.isin(grams, common, assume_unique=True) if len(common) else np.zeros(n, dtype=bool)
-    return np.concatenate([grams[~last], grams[last]])[:keep]
+    order = np.sort((grams >> np.uint64(2)).view(np.int64) | (last.astype(np.int64) << 62))
+    return order[: n - -(-SIMILARITY.numerator * n // SIMILARITY.denominator) + n // 10 + 1]
+
+
+def least_shared(n: Column) -> Column:
+    """Shingles that the prefixes of a document of n shingles and of any partner share: the shorter has ceil(s n)."""
+    shorter = F.ceil(n * SIMILARITY.numerator / SIMILARITY.denominator)
+    return (F.floor(shorter / 10) + 1).cast("int")
 
 
 def links(sets: list[np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -168,6 +181,35 @@ def _sample_common(docs: DataFrame, seed: int) -> np.ndarray:
     return np.sort(counts.select("gram").toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
+def _bloom(keys: DataFrame):
+    """A test for keys that may be among these: a Bloom filter of a fixed size, whatever the number of keys."""
+
+    def positions(k: np.ndarray) -> list[np.ndarray]:
+        k = k.view(np.uint64)
+        return [(_mix(k, 17 + i) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for i in range(3)]
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
+        for batch in batches:
+            for p in positions(batch["tkey"].to_numpy(dtype=np.int64)):
+                bits[p] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    every = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)
+    for row in keys.coalesce(4).mapInPandas(fill, "bits binary").collect():
+        every |= np.frombuffer(row["bits"], dtype=np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(every)
+
+    @F.pandas_udf(T.BooleanType())
+    def held(tkey: pd.Series) -> pd.Series:
+        bits, out = shared.value, np.ones(len(tkey), dtype=bool)
+        for p in positions(tkey.to_numpy(dtype=np.int64)):
+            out &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(out)
+
+    return held
+
+
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, component_sets (different sets in its component),
     stays (the component's first row) and text_key.
@@ -185,11 +227,14 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
-                rows = []
+                rows, here = [], set()
                 for text in part["text"]:
                     g = shingles(text)
-                    keys = (_mix(g, 11).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(g, 13)) if len(g) else np.uint64(0))
-                    rows.append((len(g), int(keys[0].view(np.int64)), int(keys[1].view(np.int64)), prefix(g, common.value).view(np.int64)))
+                    k = int(_mix(g, 11).sum(dtype=np.uint64).view(np.int64))
+                    k2 = int(np.bitwise_xor.reduce(_mix(g, 13)).view(np.int64)) if len(g) else 0
+                    # of equal sets in a batch the first brings the prefix
+                    rows.append((len(g), k, k2, None if k in here else prefix(g, common.value)))
+                    here.add(k)
                 out = pd.DataFrame(rows, columns=["n", "k", "k2", "prefix"])
                 out.insert(0, "id", part["id"].to_numpy())
                 out.insert(1, "tkey", part["tkey"].to_numpy())
@@ -198,18 +243,24 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = materialize(docs.mapInPandas(sets_of, f"id {kind}, tkey long, n long, k long, k2 long, prefix array<long>"), "shingles")
     # equal sets are one document from here on; two hashes of 64 bits each tell sets apart
     alike = table.filter("n > 0").groupBy("k").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("first"), F.min("k2").alias("a"), F.max("k2").alias("b")
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("first"), F.min("k2").alias("a"), F.max("k2").alias("b"), F.min("n").alias("n")
     )
-    alike = alike.select("k", F.when(F.col("a") == F.col("b"), F.col("first")).otherwise(F.raise_error(F.lit("two sets share a key: use another seed"))).alias("first"))
-    alike = materialize(alike.select("k", "first.id", "first.tkey"), "sets")
+    alike = alike.select("k", "n", F.when(F.col("a") == F.col("b"), F.col("first")).otherwise(F.raise_error(F.lit("two sets share a key: use another seed"))).alias("first"))
+    alike = materialize(alike.select("k", "n", "first.id", "first.tkey"), "sets")
 
-    met = table.filter("n > 0").select("k", F.explode("prefix").alias("gram"))
+    # one exchange by shingle serves the pivots and the join with them
+    met = table.filter("n > 0").select("k", F.explode("prefix").alias("gram")).repartition("gram")
     pivots = met.groupBy("gram").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("gram", "pivot")
-    regions = materialize(met.join(pivots, "gram").select("k", "pivot").distinct(), "regions")
-    sizes = regions.groupBy("pivot").agg(F.count("*").alias("size"))
-    sized = regions.join(sizes, "pivot")
-    wanted = sized.groupBy("k").agg(F.collect_list(F.struct("pivot", "size")).alias("regions")).join(alike, "k")
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["tkey"] == wanted["tkey"])).select("k", "text", "regions")
+    live = met.join(pivots.hint("merge"), "gram").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "pivot"))).alias("live"))
+    least = least_shared(F.col("n"))
+    # with the last least - 1 left out, the first shared shingle is still in on both sides
+    some = live.join(alike, "k").filter(F.size("live") >= least).select("k", "id", "tkey", F.array_distinct(F.slice("live", F.lit(1), F.size("live") - least + 1)["pivot"]).alias("pivots"))
+    some = materialize(some, "regions")
+    regions = some.select("k", F.explode("pivots").alias("pivot"))
+    sizes = regions.groupBy("pivot").agg(F.count("*").alias("size")).filter("size > 1")
+    wanted = regions.join(sizes, "pivot").groupBy("k").agg(F.collect_list(F.struct("pivot", "size")).alias("regions")).join(some.select("k", "id", "tkey"), "k")
+    likely = _bloom(some.select("tkey"))
+    texts = docs.filter(likely("tkey")).join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["tkey"] == wanted["tkey"])).select("k", "text", "regions")
     buckets = max(1, -(-regions.count() // BUCKET_ROWS))
 
     # small regions share buckets; a large one is dealt in blocks, and each pair of blocks is a bucket of its own
