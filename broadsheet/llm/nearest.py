@@ -9,7 +9,7 @@ is left is measured exactly on the original vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ LISTS = 1024
 #: (at a quarter of the lists 0.70 of the true neighbours are found, at seven tenths 0.97); clustered ones need few.
 PROBE_SHARE, LEAST_PROBES = 0.7, 32
 #: Rows and queries of a list that one task takes at a time; larger lists are split.
-CHUNK_ROWS, CHUNK_QUERIES = 2048, 512
+CHUNK_ROWS, CHUNK_QUERIES = 1024, 2048
 #: Columns in a block, and the test's width: larger abandons later.
 COLUMNS, EPSILON = 16, 2.1
 
@@ -34,12 +34,25 @@ class Index:
     centroids: np.ndarray
     reach: float
     probes: int
+    sample: np.ndarray
+    sample_ids: np.ndarray
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
         """With the added component: nothing for queries, what is missing to the longest norm for rows."""
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.reach**2 - (x * x).sum(axis=1), 0))
         return np.column_stack([x, extra])
 
+    def seeds(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best rows of the sample: places of queries, of sampled rows, and inner products."""
+        rough = (q @ self.sample.T).astype(np.float32)
+        rough[own[:, None] == self.sample_ids[None, :]] = -np.inf
+        k = min(k, rough.shape[1])
+        j = np.argpartition(-rough, k - 1, axis=1)[:, :k].ravel() if k else np.zeros(0, dtype=np.int64)
+        i = np.repeat(np.arange(len(q)), k)
+        other = self.sample_ids[j] != own[i]
+        i, j = i[other], j[other]
+        return i, j, (self.sample[j] * q[i]).sum(axis=1)
+
     def lists(self, lifted: np.ndarray, n: int) -> np.ndarray:
         """The n nearest lists of each vector, nearest first."""
         d = (self.centroids**2).sum(axis=1) - 2 * lifted @ self.centroids.T
@@ -55,11 +68,13 @@ def usable(df: DataFrame, vector_col: str) -> DataFrame:
 
 def fit(vectors: DataFrame, rows: int, reach: float, dim: int, seed: int = 42) -> Index:
     """Lists by k-means on a hashed sample of SAMPLE_ROWS rows at most."""
-    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+    found = vectors.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).toPandas()
+    sample = np.array(found["v"].tolist(), dtype=float).reshape(-1, dim)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0]
-    x = Index(rotation, np.zeros((0, 0)), reach, 0).lift(np.array(sample.tolist(), dtype=float).reshape(-1, dim), False)
-    k = int(min(LISTS, max(1, round(rows**0.5)), len(x)))
+    bare = Index(rotation, np.zeros((0, 0)), reach, 0, sample, found["id"].to_numpy(dtype=np.int64))
+    x = bare.lift(sample, False)
+    k = int(min(LISTS, max(1, round(rows**0.5 / 2)), len(x)))
     centroids = x[rng.choice(len(x), k, replace=False)] if len(x) else x
     for _ in range(8):
         near = np.argmin((centroids**2).sum(axis=1) - 2 * x @ centroids.T, axis=1) if k else []
@@ -67,38 +82,46 @@ def fit(vectors: DataFrame, rows: int, reach: float, dim: int, seed: int = 42) -
             own = x[near == c]
             if len(own):
                 centroids[c] = own.mean(axis=0)
-    return Index(rotation, centroids, reach, int(min(k, max(LEAST_PROBES, round(k * PROBE_SHARE)))))
+    return replace(bare, centroids=centroids, probes=int(min(k, max(LEAST_PROBES, round(k * PROBE_SHARE)))))
 
 
-def scan(index: Index, rotated_query: np.ndarray, rotated: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows for one query, best first: their places and exact inner products.
+def scan(index: Index, q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows for each query among those that beat its bound: places of queries, places of rows, inner products.
 
-    The bound is the distance of the k-th best so far. A partial distance over the first columns, scaled up to all, is
-    held against the bound with a margin that narrows with the columns seen.
+    Partial distances over the columns seen so far, scaled up to all columns, are held against the bound with a margin
+    that narrows as more is seen. While most pairs are alive a block is one matrix product; then pairs go on singly.
     """
-    total = rotated.shape[1]
-    shared = index.reach**2 + (q * q).sum()
-    best, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-    rows = np.flatnonzero(ids != own)
-    for at in range(0, len(rows), 256):
-        alive = rows[at : at + 256]
-        if len(scores) >= k:
-            bound = max(shared - 2 * scores[-1], 0.0)
-            part = np.zeros(len(alive))
-            for lo in range(0, total, COLUMNS):
-                hi = min(total, lo + COLUMNS)
-                d = rotated[alive, lo:hi] - rotated_query[lo:hi]
-                part = part + (d * d).sum(axis=1)
-                margin = (1 + EPSILON / hi**0.5) ** 2 if hi < total else 1 + 1e-9
-                stay = part * (total / hi) <= margin * bound + 1e-9
-                alive, part = alive[stay], part[stay]
-                if not len(alive):
-                    break
-        if len(alive):
-            best, scores = np.concatenate([best, alive]), np.concatenate([scores, (x[alive] * q).sum(axis=1)])
-            order = np.lexsort((ids[best], -scores))[:k]
-            best, scores = best[order], scores[order]
-    return best, scores
+    rows, asked = (index.lift(x, False) @ index.rotation).astype(np.float32), (index.lift(q, True) @ index.rotation).astype(np.float32)
+    total = rows.shape[1]
+    limit = np.maximum(index.reach**2 + (q * q).sum(axis=1) - 2 * bounds, 0)
+    part = np.zeros((len(q), len(x)), dtype=np.float32)
+    i = j = np.zeros(0, dtype=np.int64)
+    dense = True
+    for lo in range(0, total, COLUMNS):
+        hi = min(total, lo + COLUMNS)
+        margin = (1 + EPSILON / hi**0.5) ** 2 if hi < total else 1.0
+        most = ((margin * limit + 1e-4) * (hi / total)).astype(np.float32)
+        r, a = rows[:, lo:hi], asked[:, lo:hi]
+        if dense:
+            part += (r * r).sum(axis=1)[None, :] + (a * a).sum(axis=1)[:, None] - 2 * (a @ r.T)
+            alive = part <= most[:, None]
+            if hi == total or alive.sum() < 0.2 * alive.size:
+                dense = False
+                i, j = np.nonzero(alive)
+                part = part[i, j]
+        else:
+            d = r[j] - a[i]
+            part = part + (d * d).sum(axis=1)
+            stay = part <= most[i]
+            i, j, part = i[stay], j[stay], part[stay]
+    other = ids[j] != q_ids[i]
+    i, j = i[other], j[other]
+    scores = (x[j] * q[i]).sum(axis=1)
+    order = np.lexsort((ids[j], -scores, i))
+    i, j, scores = i[order], j[order], scores[order]
+    first = np.searchsorted(i, np.arange(len(q)))
+    best = np.arange(len(i)) - first[i] < k
+    return i[best], j[best], scores[best]
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> DataFrame:
@@ -119,18 +142,39 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     index = fit(vectors, lengths["n"], lengths["most"] ** 0.5, dim, seed)
     shared = spark.sparkContext.broadcast(index)
 
-    def assign(probe: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found = shared.value
-            for batch in batches:
-                if len(batch):
-                    near = found.lists(found.lift(np.array(batch["v"].tolist(), dtype=float), probe), found.probes if probe else 1)
-                    yield batch.loc[batch.index.repeat(near.shape[1])].assign(list=near.ravel())
-
-        return run
-
-    kind = f"id long, v {vectors.schema['v'].dataType.simpleString()}, list int"
-    members, probes = vectors.mapInPandas(assign(False), kind), asked.mapInPandas(assign(True), kind)
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = shared.value
+        for batch in batches:
+            if len(batch):
+                v = np.array(batch["v"].tolist(), dtype=float)
+                yield batch.assign(list=found.lists(found.lift(v, False), 1)[:, 0])
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.iloc[at : at + 1024].reset_index(drop=True)
+                v = np.array(some["v"].tolist(), dtype=float)
+                # the k-th best of the sample bounds the k-th best of all rows from below
+                i, _, scores = found.seeds(v, some["id"].to_numpy(), k)
+                least = np.full(len(some), np.inf)
+                np.minimum.at(least, i, scores)
+                full = np.bincount(i, minlength=len(some)) >= k
+                near = found.lists(found.lift(v, True), found.probes)
+                some = some.assign(bound=np.where(full, least - 1e-9, -np.inf))
+                yield some.loc[some.index.repeat(near.shape[1])].assign(list=near.ravel())
+
+    def seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.iloc[at : at + 1024]
+                own = some["id"].to_numpy()
+                i, j, scores = found.seeds(np.array(some["v"].tolist(), dtype=float), own, k)
+                yield pd.DataFrame({"query_id": own[i], "vec_id": found.sample_ids[j], "score": scores})
+
+    kind = f"id long, v {vectors.schema['v'].dataType.simpleString()}"
+    members, probes = vectors.mapInPandas(assign, f"{kind}, list int"), asked.mapInPandas(probe, f"{kind}, bound double, list int")
     # LISTS rows at most: how many parts a list's rows and queries fall into
     count = lambda t, most: {r["list"]: -(-r["n"] // most) for r in t.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts, turns = count(members, CHUNK_ROWS), count(probes, CHUNK_QUERIES)
@@ -144,19 +188,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     probes = probes.withColumn("turn", part(probes, of(turns)).cast("int")).withColumn("part", each(of(parts)))
 
     def search(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        found = []
         if len(rows) and len(qs):
-            index = shared.value
             rows = rows.drop_duplicates("id").sort_values("id")
             ids, x, q = rows["id"].to_numpy(), np.array(rows["v"].tolist(), dtype=float), np.array(qs["v"].tolist(), dtype=float)
-            rotated, asked = index.lift(x, False) @ index.rotation, index.lift(q, True) @ index.rotation
-            for i, own in enumerate(qs["id"]):
-                best, scores = scan(index, asked[i], rotated, q[i], x, ids, own, k)
-                found += [(own, ids[b], s) for b, s in zip(best, scores)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": float})
+            i, j, scores = scan(shared.value, q, qs["id"].to_numpy(), qs["bound"].to_numpy(), x, ids, k)
+            return pd.DataFrame({"query_id": qs["id"].to_numpy()[i], "vec_id": ids[j], "score": scores})
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     keys = ["list", "part", "turn"]
     found = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = found.union(asked.mapInPandas(seed_rows, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
