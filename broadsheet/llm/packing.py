@@ -14,19 +14,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import materialize
 
 ROOM = 2048
-#: Words whose ids a worker keeps at most; then it starts anew.
-KEPT_WORDS = 400_000
+#: Words, and parts of words, whose ids a worker keeps in each of two generations.
+KEPT_WORDS = 450_000
 #: Rows in a bucket of the ranks.
 BUCKET_ROWS = 4096
 END_ID = 1
 
 
+class Kept(dict):
+    """A table that keeps what is in use: full, it starts anew and takes over what is asked for again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def lacks(self, keys) -> list:
+        """The keys that are in neither table; those of the old one move over."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        missing, old = [], self.old
+        for k in keys:
+            if k not in self:
+                found = old.get(k)
+                if found is None:
+                    missing.append(k)
+                else:
+                    self[k] = found
+        return missing
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer whose tokens never hold white space, by way of the ids of their words."""
 
@@ -36,41 +60,57 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.words, self.pieces = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4") for e in found]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Each part is one word to the tokenizer, and its last id alone is one that ends words."""
+        if not parts:
+            return []
+        ids = np.concatenate(self._encode([" ".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]))
+        at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(at) != len(parts) + 1:
+            raise AssertionError("a part is not one word to the tokenizer")
+        data = ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip(at, at[1:])]
 
     def learn(self, words: list[bytes]) -> None:
         """Plain Latin words are split as the tokenizer splits them, and their parts looked up; others it encodes whole."""
-        whole, parted, parts = [], [], set()
+        whole, parted, parts, split = [], [], set(), self.parts.findall
+        single = []
         for w in words:
             text = w.decode()
             # below U+0130 each letter is composed already and has a lower case of one letter
-            if max(text) < "İ" and "<|" not in text:
-                own = self.parts.findall(text.lower())
-                parted.append((w, own))
-                parts.update(own)
-            else:
-                whole.append(w)
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        new = sorted(p for p in parts if p not in self.pieces)
-        self.pieces.update(zip(new, self._encode(new)))
-        for w, own in parted:
-            self.words[w] = b"".join([self.pieces[p] for p in own])
-        self.words.update(zip(whole, self._encode([w.decode() for w in whole])))
+            if w.isascii() or max(text) < "İ":
+                if text.isalpha():
+                    single.append((w, text.lower()))
+                    continue
+                if "<|" not in text:
+                    own = split(text.lower())
+                    parted.append((w, own))
+                    parts.update(own)
+                    continue
+            whole.append(w)
+        parts.update([p for _, p in single])
+        new = self.pieces.lacks(parts)
+        self.pieces.update(zip(new, self._encode_parts(new)))
+        get = self.pieces.__getitem__
+        self.words.update([(w, get(p)) for w, p in single])
+        self.words.update([(w, b"".join(map(get, own))) for w, own in parted])
+        self.words.update(zip(whole, (ids.tobytes() for ids in self._encode([w.decode() for w in whole]))))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each whole text; null counts as empty."""
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        known = self.words
-        self.learn([w for w in set().union(*split) if w not in known])
-        get = known.__getitem__
+        self.learn(self.words.lacks(set().union(*split)))
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -88,22 +128,25 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     kind = df.schema[id_col].dataType.simpleString()
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                rows = []
-                for i, ids in zip(part["id"], e.encode_all(part["text"].tolist())):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(i, s, min(room, n - s), zlib.crc32(ids[4 * s : 4 * (s + room)]), n) for s in range(0, n, room)]
-                out = pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens"])
-                out["id"] = out["id"].astype(batch["id"].dtype)
-                yield out
+            for at in range(0, len(batch), 2000):
+                ids, texts = (c.slice(at, 2000) for c in batch.columns)
+                row, start, length, crc, total = [], [], [], [], []
+                for i, data in enumerate(e.encode_all(texts.to_pylist())):
+                    data += end
+                    n = len(data) // 4
+                    for s in range(0, n, room):
+                        row.append(i)
+                        start.append(s)
+                        length.append(min(room, n - s))
+                        crc.append(zlib.crc32(data[4 * s : 4 * (s + room)]))
+                        total.append(n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return slim.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 @dataclass(frozen=True)
