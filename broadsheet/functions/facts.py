@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from broadsheet.functions import constants as K
 
@@ -28,28 +24,20 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _canonical_numbers(tokens: pd.Series) -> pd.Series:
-    """Each token as its canonical number: without currency, commas and percent, its leading decimal in shortest form."""
-
-    def one(token: str) -> str:
-        low = token.lower().strip()
-        if low in K.SPELLED_NUMBERS:
-            return K.SPELLED_NUMBERS[low]
-        cleaned = re.sub(r"[₹$€£,%\s]", "", low)
-        head = re.match(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?", cleaned)
-        if not head:
-            return cleaned
-        value = float(head[0])
-        if value == int(value) and abs(value) < 1e21:
-            return str(int(value))
-        return repr(value) if value < 1e21 else cleaned
-
-    return tokens.map(lambda ts: None if ts is None else [one(t) for t in ts])
+def canonical_number(token: Column) -> Column:
+    """A number in its shortest decimal form: spelled ones as digits; no currency, commas, percent; what no number starts, as is."""
+    low = F.lower(F.trim(token))
+    cleaned = F.regexp_replace(low, r"[₹$€£,%\s]", "")
+    head = F.regexp_extract(cleaned, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
+    short = F.regexp_replace(F.regexp_replace(head, r"^([+-]?)0*(?=[0-9])", "$1"), r"^\+", "")
+    short = F.when(short.contains("."), F.regexp_replace(F.regexp_replace(short, r"0+$", ""), r"\.$", "")).otherwise(short)
+    short = F.when(short.startswith("."), F.concat(F.lit("0"), short)).when(short.startswith("-."), F.concat(F.lit("-0"), F.substring(short, 2, 1 << 20))).otherwise(short)
+    short = F.when(short.isin("", "-", "-0"), "0").otherwise(short)
+    return F.when(spelled(low).isNotNull(), spelled(low)).when(head != "", short).otherwise(cleaned)
 
 
 def normalize_numbers(tokens: Column) -> Column:
-    return _canonical_numbers(tokens)
+    return F.transform(tokens, canonical_number)
 
 
 def spelled(word: Column) -> Column:
@@ -88,8 +76,7 @@ def named_entities(text: Column, least: int = 2) -> Column:
 def dates(text: Column) -> Column:
     """ISO dates, dates with month names, weekdays and relative days, each once."""
     low = F.lower(text)
-    words = F.array(*[F.lit(w) for w in [*K.WEEKDAYS, *K.RELATIVE_DATES]])
-    said = F.filter(words, lambda w: low.rlike(F.concat(F.lit(_L), w, F.lit(_R))))
+    said = F.array_compact(F.array(*[F.when(low.rlike(_L + w + _R), F.lit(w)) for w in [*K.WEEKDAYS, *K.RELATIVE_DATES]]))
     months = F.transform(_all(text, MONTH_DATE), lambda d: F.trim(d))
     return F.array_distinct(F.concat(_all(text, ISO_DATE), months, said))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
-from broadsheet.functions.text import hours_between
+from broadsheet.functions.text import bound, hours_between
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -40,11 +40,14 @@ def numeric_conflict(a: Column, b: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Of two token structs: half Dice and half overlap of words, with a share for bigrams; less if numbers conflict."""
-    u = 0.5 * dice(a["unigrams"], b["unigrams"]) + 0.5 * overlap(a["unigrams"], b["unigrams"])
     both = (F.size(a["bigrams"]) > 0) & (F.size(b["bigrams"]) > 0)
-    mixed = F.greatest(K.UNIGRAM_FLOOR * u, K.UNIGRAM_SHARE * u + K.BIGRAM_SHARE * dice(a["bigrams"], b["bigrams"]))
-    score = F.when(both, mixed).otherwise(u) - F.when(numeric_conflict(a["numbers"], b["numbers"]), K.NUMBER_PENALTY).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+    def blend(u: Column) -> Column:
+        mixed = F.greatest(K.UNIGRAM_FLOOR * u, K.UNIGRAM_SHARE * u + K.BIGRAM_SHARE * dice(a["bigrams"], b["bigrams"]))
+        return F.when(both, mixed).otherwise(u) - F.when(numeric_conflict(a["numbers"], b["numbers"]), K.NUMBER_PENALTY).otherwise(0.0)
+
+    words = 0.5 * dice(a["unigrams"], b["unigrams"]) + 0.5 * overlap(a["unigrams"], b["unigrams"])
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound(words, blend)))
 
 
 def exact_reason(a: Column, b: Column) -> Column:
@@ -62,13 +65,17 @@ def classify_pair(a: Column, b: Column) -> Column:
     hours = hours_between(a["published_at"], b["published_at"])
     common = F.size(F.array_intersect(ta["unigrams"], tb["unigrams"]))
     least = F.least(F.lit(K.NEAR_TOKENS), F.size(ta["unigrams"]), F.size(tb["unigrams"]))
-    score = title_similarity(ta, tb)
-    kind = (
-        F.when(exact_reason(a, b).isNotNull(), "exact")
-        .when(hours > K.NEAR_HOURS, "distinct")
-        .when(numeric_conflict(ta["numbers"], tb["numbers"]), "distinct")
-        .when(common < least, "distinct")
-        .when(score >= K.NEAR_SCORE, "near")
-        .otherwise("distinct")
-    )
-    return F.struct(kind.alias("match_type"), exact_reason(a, b).alias("reason"), F.when(kind == "exact", 1.0).otherwise(score).alias("score"), common.alias("common"), hours.alias("hours"))
+    reason = exact_reason(a, b)
+    score = F.when(reason.isNotNull(), 1.0).otherwise(title_similarity(ta, tb))
+
+    def kind(score: Column) -> Column:
+        return (
+            F.when(reason.isNotNull(), "exact")
+            .when(hours > K.NEAR_HOURS, "distinct")
+            .when(numeric_conflict(ta["numbers"], tb["numbers"]), "distinct")
+            .when(common < least, "distinct")
+            .when(score >= K.NEAR_SCORE, "near")
+            .otherwise("distinct")
+        )
+
+    return bound(score, lambda s: F.struct(kind(s).alias("match_type"), reason.alias("reason"), s.alias("score"), common.alias("common"), hours.alias("hours")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,11 @@ from broadsheet.functions import constants as K
 _SPACE = r"(?U)\s+"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
@@ -110,16 +116,48 @@ def content_hash(title: Column, description: Column) -> Column:
     return fnv1a64(F.concat(F.lower(title), F.lit("\u001f"), description))
 
 
-def clean_title(title: Column) -> Column:
-    t = trimmed(nfkc(title))
+def _without_labels(t: Column) -> Column:
     for label in K.LEADING_LABELS:
         t = trimmed(F.regexp_replace(t, "(?i)" + label, ""))
     return trimmed(F.regexp_replace(t, "(?i)" + K.TRAILING_PUBLISHERS, ""))
 
 
+def clean_title(title: Column) -> Column:
+    """Composed, without a leading label of its kind and without the publishers at its end."""
+    return _without_labels(trimmed(nfkc(title)))
+
+
+def _compatible() -> dict[str, str]:
+    """Characters of Latin text whose compatibility form is another: spaces, ligatures, full width, fractions, numerals."""
+    ranges = [(0xA0, 0x100), (0x2000, 0x2190), (0x2460, 0x2500), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
+    both = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for lo, hi in ranges for c in range(lo, hi))
+    return {c: form for c, form in both if form != c and any(x.isascii() for x in form)}
+
+
+def _composing() -> str:
+    """A pattern of ASCII letters with a mark that they compose with: together they are one letter, and no ASCII one."""
+    letters = [chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()]
+    found = []
+    for mark in map(chr, range(0x300, 0x370)):
+        own = "".join(x for x in letters if len(unicodedata.normalize("NFKC", x + mark)) == 1)
+        if own:
+            found.append(f"[{own}]{mark}")
+    return "|".join(found)
+
+
+_COMPATIBLE, _COMPOSING = _compatible(), _composing()
+
+
+def _token_form(title: Column) -> Column:
+    """What composition changes in the ASCII words of a title, without leaving the JVM; other letters don't become words."""
+    table = F.create_map(*[F.lit(x) for kv in _COMPATIBLE.items() for x in kv])
+    mapped = F.array_join(F.transform(F.split(title, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(title.rlike(r"[^\x00-\x7F]"), F.regexp_replace(mapped, _COMPOSING, "\u00e9")).otherwise(title)
+
+
 def normalized_title(title: Column) -> Column:
     """Lower case, numbers without commas, a few abbreviations spelled out, ASCII words with . and - only."""
-    t = F.lower(clean_title(title))
+    t = F.lower(_without_labels(trimmed(_token_form(title))))
     t = F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9])", "")
     t = F.replace(t, F.lit("%"), F.lit(" percent "))
     for short, full in (("pts", "points"), ("cr", "crore"), ("lac", "lakh"), ("govt", "government")):
@@ -141,16 +179,18 @@ def bigrams(tokens: Column) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """Struct of normalized, unigrams, bigrams, numbers and significant tokens; sets keep the order of the title."""
-    normalized = normalized_title(title)
-    tokens = significant_title_tokens(normalized)
-    return F.struct(
-        title.alias("raw"),
-        normalized.alias("normalized"),
-        F.array_distinct(tokens).alias("unigrams"),
-        bigrams(tokens).alias("bigrams"),
-        F.array_distinct(F.filter(tokens, lambda t: t.rlike(r"^[0-9]+(?:\.[0-9]+)?$"))).alias("numbers"),
-        tokens.alias("significant"),
-    )
+
+    def struct(normalized: Column, tokens: Column) -> Column:
+        return F.struct(
+            title.alias("raw"),
+            normalized.alias("normalized"),
+            F.array_distinct(tokens).alias("unigrams"),
+            bigrams(tokens).alias("bigrams"),
+            F.array_distinct(F.filter(tokens, lambda t: t.rlike(r"^[0-9]+(?:\.[0-9]+)?$"))).alias("numbers"),
+            tokens.alias("significant"),
+        )
+
+    return bound(normalized_title(title), lambda n: bound(significant_title_tokens(n), lambda t: struct(n, t)))
 
 
 def plain_words(text: Column) -> Column:

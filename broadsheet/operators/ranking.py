@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
-from broadsheet.functions.text import title_tokens
+from broadsheet.functions.text import bound, title_tokens
 
 
 def recency(published_at: Column, reference: Column, half_life: float = K.HALF_LIFE_HOURS) -> Column:
@@ -30,7 +30,7 @@ def source_tier(kinds: Column | None) -> Column:
 def india_relevance(tokens: Column, regions: Column | None = None) -> Column:
     home = F.lit(True) if regions is None else F.coalesce(F.arrays_overlap(regions, F.array(F.lit("india"), F.lit("south-asia"))), F.lit(False))
     terms = F.array(*[F.lit(t) for t in K.INDIA_TERMS])
-    named = F.arrays_overlap(F.concat(tokens["unigrams"], tokens["bigrams"]), terms)
+    named = bound(tokens, lambda t: F.arrays_overlap(F.concat(t["unigrams"], t["bigrams"]), terms))
     base = F.when(home, 0.8).otherwise(0.35)
     return F.when(named, F.least(F.lit(1.0), base + 0.25)).otherwise(base)
 
@@ -71,17 +71,21 @@ def topic_of(title: Column, descriptions: Column) -> Column:
 
     Topics are tried in a fixed order and the first with the highest score wins; without any hit it is india.
     """
-    of_title = title_tokens(title)
-    words = F.concat(of_title["unigrams"], of_title["bigrams"])
-    of_texts = F.flatten(F.transform(descriptions, lambda d: F.concat(title_tokens(d)["unigrams"], title_tokens(d)["bigrams"])))
-    scored = []
-    for order, (topic, keywords) in enumerate(K.TOPIC_KEYWORDS.items()):
-        terms = F.array(*[F.lit(k) for k in keywords])
-        in_title = F.array_intersect(terms, words)
-        in_texts = F.array_except(F.array_intersect(terms, of_texts), in_title)
-        scored.append(F.struct((3 * F.size(in_title) + F.size(in_texts)).alias("score"), F.lit(-order).alias("first"), F.lit(topic).alias("topic")))
-    best = F.array_max(F.array(*scored))
-    return F.struct(F.when(best["score"] > 0, best["topic"]).otherwise("india").alias("topic"), best["score"].alias("score"))
+    both = lambda t: F.concat(t["unigrams"], t["bigrams"])
+
+    def best(words: Column, texts: Column) -> Column:
+        scored = []
+        for order, (topic, keywords) in enumerate(K.TOPIC_KEYWORDS.items()):
+            terms = F.array(*[F.lit(k) for k in keywords])
+            in_title = F.array_intersect(terms, words)
+            in_texts = F.array_except(F.array_intersect(terms, texts), in_title)
+            scored.append(F.struct((3 * F.size(in_title) + F.size(in_texts)).alias("score"), F.lit(-order).alias("first"), F.lit(topic).alias("topic")))
+        return F.array_max(F.array(*scored))
+
+    words = bound(title_tokens(title), both)
+    texts = F.flatten(F.transform(descriptions, lambda d: bound(title_tokens(d), both)))
+    found = bound(words, lambda w: bound(texts, lambda t: best(w, t)))
+    return bound(found, lambda b: F.struct(F.when(b["score"] > 0, b["topic"]).otherwise("india").alias("topic"), b["score"].alias("score")))
 
 
 def rank(scored: DataFrame, edition: str = "edition") -> DataFrame:
