@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
-from broadsheet.functions import facts, similarity, text, urls
+from broadsheet.functions import facts, text, urls
 from broadsheet.operators import clusters as C
+from broadsheet.operators import findings as N
 from broadsheet.operators import items as I
+from broadsheet.operators import lifecycle as L
 from broadsheet.operators import ranking as R
+from broadsheet.operators import reader as V
+from broadsheet.operators import summaries as U
 from broadsheet.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,6 +518,163 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("text").alias("n_texts"))
 
 
+# --- events, readers and lifecycle ------------------------------------------------------------------------------------
 
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "similarity"]
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "source_health",
+    f"""WITH last AS (SELECT max(ts) AS now FROM events), f AS (SELECT user_id, max(ts) AS latest_at, count(*) AS n, max(value) AS slowest, bool_or(event_type = 'error') AS failed FROM events GROUP BY user_id)
+        SELECT user_id::VARCHAR AS source_id, CASE WHEN failed THEN 'failing' WHEN slowest * 100 > {K.SLOW_MS} OR now - latest_at > INTERVAL 72 HOURS THEN 'warning' ELSE 'healthy' END AS status,
+               array_to_string(list_filter([CASE WHEN failed THEN 'fetch/failed' END, CASE WHEN NOT failed AND slowest * 100 > {K.SLOW_MS} THEN 'latency/high' END, CASE WHEN NOT failed AND now - latest_at > INTERVAL 72 HOURS THEN 'staleness/old' END], lambda x: x IS NOT NULL), ',') AS warnings
+        FROM f, last""",
+)
+def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sources: their slowest event is the fetch, their last event the latest item."""
+    events = _events(spark, sf_dir)
+    by = events.groupBy(F.col("user_id").cast("string").alias("source_id")).agg(F.max("ts").alias("latest_at"), F.count("*").alias("n_items"), F.max("value").alias("slowest"), F.bool_or(F.col("event_type") == "error").alias("failed"))
+    fetches = by.select("source_id", F.when(F.col("failed"), "failure").otherwise("success").alias("kind"), (F.col("slowest") * 100).alias("duration_ms"))
+    last = F.broadcast(events.agg(F.max("ts").alias("now")))  # one row
+    health = N.source_health(fetches.crossJoin(last), by.select("source_id", "n_items", "latest_at"), F.col("now"))
+    return health.select("source_id", "status", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(
+    "editorial_day_counts",
+    "SELECT (ts + INTERVAL 330 MINUTE)::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def editorial_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy(text.editorial_day(F.col("ts")).alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+_SHOWN_SQL = """
+    views AS (SELECT DISTINCT user_id AS reader_id, ts::DATE AS date, event_id % 7 AS story_id FROM events WHERE event_type = 'view'),
+    shown AS (SELECT reader_id, date, unnest(range(0, 10)) AS story_id FROM (SELECT DISTINCT user_id AS reader_id, ts::DATE AS date FROM events))"""
+
+
+@query(
+    "reader_progress",
+    f"""WITH {_SHOWN_SQL}, ended AS (SELECT DISTINCT user_id AS reader_id, ts::DATE AS date FROM events WHERE event_type = 'purchase')
+        SELECT s.reader_id, s.date, count(v.story_id) AS viewed_count, count(*) AS total, count(v.story_id) = count(*) OR bool_or(e.reader_id IS NOT NULL) AS over
+        FROM shown s LEFT JOIN views v ON v.reader_id = s.reader_id AND v.date = s.date AND v.story_id = s.story_id LEFT JOIN ended e ON e.reader_id = s.reader_id AND e.date = s.date GROUP BY s.reader_id, s.date""",
+)
+def reader_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten stories a reader and day; views of events mark some of them, purchases end the day."""
+    events = _events(spark, sf_dir).select(F.col("user_id").alias("reader_id"), F.to_date("ts").alias("date"), "event_type", F.pmod("event_id", F.lit(7)).alias("story_id"))
+    shown = events.select("reader_id", "date").distinct().withColumn("story_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    out = V.progress(shown, events.filter("event_type = 'view'"), events.filter("event_type = 'purchase'"))
+    return out.select("reader_id", "date", "viewed_count", "total", "over")
+
+
+@query(
+    "reader_memory",
+    f"""WITH v AS (SELECT user_id AS reader_id, ts::DATE AS date, list_sort(list(DISTINCT event_id)) AS stories FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+        SELECT reader_id, date, array_to_string(stories, ',') AS stories FROM (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY date DESC) AS r FROM v) WHERE r <= {K.KEPT_EDITIONS}""",
+)
+def reader_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = _events(spark, sf_dir).filter("event_type = 'view'").select(F.col("user_id").alias("reader_id"), F.to_date("ts").alias("date"), F.col("event_id").alias("story_id"))
+    return V.remembered(views).select("reader_id", "date", F.array_join(F.transform("stories", lambda s: s.cast("string")), ",").alias("stories"))
+
+
+@query(
+    "interest_pick",
+    f"""WITH pools AS (SELECT o_orderdate::DATE AS date, ({sql_list(K.INTEREST_TOPICS)})[o_orderkey % 6 + 1] AS interest, o_orderkey AS story_id,
+            row_number() OVER (PARTITION BY o_orderdate::DATE, o_orderkey % 6 ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders),
+        readers AS (SELECT DISTINCT o_custkey AS reader_id, o_orderdate::DATE AS date, ({sql_list(K.INTEREST_TOPICS)})[o_custkey % 6 + 1] AS interest FROM orders),
+        best AS (SELECT r.reader_id, r.date, p.story_id, CASE WHEN p.interest = r.interest THEN 0 ELSE 1 END AS chosen, p.position FROM readers r JOIN pools p ON p.date = r.date)
+        SELECT reader_id, date, place::INT AS place, story_id FROM (SELECT *, row_number() OVER (PARTITION BY reader_id, date ORDER BY chosen, position, story_id) AS place FROM best) WHERE place <= {K.KEPT_INTERESTS}""",
+)
+def interest_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's orders are its pooled stories; each of its customers reads it with one interest."""
+    topics = F.array(*[F.lit(t) for t in K.INTEREST_TOPICS])
+    pick = lambda key: F.element_at(topics, (F.pmod(F.col(key), F.lit(6)) + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders").withColumn("date", F.to_date("o_orderdate"))
+    place = F.row_number().over(Window.partitionBy("date", "interest").orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1
+    pools = orders.withColumn("interest", pick("o_orderkey")).withColumn("position", place).select("date", "interest", "position", F.col("o_orderkey").alias("story_id"))
+    chosen = orders.select(F.col("o_custkey").alias("reader_id"), "date", pick("o_custkey").alias("interest")).distinct()
+    return V.pick_pooled(pools, chosen).select("reader_id", "date", F.col("place").cast("int").alias("place"), "story_id")
+
+
+def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as editions: published if most orders of the day are fulfilled, else drafts."""
+    by = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count("*").alias("n"))
+    return by.select("date", F.when(F.col("f") * 2 > F.col("n"), "published").otherwise("draft").alias("status"), (F.col("n") - F.col("f")).alias("blocking"))
+
+
+_DAYS_SQL = """days AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN 2 * count(*) FILTER (o_orderstatus = 'F') > count(*) THEN 'published' ELSE 'draft' END AS status, count(*) - count(*) FILTER (o_orderstatus = 'F') AS blocking FROM orders GROUP BY 1)"""
+
+
+@query(
+    "rollback_plan",
+    f"""WITH {_DAYS_SQL}, e AS (SELECT list_sort(list(date)) AS d FROM days WHERE status = 'published')
+        SELECT d[-1] AS current_latest, d[-2] AS target_date, NULL::VARCHAR AS error, d[-1] AS withdrawn, len(d) - 1 AS remaining FROM e""",
+)
+def rollback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = L.rollback_plan(_order_days(spark, sf_dir), to_previous=True)
+    return plan.select("current_latest", "target_date", "error", F.array_join("withdrawn", ",").alias("withdrawn"), F.size("remaining").cast("long").alias("remaining"))
+
+
+@query(
+    "staging_plan",
+    f"""WITH {_DAYS_SQL} SELECT date || '.json' AS file, date, status = 'published' AND blocking = 0 AS stage,
+        CASE WHEN status = 'published' AND blocking = 0 THEN row_number() OVER (PARTITION BY status = 'published' AND blocking = 0 ORDER BY date DESC) ELSE 0 END::INT AS rank FROM days""",
+)
+def staging_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = _order_days(spark, sf_dir).select(F.concat("date", F.lit(".json")).alias("file"), "date", "blocking", F.lit(0).alias("warnings"), ((F.col("status") == "published") & (F.col("blocking") == 0)).alias("publishable"))
+    return L.staging_plan(reports).select("file", "date", "stage", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"))
+
+
+@query(
+    "staging_removal",
+    f"""WITH {_DAYS_SQL}, present AS (SELECT DISTINCT CASE WHEN o_orderkey % 11 = 0 THEN '../' ELSE '' END || strftime(o_orderdate, '%Y-%m-%d') || '.json' AS name FROM orders)
+        SELECT name, CASE WHEN name LIKE '../%' THEN 'refuse' ELSE 'remove' END AS action FROM present WHERE name NOT IN (SELECT date || '.json' FROM days WHERE status = 'published')""",
+)
+def staging_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.when(F.col("o_orderkey") % 11 == 0, "../").otherwise(""), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".json"))
+    present = table(spark, sf_dir, "orders").select(name.alias("name"))
+    keep = _order_days(spark, sf_dir).filter("status = 'published'").select(F.concat("date", F.lit(".json")).alias("name"))
+    return L.removal_plan(present, keep)
+
+
+@query(
+    "findings_rollup",
+    f"""WITH f AS (
+        SELECT 'structural/no-markup-in-text' AS rule_id, 'blocking' AS severity FROM documents WHERE {" OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for p in K.MARKUP)}
+        UNION ALL SELECT 'structural/unreviewed-story-gate', 'blocking' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+        UNION ALL SELECT 'length/deck-one-line', 'warning' FROM (SELECT regexp_split_to_array(split_part(coalesce(text, ''), chr(10), 1), '{_S}+') AS ws FROM documents) WHERE len(list_filter(ws, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) > {K.MAX_DECK_WORDS}
+        ) SELECT rule_id, severity, count(*) AS n FROM f GROUP BY rule_id, severity""",
+)
+def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules over documents as stories (labels are reviews), counted."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.coalesce("text", F.lit(""))
+    found = lambda df, rule, severity: df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))
+    markup = found(docs.filter(text.has_markup(body)), "structural/no-markup-in-text", "blocking")
+    gate = found(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti"), "structural/unreviewed-story-gate", "blocking")
+    deck = found(docs.filter(text.rule_word_count(F.split_part(body, F.lit("\n"), F.lit(1))) > K.MAX_DECK_WORDS), "length/deck-one-line", "warning")
+    return markup.unionByName(gate).unionByName(deck).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query("conversation_prompt", "SELECT conv_id, md5(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS prompt_md5, count(*) AS turns FROM conversations GROUP BY conv_id")
+def conversation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    prompts = U.prompt(turns, "conv_id", "turn", "role", "text")
+    return prompts.join(turns.groupBy("conv_id").agg(F.count("*").alias("turns")), "conv_id").select("conv_id", F.md5("prompt").alias("prompt_md5"), "turns")
+
+
+@query(
+    "semantic_merge_candidates",
+    f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + {K.CLUSTER_HOURS} WHERE list_cosine_similarity(a.e, b.e) >= {K.SEMANTIC_FLOOR}""",
+)
+def semantic_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector an hour: pairs within the window that are alike; bands as wide as the window meet their neighbours."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("band", F.floor(F.col("vec_id") / K.CLUSTER_HOURS))
+    later = v.select(F.col("vec_id").alias("b"), F.col("e").alias("eb"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    pairs = v.select(F.col("vec_id").alias("a"), F.col("e").alias("ea"), "band").join(later, "band").filter((F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + K.CLUSTER_HOURS))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    cosine = dot(F.col("ea"), F.col("eb")) / F.sqrt(dot(F.col("ea"), F.col("ea")) * dot(F.col("eb"), F.col("eb")))
+    return pairs.filter(cosine >= K.SEMANTIC_FLOOR).select("a", "b")
