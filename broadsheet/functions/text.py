@@ -272,6 +272,7 @@ def feed_date(value: Column) -> Column:
     iso = v.rlike(r"^(?i)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?$")
     colon = F.regexp_replace(F.upper(v), r"([+-]\d{2}):?(\d{2})$", "$1:$2")
     zoned = F.when(v.rlike(r"(?i)(?:Z|[+-]\d{2}:?\d{2})$"), colon).otherwise(F.concat(F.upper(v), F.lit("Z")))
+    zoned = F.regexp_replace(zoned, r"([T ][0-9]{2}:[0-9]{2})(Z|[+-])", "$1:00$2")
     named = F.regexp_replace(v, "(?i)" + _DAY, "")
     offsets = {"UT|UTC|GMT|Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
     for zone, offset in offsets.items():
