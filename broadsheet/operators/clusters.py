@@ -65,14 +65,25 @@ def exact_links(items: DataFrame) -> DataFrame:
 
 
 def classified_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    side = lambda name: items.select(F.col("node").alias(name), F.struct("source_id", "guid", "url", "content_hash", "published_at", "tokens").alias(f"item_{name}"))
+    tokens = F.struct("tokens.unigrams", "tokens.bigrams", "tokens.numbers").alias("tokens")
+    side = lambda name: items.select(F.col("node").alias(name), F.struct("source_id", "guid", "url", "content_hash", "published_at", tokens).alias(f"item_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", classify_pair(F.col("item_a"), F.col("item_b")).alias("match"))
 
 
 def near_pairs(items: DataFrame) -> DataFrame:
-    """All near pairs of items with their score: node numbers a < b."""
-    return classified_pairs(items, near_candidates(items)).filter("match.match_type = 'near'").select("a", "b", "match.*")
+    """All near pairs of items: node numbers a < b, score, common words, hours.
+
+    Words go with candidates first, and only pairs whose words leave a near score possible get bigrams and keys.
+    """
+    words = lambda x, o: items.select(F.col("node").alias(x), F.col("tokens.unigrams").alias(f"words_{o}"))
+    both = near_candidates(items).join(words("a", "a"), "a").join(words("b", "b"), "b")
+    na, nb = F.size("words_a"), F.size("words_b")
+    both = both.select("a", "b", na.alias("na"), nb.alias("nb"), F.size(F.array_intersect("words_a", "words_b")).alias("common"))
+    most = F.col("common") / (F.col("na") + F.col("nb")) + F.col("common") / (2 * F.least("na", "nb"))
+    bare = (F.col("na") == 0) & (F.col("nb") == 0)
+    may = both.filter(bare | ((F.col("common") >= F.least(F.lit(K.NEAR_TOKENS), "na", "nb")) & (K.UNIGRAM_SHARE * most + K.BIGRAM_SHARE >= K.NEAR_SCORE - 1e-9)))
+    return classified_pairs(items, may.select("a", "b")).filter("match.match_type = 'near'").select("a", "b", "match.*")
 
 
 def _dice(a: frozenset, b: frozenset) -> float:
