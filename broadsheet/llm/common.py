@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker has learned for an operator (words and their ids, say), by operator: how to forget it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    _kept[operator] = forget
+
+
+def claim(operator: str) -> None:
+    """Called where an operator's task starts: workers outlive tasks, and only one operator's knowledge stays in them."""
+    for other, forget in _kept.items():
+        if other != operator:
+            forget()
+
+
 def normalised(text: Column) -> Column:
     """The text with each run of white space made one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.common import materialize
+from broadsheet.llm.common import claim, materialize
 from broadsheet.llm.components import components
 
 WORDS = 5
@@ -36,13 +36,18 @@ BLOCK, LEAF, PIVOTS = 1024, 256, 8
 BUCKET_ROWS = 2048
 #: Bits of the filter that keeps texts without a region from being shuffled, as a power of two (2 MB).
 BLOOM_BITS = 24
-#: Words whose hashes a worker keeps at most; then it starts anew.
-KEPT_WORDS = 1_000_000
+#: Words whose hashes a task keeps at most; then it starts anew. Nothing stays in a worker when its task ends.
+KEPT_WORDS = 500_000
 
 _hashes: dict[bytes, int] = {}
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
+def forget() -> None:
+    """Empty the worker's table of words; a task calls it when it ends."""
+    _hashes.clear()
+
+
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h ^ np.uint64(salt) ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
@@ -176,6 +181,7 @@ def _sample_common(docs: DataFrame, seed: int) -> np.ndarray:
             if sets:
                 g, k = np.unique(np.concatenate(sets), return_counts=True)
                 yield pd.DataFrame({"gram": g.view(np.int64), "n": k})
+        forget()
 
     counts = some.mapInPandas(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     return np.sort(counts.select("gram").toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
@@ -224,6 +230,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = spark.sparkContext.broadcast(_sample_common(docs, seed))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard_join")
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
@@ -239,6 +246,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.insert(0, "id", part["id"].to_numpy())
                 out.insert(1, "tkey", part["tkey"].to_numpy())
                 yield out
+        forget()
 
     table = materialize(docs.mapInPandas(sets_of, f"id {kind}, tkey long, n long, k long, k2 long, prefix array<long>"), "shingles")
     # equal sets are one document from here on; two hashes of 64 bits each tell sets apart
@@ -284,6 +292,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             root = spanning(len(keys), join_region([known[k] for k in keys]))
             tied = root != np.arange(len(keys))
             out.append(pd.DataFrame({"a": keys[tied], "b": keys[root[tied]]}))
+        forget()
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     edges = placed.groupBy("bucket").applyInPandas(compare, "a long, b long")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.llm.common import claim
+
 #: Characters in an n-gram; words are parted by one blank.
 N = 4
 #: Bits of a language's filter, and positions an n-gram sets in it.
@@ -118,6 +120,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1 << 30)) < share)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("language_id")
         for batch in batches:
             for lang, part in batch.groupby("lang"):
                 h, k = np.unique(grams(part["text"].tolist())[0], return_counts=True)
@@ -166,6 +169,7 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("lang_pred string, score double, known double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language_id")
         f = shared.value
         for texts in batches:
             pred, score, known = [], [], []

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.common import materialize
+from broadsheet.llm.common import claim, materialize
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -25,6 +25,7 @@ BUCKET_ROWS = 4096
 @F.pandas_udf(T.LongType())
 def word_count(text: pd.Series) -> pd.Series:
     """Words between ASCII white space; null has none."""
+    claim("mixing")
     return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
 
 

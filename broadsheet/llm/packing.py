@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import materialize
+from broadsheet.llm.common import claim, keeps, materialize
 
 ROOM = 2048
 #: Words, and parts of words, whose ids a worker keeps in each of two generations.
 KEPT_WORDS = 450_000
+#: Texts that are split into words at a time.
+BATCH = 2000
 #: Rows in a bucket of the ranks.
 BUCKET_ROWS = 4096
 END_ID = 1
@@ -54,7 +56,7 @@ class Kept(dict):
 class WordEncoder:
     """Ids of texts under a tokenizer whose tokens never hold white space, by way of the ids of their words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         import regex
         from tokenizers import Tokenizer
 
@@ -64,7 +66,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.words, self.pieces = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+        self.words, self.pieces = Kept(kept_words), Kept(kept_words)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -114,25 +116,30 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+keeps("packing", _encoders.clear)
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, kept_words: int) -> WordEncoder:
+    """The worker's own encoder for a file."""
+    key = (path, kept_words)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(path, kept_words)
+    return _encoders[key]
 
 
-def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
+def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of whole documents: id, start, length, ids_crc32, doc_tokens. Every document ends with END_ID."""
     kind = df.schema[id_col].dataType.simpleString()
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        claim("packing")
+        e = encoder(path, kept_words)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                ids, texts = (c.slice(at, 2000) for c in batch.columns)
+            for at in range(0, len(batch), BATCH):
+                ids, texts = (c.slice(at, BATCH) for c in batch.columns)
                 row, start, length, crc, total = [], [], [], [], []
                 for i, data in enumerate(e.encode_all(texts.to_pylist())):
                     data += end
@@ -240,9 +247,9 @@ def pack(cut: DataFrame, room: int = ROOM, seed: int = 42) -> DataFrame:
     return ranked.mapInPandas(place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Whole documents packed into sequences of at most room ids: one row a piece (see pieces and pack).
 
-    Null texts count as empty and hold END_ID alone. Ids may be null; rows with the same id and text are apart.
+    kept_words bounds the words that a Python worker remembers, and so its memory. Null texts count as empty and hold END_ID alone. Ids may be null; rows with the same id and text are apart.
     """
-    return pack(materialize(pieces(df, path, id_col, text_col, room), "pieces"), room)
+    return pack(materialize(pieces(df, path, id_col, text_col, room, kept_words), "pieces"), room)

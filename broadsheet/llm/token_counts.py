@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.common import claim, keeps
+
 #: Words whose tables a worker keeps at most; then it starts anew.
 KEPT_WORDS = 500_000
 #: Texts that are split into words at a time.
@@ -174,6 +176,7 @@ class PrefixCounter:
 
 
 _counters: dict[str, PrefixCounter] = {}
+keeps("token_counts", _counters.clear)
 
 
 def counter(path: str) -> PrefixCounter:
@@ -188,6 +191,7 @@ def count_tokens(text: Column, path: str) -> Column:
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("token_counts")
         c = counter(path)
         for texts in batches:
             counts: list[int] = []

@@ -15,6 +15,8 @@ from broadsheet.llm import exact_dedup, jaccard_join, language_id, mixing, packi
 from broadsheet.llm.common import materialize, table
 from broadsheet.llm.queries import tokenizer_path
 
+#: Words that packing remembers in a worker: few, as the executors' heaps have grown in the stages before.
+KEPT_WORDS = 100_000
 #: A document goes if its text has no letters, or if no language knows at least this share of its n-grams.
 LEAST_KNOWN = 0.25
 
@@ -41,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), kept_words=KEPT_WORDS).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
