@@ -20,7 +20,8 @@ from broadsheet.operators import lifecycle as L
 from broadsheet.operators import ranking as R
 from broadsheet.operators import reader as V
 from broadsheet.operators import summaries as U
-from broadsheet.session import table
+from broadsheet.plans import draft as D
+from broadsheet.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -497,22 +498,18 @@ def orphan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FLAGSHIP)
 def draft_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to composed candidates of daily editions: tokens, clusters, features, order, greedy core and pools."""
-    found = C.clusters(C.cluster_items(items_of(spark, sf_dir)))
-    tokens = text.title_tokens(F.col("representative_title"))
-    topic = R.topic_of(F.col("representative_title"), F.array().cast("array<string>"))["topic"]
-    scored = found.withColumn("edition", text.editorial_day(F.col("last_published_at"))).withColumn("topic", topic)
-    scores = {
-        "recency": R.recency(F.col("last_published_at"), F.col("edition").cast("timestamp")),
-        "corroboration": R.corroboration(F.col("source_count")),
-        "source_tier": R.source_tier(None),
-        "india_relevance": R.india_relevance(tokens),
-        "topic_weight": R.topic_weight(F.col("topic")),
-    }
-    scored = scored.withColumn("composite_score", R.composite(scores, F.lit(0.0)))
-    composed = R.compose(R.rank(scored))
+    composed = D.compose(C.clusters(C.cluster_items(items_of(spark, sf_dir))))
     return composed.select("edition", "rank", "cluster_id", "topic", "primary_source_id", "source_count", F.round("composite_score", 6).alias("composite_score"), "decision", "reason")
 
 
+@query("draft_editions")
+def draft_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to edition documents of each day and the findings on them: a row an edition."""
+    editions = written(D.draft_editions(items_of(spark, sf_dir)), "draft-editions")
+    reports = D.draft_report(editions)
+    return editions.join(reports.drop("file"), "date").select("date", F.size("coreStoryIds").alias("core"), F.size("stories").alias("stories"), F.size("sources").alias("sources"), "estimatedMinutes", "blocking", "warnings", "publishable")
+
+
 @query("source_counts", "SELECT source, count(*) AS n_docs, count(text) AS n_texts FROM documents GROUP BY source")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("text").alias("n_texts"))

@@ -190,3 +190,22 @@ def test_no_clock_or_chance_in_operators():
     for path in root.glob("*.py"):
         assert not {"current_timestamp", "current_date", "F.rand(", "datetime.now"} & set(path.read_text().split()), path
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_draft_editions(spark, news):
+    from broadsheet.plans import draft
+
+    items_ = news.withColumn("updated_at", F.lit(None).cast("timestamp")).withColumn("author", F.lit(None).cast("string")).filter("published_at is not null")
+    editions = draft.draft_editions(items_).cache()
+    rows = editions.collect()
+    assert rows and all(len(r["coreStoryIds"]) <= 8 and 1 <= r["estimatedMinutes"] <= 60 for r in rows)
+    for r in rows:
+        ids = [s["id"] for s in r["stories"]]
+        assert ids[: len(r["coreStoryIds"])] == r["coreStoryIds"] and len(set(ids)) == len(ids)
+        assert {x for s in r["stories"] for x in s["sourceIds"]} == {s["id"] for s in r["sources"]}
+        assert all(1 <= len(p) <= 3 for p in r["interestPools"].values())
+    assert {str(r) for r in draft.draft_editions(items_.orderBy(F.rand(1)).repartition(3)).collect()} == {str(r) for r in rows}
+    reports = draft.draft_report(editions)
+    assert reports.count() == len(rows)
+    assert draft.summary_markdown(editions, reports).first()["markdown"].startswith("# Draft 2026-08")
+    editions.unpersist()
