@@ -7,6 +7,7 @@ the 2048 lengths, not the documents. Pieces then find their place by their rank
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,15 +43,11 @@ class Kept(dict):
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        missing, old = [], self.old
-        for k in keys:
-            if k not in self:
-                found = old.get(k)
-                if found is None:
-                    missing.append(k)
-                else:
-                    self[k] = found
-        return missing
+        missing, old = [k for k in keys if k not in self], self.old
+        if not old:
+            return missing
+        self.update([(k, old[k]) for k in missing if k in old])
+        return [k for k in missing if k not in old]
 
 
 class WordEncoder:
@@ -95,13 +92,15 @@ class WordEncoder:
                     single.append((w, text.lower()))
                     continue
                 if "<|" not in text:
-                    own = split(text.lower())
+                    text = text.lower()
+                    # most other words end in one mark
+                    own = [text[:-1], text[-1]] if text[-1] in ".,;:!?" and text[:-1].isalpha() else split(text)
                     parted.append((w, own))
                     parts.update(own)
                     continue
             whole.append(w)
         parts.update([p for _, p in single])
-        new = self.pieces.lacks(parts)
+        new = sorted(self.pieces.lacks(parts))
         self.pieces.update(zip(new, self._encode_parts(new)))
         get = self.pieces.__getitem__
         self.words.update([(w, get(p)) for w, p in single])
@@ -111,9 +110,15 @@ class WordEncoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each whole text; null counts as empty."""
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        self.learn(self.words.lacks(set().union(*split)))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        collects = gc.isenabled()
+        gc.disable()  # none of the many lists and tuples here is a cycle
+        try:
+            self.learn(self.words.lacks(set().union(*split)))
+            get = self.words.__getitem__
+            return [b"".join(map(get, words)) for words in split]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -250,6 +255,7 @@ def pack(cut: DataFrame, room: int = ROOM, seed: int = 42) -> DataFrame:
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Whole documents packed into sequences of at most room ids: one row a piece (see pieces and pack).
 
-    kept_words bounds the words that a Python worker remembers, and so its memory. Null texts count as empty and hold END_ID alone. Ids may be null; rows with the same id and text are apart.
+    kept_words bounds the words that a Python worker remembers, and so its memory. Null texts count as empty and hold
+    END_ID alone. Ids may be null; rows with the same id and text are apart.
     """
     return pack(materialize(pieces(df, path, id_col, text_col, room, kept_words), "pieces"), room)
