@@ -675,3 +675,52 @@ def semantic_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     cosine = dot(F.col("ea"), F.col("eb")) / F.sqrt(dot(F.col("ea"), F.col("ea")) * dot(F.col("eb"), F.col("eb")))
     return pairs.filter(cosine >= K.SEMANTIC_FLOOR).select("a", "b")
+
+
+@query("edition_dates", "SELECT day, strftime(day, '%A, %-d %B %Y') AS label, n FROM (SELECT (ts + INTERVAL 330 MINUTE)::DATE AS day, count(*) AS n FROM events GROUP BY 1)")
+def edition_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = _events(spark, sf_dir).groupBy(text.editorial_day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+    return by.select("day", text.long_date(F.col("day")).alias("label"), "n")
+
+
+@query(
+    "update_markers",
+    """WITH s AS (SELECT o_orderkey AS story_id, o_orderdate AS f, max(l_shipdate) AS u, bool_or(l_returnflag = 'R') AS noted FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+       SELECT story_id, CASE WHEN noted THEN 'Corrected' WHEN u > f THEN 'Updated' ELSE 'none' END AS marker FROM s""",
+)
+def update_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stories, shipping as updates, returns as corrections."""
+    line = table(spark, sf_dir, "lineitem")
+    dated = table(spark, sf_dir, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")
+    stories = dated.groupBy(day, F.col("o_orderkey").alias("story_id")).agg(F.min("o_orderdate").alias("first_published_at"), F.max("l_shipdate").alias("updated_at"))
+    notes = dated.filter("l_returnflag = 'R'").select(day, F.col("o_orderkey").alias("story_id"))
+    return V.update_marker(stories, notes).select("story_id", F.coalesce("marker", F.lit("none")).alias("marker"))
+
+
+@query(
+    "composite_rank",
+    f"""WITH s AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS edition, count(DISTINCT l_suppkey) AS n, (epoch_ms((SELECT max(o_orderdate) FROM orders)) - epoch_ms(o_orderdate)) / 3600000.0 AS h FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, o_orderdate),
+        f AS (SELECT *, CASE WHEN h > 72 THEN 0.05 ELSE exp(-ln(2.0) * h / {K.HALF_LIFE_HOURS}) END AS recency, CASE WHEN n <= 1 THEN 0.35 WHEN n = 2 THEN 0.65 WHEN n = 3 THEN 0.85 ELSE 1.0 END AS corr FROM s),
+        c AS (SELECT *, round(0.25 * recency + 0.25 * corr + 0.15 * 0.8 + 0.2 * 0.8 + 0.15 * 0.7, 4) AS score FROM f)
+        SELECT id, edition, score, row_number() OVER (PARTITION BY edition ORDER BY score DESC, n DESC, lpad(id::VARCHAR, 12, '0'))::INT AS rank FROM c""",
+)
+def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as candidates with suppliers as sources; features that aren't looked up have their defaults."""
+    orders = table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    last = F.broadcast(orders.agg(F.max("at").alias("last")))  # one row
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("source_count"))
+    c = orders.join(n, F.col("o_orderkey") == F.col("l_orderkey")).crossJoin(last)
+    features = {"recency": R.recency(F.col("at"), F.col("last")), "corroboration": R.corroboration(F.col("source_count")), "source_tier": R.source_tier(None), "india_relevance": F.lit(0.8), "topic_weight": R.topic_weight(F.lit("none"))}
+    scored = c.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("edition"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("cluster_id"), "source_count", F.round(R.composite(features, F.lit(0.0)), 4).alias("composite_score"))
+    return R.rank(scored).select(F.col("o_orderkey").alias("id"), "edition", F.col("composite_score").alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    "latest_per_source",
+    "SELECT user_id, max(ts) AS latest_at, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_items FROM events GROUP BY user_id",
+)
+def latest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    last = F.max(F.struct("ts", "event_id"))
+    return events.groupBy("user_id").agg(last.alias("l"), F.count("*").alias("n_items")).select("user_id", F.col("l.ts").alias("latest_at"), F.col("l.event_id").alias("event_id"), "n_items")
