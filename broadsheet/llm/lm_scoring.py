@@ -1,12 +1,17 @@
 """Operator 4: language-model scores by stupid backoff over count tables that are partitioned by hash.
 
-Words are counted over all documents; the commonest make the vocabulary and the rest are one word, <unk>. Each document's
-bigrams are sent to the partition of their hash, in blocks of whole batches; a partition builds its count table, joins it
+Every word is scored by its own count. The commonest words are numbered and their counts broadcast; bigrams of two such
+words are sent to the partition of their hash, in blocks of whole batches; a partition builds its count table, joins it
 to the bigrams it was sent and returns what each document gets from them, which is summed per document. Bigrams so
 common that their partition would be uneven are counted by pre-aggregation and scored where the documents are.
 
     S(w | v) = c(v w) / c(v)          if c(v w) >= MIN_COUNT
              = BACKOFF * c(w) / N     otherwise
+
+Of any other, rare word each occurrence is sent with its two neighbours to the partition of the word's hash, which so
+counts the word and its bigrams without a table of words. The log of S is a sum: the partition of w gives what depends on
+c(v w) and c(w), that of a rare v takes off log c(v), and the counts of common neighbours are at hand. Which words are
+broadcast changes no result. Rare words are told apart by 63 bits of a hash, and beside the same rare word by 39.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import claim, keeps, materialize
 
-#: Words of the vocabulary at most (they are broadcast), bits of a word's number, and the factor of backing off.
+#: Words that are broadcast at most, bits of a word's number, and the factor of backing off.
 VOCABULARY = (1 << 18) - 1
 BITS = 18
 BACKOFF = 0.4
+#: Bits of a neighbour of a rare word: a number, or the hash of a rare one with the highest bit set.
+NEIGHBOUR_BITS = 40
 #: Bigrams seen less often are pruned from the table.
 MIN_COUNT = 2
 #: Words a partition of the table handles, about; documents in a block.
@@ -46,20 +54,28 @@ class Numbers(dict):
         return 0
 
 
+class OpenNumbers(dict):
+    """Numbers of words; any other word is its hash, a negative number."""
+
+    def __missing__(self, key: bytes) -> int:
+        return int.from_bytes(blake2b(key, digest_size=8).digest(), "little") % (1 << 63) - (1 << 63)
+
+
 @dataclass(frozen=True)
 class Unigrams:
     words: list[bytes]
-    counts: np.ndarray  # of <unk> and then of each word
+    counts: np.ndarray  # of all other words and then of each word
+    closed: bool  # whether all other words are one
 
-    def numbers(self) -> Numbers:
-        return Numbers((w, i + 1) for i, w in enumerate(self.words))
+    def numbers(self) -> dict[bytes, int]:
+        return (Numbers if self.closed else OpenNumbers)((w, i + 1) for i, w in enumerate(self.words))
 
 
-_numbers: dict[str, Numbers] = {}
+_numbers: dict[str, dict[bytes, int]] = {}
 keeps("lm_scoring", _numbers.clear)
 
 
-def _numbers_of(run: str, unigrams: Unigrams) -> Numbers:
+def _numbers_of(run: str, unigrams: Unigrams) -> dict[bytes, int]:
     """The worker's own table of a run's words."""
     claim("lm_scoring")
     if run not in _numbers:
@@ -93,7 +109,7 @@ def unigram_table(df: DataFrame, text_col: str) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> Unigrams:
+def vocabulary(counts: DataFrame, most: int = VOCABULARY, closed: bool = False) -> Unigrams:
     """All words above a count at which at most `most` are left, in the order of their bytes."""
     steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # as many rows as different counts
     least, kept, total = None, 0, 0
@@ -106,7 +122,7 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> Unigrams:
     found = counts.filter(F.col("n") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "n": []})
     found = found.assign(word=[bytes(w) for w in found["word"]]).sort_values("word")
     own = found["n"].to_numpy(dtype=np.int64)
-    return Unigrams(found["word"].tolist(), np.concatenate([[total - own.sum()], own]).astype(np.int64))
+    return Unigrams(found["word"].tolist(), np.concatenate([[total - own.sum()], own]).astype(np.int64), closed)
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -115,7 +131,7 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Bigrams of 36 bits in 5 bytes each, by planes."""
+    """Bigrams of 36 bits or neighbours of 40 in 5 bytes each, by planes."""
     return (keys & 0xFFFFFFFF).astype("<u4").tobytes() + (keys >> 32).astype(np.uint8).tobytes()
 
 
@@ -124,9 +140,22 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.int64) | (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64) << 32)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, vocabulary_size: int = VOCABULARY) -> DataFrame:
+def _spread(runs: bytes) -> np.ndarray:
+    """The document of each entry, from the number of entries of each document."""
+    n = np.frombuffer(runs, "<u4").astype(np.int64)
+    return np.repeat(np.arange(len(n)), n)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the different ones, and how often it occurs."""
+    _, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return where, counts[where]
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, vocabulary_size: int | None = None) -> DataFrame:
     """One row per row of df: id, n_words, log_score (sum of the natural logs of S; the first word's is c(w) / N) and mean_log_score.
 
+    With a vocabulary_size (VOCABULARY at most) the words that are rarer than the vocabulary's are one word, <unk>.
     Words are what stands between ASCII white space. Null and texts without words have n_words 0, log_score 0 and a
     null mean. Repeated rows are scored each. An empty table gives no rows.
     """
@@ -134,24 +163,35 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cou
     sc = spark.sparkContext
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    unigrams = vocabulary(materialize(unigram_table(df, text_col), "unigrams"), vocabulary_size)
+    most = VOCABULARY if vocabulary_size is None else vocabulary_size
+    unigrams = vocabulary(materialize(unigram_table(df, text_col), "unigrams"), most, closed=vocabulary_size is not None)
     shared, run = sc.broadcast(unigrams), uuid.uuid4().hex
     total = int(unigrams.counts.sum())
     parts = max(16, -(-total // PARTITION_WORDS))
 
-    def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers end to end, words of each text, and each bigram with its text's place."""
+    def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers end to end, words of each text, each word's text, and each bigram of numbered words with its text's place."""
         split = [_words(t) for t in texts]
         n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         get = _numbers_of(run, shared.value).__getitem__
         words = np.fromiter((x for s in split for x in map(get, s)), dtype=np.int64, count=int(n.sum()))
         owner = np.repeat(np.arange(len(split)), n)
-        inner = owner[1:] == owner[:-1]
-        return words, n, ((words[:-1] << BITS) | words[1:])[inner], owner[1:][inner]
+        inner = (owner[1:] == owner[:-1]) & (words[1:] >= 0) & (words[:-1] >= 0)
+        return words, n, owner, (words[:-1][inner] << BITS) | words[1:][inner], owner[1:][inner]
+
+    def rare(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each occurrence of a rare word, its neighbours before and after (0: none), and its text's place."""
+        at = np.flatnonzero(words < 0)
+        top = 1 << (NEIGHBOUR_BITS - 1)
+        beside = np.concatenate([[0], np.where(words < 0, (words & (top - 1)) | top, words), [0]])
+        from_ = np.concatenate([[-1], owner, [-1]])
+        before = np.where(from_[at] == owner[at], beside[at], 0)
+        after = np.where(from_[at + 2] == owner[at], beside[at + 2], 0)
+        return words[at], before, after, owner[at]
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            _, _, keys, owner = bigrams(batch["text"].tolist())
+            _, _, _, keys, owner = bigrams(batch["text"].tolist())
             keys = np.unique(np.column_stack([owner, keys]), axis=0)[:, 1] if len(keys) else keys
             k, n = np.unique(keys, return_counts=True)
             yield pd.DataFrame({"key": k, "n": n})
@@ -168,11 +208,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cou
         for batch in batches:
             for at in range(0, len(batch), BLOCK_ROWS):
                 some = batch.iloc[at : at + BLOCK_ROWS]
-                words, n, keys, owner = bigrams(some["text"].tolist())
+                words, n, of, keys, owner = bigrams(some["text"].tolist())
                 block, number = (task << 24) | number, number + 1
                 first = np.zeros(len(n))
                 starts = (np.cumsum(n) - n)[n > 0]
-                first[n > 0] = np.log(shared.value.counts[words[starts]]) - log_n
+                head = words[starts]  # a rare one is scored where its count is
+                first[n > 0] = np.where(head < 0, 0.0, np.log(np.maximum(1, shared.value.counts[np.maximum(head, 0)])) - log_n)
                 is_hot = np.isin(keys, often)
                 hot_keys, hot_owner = keys[is_hot], owner[is_hot]
                 keys, owner = keys[~is_hot], owner[~is_hot]
@@ -180,17 +221,25 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cou
                 order = np.argsort(part, kind="stable")
                 keys, owner, part = keys[order], owner[order], part[order]
                 cuts = np.searchsorted(part, np.arange(parts + 1))
+                alone, before, after, place = rare(words, of)
+                part = _part(alone, parts)
+                order = np.argsort(part, kind="stable")
+                alone, before, after, place, part = alone[order], before[order], after[order], place[order], part[order]
+                ends = np.searchsorted(part, np.arange(parts + 1))
                 rows = []
                 for p in range(parts):
                     lo, hi = cuts[p], cuts[p + 1]
-                    if hi > lo:
+                    a, b = ends[p], ends[p + 1]
+                    if hi > lo or b > a:
                         runs = np.bincount(owner[lo:hi], minlength=len(n)).astype("<u4").tobytes()
-                        rows.append((block, p, _pack(keys[lo:hi]), runs, None, None, None))
+                        own = (alone[a:b].astype("<i8").tobytes(), _pack(before[a:b]), _pack(after[a:b]), np.bincount(place[a:b], minlength=len(n)).astype("<u4").tobytes()) if b > a else (b"",) * 4
+                        rows.append((block, p, _pack(keys[lo:hi]), runs, *own, None, None, None))
                 # the block's own row: ids, words, what first words give, and the common bigrams with their places
-                rows.append((block, -1, _pack(hot_keys), hot_owner.astype("<u4").tobytes(), some["id"].tolist(), n, first))
-                yield pd.DataFrame(rows, columns=["block", "part", "keys", "runs", "ids", "words", "scores"])
+                rows.append((block, -1, _pack(hot_keys), hot_owner.astype("<u4").tobytes(), *[None] * 4, some["id"].tolist(), n, first))
+                yield pd.DataFrame(rows, columns=["block", "part", "keys", "runs", "rare", "before", "after", "rare_runs", "ids", "words", "scores"])
 
-    made = materialize(docs.mapInPandas(blocks, f"block long, part int, keys binary, runs binary, ids array<{id_type}>, words array<long>, scores array<double>"), "bigrams")
+    sent = "block long, part int, keys binary, runs binary, rare binary, before binary, after binary, rare_runs binary"
+    made = materialize(docs.mapInPandas(blocks, f"{sent}, ids array<{id_type}>, words array<long>, scores array<double>"), "bigrams")
 
     def hot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,19 +256,43 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cou
         kept = np.log(counts) - np.log(np.maximum(1, c1[before]))
         return np.where(counts >= min_count, kept, np.log(BACKOFF) + np.log(np.maximum(1, c1[word])) - np.log(max(1, total)))
 
+    def rare_terms(words: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """What each occurrence of a rare word gives: its own score, and its part in that of the word after it."""
+        c1 = shared.value.counts
+        backed = np.log(BACKOFF) - np.log(max(1, total))
+
+        def numbered(beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            known = (beside > 0) & (beside < 1 << BITS)
+            return known, np.log(np.maximum(1, c1[np.where(known, beside, 0)]))
+
+        where, own = _counted(words)
+        own = np.log(own)
+        with_before, with_after = (_counted((where << NEIGHBOUR_BITS) | beside)[1] for beside in (before, after))
+        known, count = numbered(before)
+        out = np.where(before == 0, own - np.log(max(1, total)), np.where(with_before >= min_count, np.log(with_before) - np.where(known, count, 0.0), backed + own))
+        known, count = numbered(after)
+        kept = np.where(known, np.log(with_after), 0.0) - own
+        return out + np.where(after == 0, 0.0, np.where(with_after >= min_count, kept, np.where(known, backed + count, 0.0)))
+
     def join_counts(group: pd.DataFrame) -> pd.DataFrame:
         """One hash partition: its count table, joined to the bigrams it was sent, summed per document."""
         group = group.sort_values("block")
         keys = [_unpack(b) for b in group["keys"]]
         table, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         each, at, out = terms(table, counts)[where], 0, []
-        for k, runs in zip(keys, group["runs"]):
-            n = np.frombuffer(runs, "<u4").astype(np.int64)
-            out.append(np.bincount(np.repeat(np.arange(len(n)), n), weights=each[at : at + len(k)], minlength=len(n)))
-            at += len(k)
+        rare_words = [np.frombuffer(b, "<i8") for b in group["rare"]]
+        beside = [np.concatenate([_unpack(b) for b in group[side]]) for side in ("before", "after")]
+        rare_each, rare_at = rare_terms(np.concatenate(rare_words), *beside), 0
+        for k, runs, w, rare_runs in zip(keys, group["runs"], rare_words, group["rare_runs"]):
+            size = len(runs) // 4
+            given = np.bincount(_spread(runs), weights=each[at : at + len(k)], minlength=size)
+            if len(w):
+                given = given + np.bincount(_spread(rare_runs), weights=rare_each[rare_at : rare_at + len(w)], minlength=size)
+            out.append(given)
+            at, rare_at = at + len(k), rare_at + len(w)
         return pd.DataFrame({"block": group["block"].to_numpy(), "part": group["part"].to_numpy(), "scores": out})
 
-    partial = made.filter("part >= 0").select("block", "part", "keys", "runs").groupBy("part").applyInPandas(join_counts, "block long, part int, scores array<double>")
+    partial = made.filter("part >= 0").drop("ids", "words", "scores").groupBy("part").applyInPandas(join_counts, "block long, part int, scores array<double>")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = hot_table.value

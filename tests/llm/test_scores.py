@@ -41,6 +41,18 @@ def test_lm_small_vocabulary_and_common_bigrams(docs, rows, monkeypatch):
     assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == want
 
 
+def test_lm_rare_words_keep_their_own_counts(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 20)
+    monkeypatch.setattr(lm_scoring, "HOT", 2)
+    monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 7)
+    got = lm_scoring.score(docs).collect()
+    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(rows)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 0)
+    few = [r for r in rows if r[0] is not None and r[0] < 60]
+    got = lm_scoring.score(docs.filter("doc_id < 60")).collect()
+    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(few)
+
+
 def test_lm_empty(empty):
     assert lm_scoring.score(empty).count() == 0
 
