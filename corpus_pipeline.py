@@ -17,16 +17,12 @@ from broadsheet.llm.queries import tokenizer_path
 
 #: Words that packing remembers in a worker: few, as the executors' heaps have grown in the stages before.
 KEPT_WORDS = 100_000
-#: A document goes if its text has no letters, or if no language knows at least this share of its n-grams.
-LEAST_KNOWN = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.learn(docs.filter(~language_id.held_out()))
-    found = language_id.identify(docs, filters)
-    # texts of a few letters have no n-grams to know, and are no reason to go
-    short = F.char_length("text") < 4 * language_id.N
-    return found.filter((F.col("lang_pred") != language_id.UNDECIDED) & ((F.col("known") >= LEAST_KNOWN) | short)).select(docs.columns)
+    # only what has no letters goes: filters of a bounded sample may not know a rare language, and that is no reason to go
+    return language_id.identify(docs, filters).filter(F.col("lang_pred") != language_id.UNDECIDED).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from broadsheet.llm import packing
+from broadsheet.llm import language_id, packing
 from pyspark.sql import functions as F
 from tests.llm.test_dedup import norm, shingle_set
 
@@ -45,6 +45,15 @@ def test_stages(spark, docs, rows):
         df.unpersist()
 
 
+def test_clean_texts_of_a_rare_language_stay(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 40)
+    rows = [(i, "the quick brown fox jumps over the lazy dog", "en", "a", 1) for i in range(400)]
+    rows += [(400 + i, "žluťoučký kůň úpěl ďábelské ódy", "cs", "a", 1) for i in range(2)] + [(500, "12345 67890 12345 67890 ab 123", "en", "a", 1), (501, "12 34 !!", "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, None).collect()}
+    assert kept == {r[0] for r in rows} - {501}
+
+
 def test_empty(spark, empty):
     stages = run(spark, empty)
     assert all(df.count() == 0 for df in stages.values())
