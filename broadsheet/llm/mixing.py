@@ -1,4 +1,4 @@
-"""Operator 9: mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words."""
+"""Operator 9: mixing sources to target weights by Sainte-Lague apportionment of words, taken in equal blocks."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all words that the mix takes, and how often a source's words may repeat.
 SHARE = 1.5
 MOST_REPEATS = 2
-#: Seats that are apportioned: the block size follows from them, so the table of blocks is bounded at any input.
+#: Blocks in the mix: the block size follows from them, so the table of blocks is bounded at any input.
 SEATS = 1 << 16
 #: Rows in a bucket of the running totals.
 BUCKET_ROWS = 4096
@@ -49,26 +49,33 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", "weight", F.least("cap", F.coalesce(held["level"] * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def quotas(goals: DataFrame, block: int, shards: int) -> DataFrame:
-    """Blocks of each source: seats go to the highest quotients target / (2k + 1); a seat's rank gives its shard.
+def quotas(goals: DataFrame) -> DataFrame:
+    """Words of each source (source, quota): each word is a seat, seats go to the highest quotients target / (2k + 1).
 
-    Returns (source, quota, by_shard): by_shard counts the source's blocks in each shard.
+    All but a few seats are certain. Rounded targets miss the seats by at most half the sources and one, so the divisor
+    that meets them moves a source's quota by at most its part of that and one: only these seats are ranked, a number in
+    proportion to the sources. A source's words times MOST_REPEATS are the most it gets.
     """
-    seats = F.ceil(F.sum("target").over(Window.partitionBy()) / block)
-    most = F.ceil(F.col("target") / block).cast("int")
-    each = goals.withColumn("seats", seats).filter("target > 0").withColumn("k", F.explode(F.sequence(F.lit(0), most)))
+    everything = Window.partitionBy()
+    t = goals.filter("target > 0").withColumn("seats", F.ceil(F.sum("target").over(everything)))
+    reach = F.ceil((F.count("*").over(everything) / 2 + 1) * F.col("target") / F.sum("target").over(everything)) + 2
+    t = t.withColumn("reach", reach).withColumn("certain", F.greatest(F.lit(0).cast("long"), F.floor("target") - F.col("reach")))
+    t = t.withColumn("open", F.col("seats") - F.sum("certain").over(everything))
+    last = F.least(F.ceil("target") + F.col("reach"), F.col("source_size") * MOST_REPEATS) - 1
+    each = t.withColumn("k", F.explode(F.when(last >= F.col("certain"), F.sequence("certain", last)).otherwise(F.array().cast("array<bigint>"))))
     ranked = each.withColumn("rank", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").isNull(), "source", "k")))
-    won = ranked.filter("rank <= seats").withColumn("shard", (F.col("rank") - 1) % shards)
-    per = won.groupBy("source", "shard").agg(F.count("*").alias("n"))
-    return per.groupBy("source").agg(F.sum("n").alias("quota"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("shard", "n")))).alias("by_shard"))
+    won = ranked.filter("rank <= open").groupBy("source").agg(F.count("*").alias("more"))
+    both = t.alias("t").join(won.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source")), "left")
+    return both.select("t.source", (F.col("certain") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
-def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42, shards: int = 8) -> DataFrame:
+def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42) -> DataFrame:
     """One row per row of df: id, key, copy (numbers repeated rows), size, source_size, target, epochs, spans, taken.
 
     A document is taken whole `epochs` times, and once more in its `spans` (word ranges from, to). The words of a
-    source stand in a seeded order, end to end, and are cut into equal blocks. The source's quota of blocks is met by
-    whole passes and then by blocks chosen by a seeded hash; so no word is taken more than MOST_REPEATS times. Null
+    source stand in a seeded order, end to end, and are cut into equal blocks. The source's quota of words is met by
+    whole passes, then by blocks chosen by a seeded hash, and to the word by the beginning of one more block; so no word
+    is taken more than MOST_REPEATS times, and a source of less than a block gets its part like any other. Null
     sources are one source, placed last; null and empty texts have no words and nothing is taken of them. Repeated
     rows count as rows of their own. An empty table gives no rows.
     """
@@ -92,20 +99,23 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     placed = placed.select("source", "id", "key", "copy", "size", (F.col("start") + F.col("inner") + (F.col("copy") - 1) * F.col("size")).alias("at"))
 
-    plan = goals.alias("g").join(quotas(goals, block, shards).alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left")
+    plan = goals.alias("g").join(quotas(goals).alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left")
     plan = plan.select("g.source", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), F.ceil(F.col("source_size") / block).alias("blocks"))
-    plan = plan.withColumn("epochs", F.when(F.col("blocks") > 0, F.least(F.expr("quota div blocks"), F.lit(MOST_REPEATS))).otherwise(0))
-    plan = materialize(plan.withColumn("extra", F.when(F.col("epochs") < MOST_REPEATS, F.col("quota") - F.col("epochs") * F.col("blocks")).otherwise(0)), "mix-plan")
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
+    plan = materialize(plan.withColumn("extra", F.col("quota") - F.col("epochs") * F.col("source_size")), "mix-plan")
     every = plan.filter("extra > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    ranked = every.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block")))
-    chosen = ranked.filter("r <= extra").select(F.col("source").alias("_s"), F.col("block").alias("_b"))
+    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)  # the last block of a source is shorter
+    turn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = every.withColumn("length", length).withColumn("left", F.col("extra") - F.coalesce(F.sum("length").over(turn), F.lit(0)))
+    chosen = ranked.filter("left > 0").select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.least("length", "left").alias("_l"))
 
     # SEATS seats and one more a source at most: broadcast while the sources are few, else joined by shuffle
     small = F.broadcast if totals[1] <= SEATS else (lambda t: t)
     touched = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}L"), F.expr(f"greatest(at, at + size - 1) div {block}L")))))
     hit = touched.join(small(chosen), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-    span = F.struct(F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("at")).alias("from"), F.least(F.col("size"), (F.col("_b") + 1) * block - F.col("at")).alias("to"))
-    spans = hit.groupBy("source", "id", "key", "copy", "size").agg(F.sort_array(F.collect_list(F.when(F.col("_b").isNotNull(), span))).alias("spans"))
+    span = F.struct(F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("at")).alias("from"), F.least(F.col("size"), F.col("_b") * block + F.col("_l") - F.col("at")).alias("to"))
+    inside_it = F.col("_b").isNotNull() & (span["to"] > span["from"])
+    spans = hit.groupBy("source", "id", "key", "copy", "size").agg(F.sort_array(F.collect_list(F.when(inside_it, span))).alias("spans"))
     out = spans.join(small(plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs")), F.col("source").eqNullSafe(F.col("_s")))
     part = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
     return out.select("id", "key", "copy", "size", "source_size", "target", "epochs", "spans", (F.col("epochs") * F.col("size") + part).alias("taken"))

@@ -94,6 +94,34 @@ def test_mixing(clashing, rows):
         assert abs(taken[s] - t) <= max(2, 0.01 * t), (s, taken[s], t)
 
 
+def test_mixing_gives_small_sources_their_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SEATS", 16)  # blocks of hundreds of words
+    sizes = {"big": 3000, "other": 900, "small": 30, "tiny": 7}
+    rows = [(i, " ".join(["w"] * 10), s) for s, n in sizes.items() for i in range(n // 10)] + [(0, "a b c d e f g", "tiny")]
+    df = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    plan = mixing.mix_plan(df).collect()
+    taken = defaultdict(int)
+    for p in plan:
+        assert 0 <= p["taken"] <= 2 * p["size"] and all(0 <= s["from"] < s["to"] <= p["size"] for s in p["spans"])
+        taken[rows[p["id"]][2]] += p["taken"]
+    for s, t in expected_targets(sizes).items():
+        assert abs(taken[s] - t) <= 1, (s, taken[s], t)
+    assert {r["source"] for r in mixing.mixed_documents(df).select("source").distinct().collect()} == set(sizes)
+
+
+def test_mixing_apportions_like_sainte_lague(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40):
+        sizes = {f"s{i:02}": int(x) for i, x in enumerate(rng.pareto(0.7, n) * 9 + 1)}
+        goals = expected_targets(sizes)
+        seats = math.ceil(round(sum(goals.values()), 6))
+        quotients = sorted(((-t / (2 * k + 1), s) for s, t in goals.items() for k in range(2 * sizes[s])))
+        want = Counter(s for _, s in quotients[:seats])
+        df = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+        got = {r["source"]: r["quota"] for r in mixing.quotas(df).collect()}
+        assert set(got) == set(sizes) and sum(got.values()) == seats and all(abs(got[s] - want[s]) <= 1 for s in sizes)
+
+
 def test_mixed_documents(clashing, rows):
     mixed = mixing.mixed_documents(clashing)
     assert mixed.columns == clashing.columns
