@@ -26,8 +26,9 @@ STOP_WORDS = frozenset(
     el los las y del una por con no su para al lo como más pero sus o si ha este
     """.split()
 )
-# Elements whose text is never shown or never prose, with all that stands in them.
-UNSEEN = "script|style|noscript|template|iframe|object|embed|svg|math|canvas|audio|video|textarea|select|head|title"
+# Elements whose text is never shown or never prose, with all that stands in them. A head needs no end tag,
+# and all it may hold is dropped by itself.
+UNSEEN = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|textarea|select|title"
 OUTSIDE = frozenset("nav footer aside form button menu dialog".split())
 MAIN = frozenset("article main".split())
 # Elements that part blocks.
@@ -50,12 +51,15 @@ PARTS = frozenset(
     contentinfo alert
     """.split()
 )
+#: Of these, the ones that inside an article name its own head; and words that make a name tell of a state, not a part.
+OWN_HEAD = frozenset("header masthead".split())
+STATES = frozenset("has is no not with without".split())
 LINK_DENSITY = 0.33
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.08, 0.16
 HEADING_REACH = 200
 
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({UNSEEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<({UNSEEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -70,13 +74,24 @@ class Block:
     main: bool
     heading: bool
     label: str = ""
+    only_named: bool = False  # outside for no more than the class of what an article stands in
+
+
+def _tells_part(names: str, in_main: bool) -> bool:
+    """Whether one of the names, or the last part of one, is in PARTS."""
+    for name in names.split():
+        parts = re.split(r"[_-]+", name)
+        for part in (name, parts[-1]):
+            if part in PARTS and parts[0] not in STATES and not (in_main and part in OWN_HEAD):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with white space made one space and character references decoded."""
     page = _DROP.sub(" ", page)
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, away, in an article, away by its class only
     parts: list[str] = []
     linked: list[str] = []
     in_link = heading = False
@@ -88,7 +103,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             n = len(" ".join(html.unescape("".join(linked)).split()))
             outside = any(s[1] for s in stack)
-            found.append(Block(text, n, outside, any(s[2] for s in stack), heading))
+            only_named = outside and all(s[3] and not s[2] for s in stack if s[1]) and any(s[2] for s in stack)
+            found.append(Block(text, n, outside, any(s[2] for s in stack), heading, only_named=only_named))
         parts, linked = [], []
 
     for m in _TAG.finditer(page):
@@ -116,12 +132,13 @@ def blocks(page: str) -> list[Block]:
             elif name not in VOID:
                 in_main = any(s[2] for s in stack)
                 names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[3])).lower()
-                away = name in OUTSIDE or (name == "header" and not in_main) or any(w in PARTS for w in re.split(r"[\s_-]+", names)) or bool(_HIDDEN.search(m[3]))
+                away = name in OUTSIDE or (name == "header" and not in_main) or bool(_HIDDEN.search(m[3]))
+                named = not away and name not in MAIN and _tells_part(names, in_main)
                 if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                     stack.pop()  # their end tags may be left out
                 if name in ("html", "body"):
-                    away = False
-                stack.append((name, away, name in MAIN or in_main))
+                    away = named = False
+                stack.append((name, away or named, name in MAIN or in_main, named))
                 heading = name in HEADINGS
     if at < len(page):
         parts.append(page[at:])
@@ -151,6 +168,10 @@ def first_label(block: Block, stop_words: frozenset[str], has_main: bool) -> str
 
 def classify(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
     """Pass two: ambiguous blocks take the label of their nearest decided neighbours; headings that of what follows."""
+    if not any(b.main and not b.outside for b in found):
+        # the only article stands in something that is away by its class, which then isn't meant so
+        for b in found:
+            b.outside = b.outside and not b.only_named
     has_main = any(b.main and not b.outside for b in found)
     for b in found:
         b.label = first_label(b, stop_words, has_main)

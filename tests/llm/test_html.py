@@ -17,6 +17,24 @@ def test_without_article():
     assert html_text.main_text(page).split("\n") == ["A title", (LONG * 2).strip(), "Short one.", (LONG * 2).strip()]
 
 
+def test_void_and_self_closed_elements_swallow_nothing():
+    for odd in ("<embed src=a.swf>", '<svg class="x" viewBox="0 > 1" />', "<math/>", "<svg><path/></svg>"):
+        assert html_text.main_text(f"<article><p>{LONG}</p>{odd}<p>Then {LONG}</p></article>").split("\n") == [LONG.strip(), f"Then {LONG}".strip()]
+
+
+def test_head_without_end_tag():
+    page = f"<html><head><title>T</title><meta charset=utf-8><script>var a = '<p>no</p>';</script><body><article><p>{LONG}</p></article>"
+    assert html_text.main_text(page) == LONG.strip() == html_text.main_text(page.replace("<body>", ""))
+
+
+def test_class_names_of_articles_and_wrappers():
+    for wrapper in ("<article class='post has-sidebar comments-open'>", "<article class='sidebar'>", "<div class='content-sidebar-wrap'><article>", "<div class=sidebar><main>"):
+        page = f"{wrapper}<div class='entry-header'><h1>The title</h1></div><p>{LONG}</p><div class='post-comments'><p>No, {LONG}</p></div>"
+        assert html_text.main_text(page).split("\n") == ["The title", LONG.strip()], wrapper
+    page = f"<div class='no-sidebar'><article><p>{LONG}</p></article></div><div id='comments'><article><p>No, {LONG}</p></article></div>"
+    assert html_text.main_text(page) == LONG.strip()
+
+
 def test_odd_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<html><nav>x</nav>") == ""
     assert html_text.main_text("plain &amp; bare") == "plain & bare"
