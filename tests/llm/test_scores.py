@@ -53,6 +53,13 @@ def test_lm_rare_words_keep_their_own_counts(spark, docs, rows, monkeypatch):
     assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(few)
 
 
+def test_lm_more_words_than_are_broadcast(spark):
+    assert lm_scoring.VOCABULARY < 265_000
+    rows = [(i, " ".join(f"w{1000 * i + k}" for k in range(1000)) + " w7 w8 the end") for i in range(265)]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(rows)
+
+
 def test_lm_empty(empty):
     assert lm_scoring.score(empty).count() == 0
 
