@@ -1,14 +1,17 @@
 """Operator 7: main text of web pages by two passes of block rules.
 
 A page falls into blocks at its block-level tags. Pass one classifies a block by stop-word density, link density and
-length, as good, bad, nearly good or short; what a block stands in (navigation, a form, an advert, an article) decides
-first where the page says so. Pass two lets ambiguous blocks inherit the label of their nearest decided neighbours.
+length as good, near, short or bad; standing in an article raises a block by a step, standing beside one lowers it, and
+what can't be text by its element (navigation, a form, a footer) is bad. A class name is a hint: the blocks it stands for
+go, unless the page had no text then. Pass two lets near and short blocks inherit the label of their nearest decided
+neighbours, inside an article only of those in the same article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +29,10 @@ STOP_WORDS = frozenset(
     el los las y del una por con no su para al lo como más pero sus o si ha este
     """.split()
 )
-# Elements whose text is never shown or never prose, with all that stands in them. A head needs no end tag,
-# and all it may hold is dropped by itself.
-UNSEEN = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|textarea|select|title"
+# Elements whose content is no markup (their end is the next end tag of that name), and others never shown
+# as text.
+RAW = frozenset("script style textarea title iframe noscript xmp noframes noembed".split())
+UNSEEN = frozenset("template object svg math canvas audio video select".split())
 OUTSIDE = frozenset("nav footer aside form button menu dialog".split())
 MAIN = frozenset("article main".split())
 # Elements that part blocks.
@@ -41,6 +45,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BOLD = frozenset("b strong".split())
+#: Elements whose end tags may be left out: the next one of the same name ends them.
+REPEATING = frozenset("p li td th tr dt dd option".split())
 # Words in class, id or role that tell what a part of a page is for.
 PARTS = frozenset(
     """
@@ -54,27 +61,43 @@ PARTS = frozenset(
 #: Of these, the ones that inside an article name its own head; and words that make a name tell of a state, not a part.
 OWN_HEAD = frozenset("header masthead".split())
 STATES = frozenset("has is no not with without".split())
-LINK_DENSITY = 0.33
+LINK_DENSITY, ALL_LINKS = 0.33, 0.9
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.08, 0.16
 HEADING_REACH = 200
 
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<({UNSEEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+# Quotes matter after an equals sign only; each part is possessive, so that a tag is read once. A quote without its
+# partner is the last of its kind on the page, so looking for the partner in vain happens once a kind.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>")
+_NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true", re.I)
+_LINK = re.compile(r"\bhref\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Block:
     text: str
-    linked: int
-    outside: bool
-    main: bool
+    linked: int  # characters in links
+    outside: bool  # in an element that never holds text, or hidden
+    named: bool  # in an element whose class, id or role tells of another part
+    around: bool  # the same, but told of the article itself or of what it stands in
+    region: int  # the article it stands in, from 1; 0: none
     heading: bool
     label: str = ""
-    only_named: bool = False  # outside for no more than the class of what an article stands in
+
+    @property
+    def removed(self) -> bool:
+        return self.outside or self.named or self.around
+
+
+@dataclass(frozen=True)
+class _Open:
+    name: str
+    outside: bool
+    named: bool
+    around: bool
+    region: int
 
 
 def _tells_part(names: str, in_main: bool) -> bool:
@@ -87,121 +110,231 @@ def _tells_part(names: str, in_main: bool) -> bool:
     return False
 
 
+class _Blocks:
+    """One pass over a page, linear in its length: flags are inherited when an element opens, and an end tag looks for
+    its element only if one is open."""
+
+    def __init__(self) -> None:
+        self.found: list[Block] = []
+        self.stack = [_Open("", False, False, False, 0)]
+        self.opened: Counter[str] = Counter()
+        self.regions = 0
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.plain = 0  # characters of a block that aren't bold
+        self.in_link = self.heading = False
+        self.bold = 0
+
+    def add(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.in_link:
+            self.linked.append(piece)
+        if not self.bold:
+            self.plain += len(piece.strip())
+
+    def flush(self) -> None:
+        text = " ".join(html.unescape("".join(self.parts)).split())
+        if text:
+            top = self.stack[-1]
+            linked = len(" ".join(html.unescape("".join(self.linked)).split()))
+            self.found.append(Block(text, linked, top.outside, top.named, top.around, top.region, self.heading or not self.plain))
+        self.parts, self.linked, self.plain = [], [], 0
+
+    def open(self, name: str, attributes: str) -> None:
+        if name in REPEATING and self.stack[-1].name == name:
+            self.opened[self.stack.pop().name] -= 1
+        top, outside, named = self.stack[-1], False, False
+        if name not in ("html", "body"):
+            outside = name in OUTSIDE or (name == "header" and not top.region) or bool(_HIDDEN.search(attributes))
+            named = _tells_part(" ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower(), bool(top.region) or name in MAIN)
+        named, outside = named or top.named, outside or top.outside
+        if name in MAIN and not top.region:
+            self.regions += 1
+            self.stack.append(_Open(name, outside, False, named, self.regions))
+        else:
+            self.stack.append(_Open(name, outside, named, top.around, top.region))
+        self.opened[name] += 1
+        self.heading = name in HEADINGS
+
+    def close(self, name: str) -> None:
+        self.heading = False
+        while self.opened[name]:
+            last = self.stack.pop().name
+            self.opened[last] -= 1
+            if last == name:
+                break
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with white space made one space and character references decoded."""
-    page = _DROP.sub(" ", page)
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, away, in an article, away by its class only
-    parts: list[str] = []
-    linked: list[str] = []
-    in_link = heading = False
-    at = 0
-
-    def flush() -> None:
-        nonlocal parts, linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            n = len(" ".join(html.unescape("".join(linked)).split()))
-            outside = any(s[1] for s in stack)
-            only_named = outside and all(s[3] and not s[2] for s in stack if s[1]) and any(s[2] for s in stack)
-            found.append(Block(text, n, outside, any(s[2] for s in stack), heading, only_named=only_named))
-        parts, linked = [], []
-
-    for m in _TAG.finditer(page):
-        piece = page[at : m.start()]
-        at = m.end()
-        if piece:
-            parts.append(piece)
-            if in_link:
-                linked.append(piece)
-        if not m[2]:
+    b, at, end = _Blocks(), 0, len(page)
+    unclosed: set[str] = set()
+    muted, depth = "", 0  # the element whose text isn't shown, and how often it is open
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            start = end
+        if start > at and not muted:
+            b.add(page[at:start])
+        if start == end:
+            break
+        if page.startswith(("<!", "<?", "</"), start) and not page[start + 2 : start + 3].isalpha() or page.startswith("<!", start):
+            # comments, declarations and what only looks like an end tag
+            close = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, start)), ">")
+            stop = page.find(close, start + 2)
+            at = end if stop < 0 else stop + len(close)
+            continue
+        m = _TAG.match(page, start)
+        if not m:
+            if page[start + 1 : start + 2].isalpha() or page.startswith("</", start):
+                break  # a tag that never ends takes the rest of the page
+            if not muted:
+                b.add("<")
+            at = start + 1
+            continue
+        at, name, closing, attributes = m.end(), m[2].lower(), bool(m[1]), m[3]
+        if muted:
+            depth += (name == muted) * (-1 if closing else 0 if attributes.endswith("/") else 1)
+            muted = muted if depth else ""
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name == "a":
-            in_link = not closing
+        if name in RAW or name in UNSEEN:
+            if closing or (name in UNSEEN and attributes.endswith("/")):
+                continue
+            stop = None if name in unclosed else re.compile(rf"</{name}\b", re.I).search(page, at)
+            if not stop:
+                unclosed.add(name)
+                if name in ("script", "style"):
+                    break
+            elif name in RAW:
+                stop = page.find(">", stop.end())
+                at = end if stop < 0 else stop + 1
+            else:
+                muted, depth = name, 1
+        elif name == "a":
+            b.in_link = not closing and bool(_LINK.search(attributes))
         elif name == "br":
-            parts.append(" ")
+            b.parts.append(" ")
+        elif name in BOLD:
+            b.bold = max(0, b.bold + (-1 if closing else 1))
         elif name in BLOCKS:
-            flush()
+            b.flush()
+            b.bold = 0
             if closing:
-                heading = False
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                b.close(name)
             elif name not in VOID:
-                in_main = any(s[2] for s in stack)
-                names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[3])).lower()
-                away = name in OUTSIDE or (name == "header" and not in_main) or bool(_HIDDEN.search(m[3]))
-                named = not away and name not in MAIN and _tells_part(names, in_main)
-                if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    stack.pop()  # their end tags may be left out
-                if name in ("html", "body"):
-                    away = named = False
-                stack.append((name, away or named, name in MAIN or in_main, named))
-                heading = name in HEADINGS
-    if at < len(page):
-        parts.append(page[at:])
-    flush()
-    return found
+                b.open(name, attributes)
+        elif not closing and name not in VOID and not attributes.endswith("/") and _HIDDEN.search(attributes) and name not in unclosed:
+            if re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at):
+                muted, depth = name, 1  # hidden words inside a block
+            else:
+                unclosed.add(name)
+    b.flush()
+    return b.found
 
 
-def first_label(block: Block, stop_words: frozenset[str], has_main: bool) -> str:
-    """Pass one: good, bad, near or short."""
-    if block.outside:
-        return "bad"
-    density = block.linked / len(block.text)
-    if density > LINK_DENSITY and not (block.main and density < 0.9 and len(block.text) > SHORT):
+def density(text: str, stop_words: frozenset[str]) -> float:
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in stop_words for w in words) / max(1, len(words))
+
+
+def first_label(block: Block, stop_words: frozenset[str], marked: bool) -> str:
+    """Pass one: good, near, short or bad. marked: the page marks an article, in which this block stands or not."""
+    n, links = len(block.text), block.linked / len(block.text)
+    if block.removed:
         return "bad"
-    if has_main and not block.main:
+    if links > LINK_DENSITY and not (block.region and links < ALL_LINKS and n > SHORT):
         return "bad"
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stops = sum(w in stop_words for w in words) / max(1, len(words))
-    if block.main:
-        return "good" if len(block.text) >= SHORT or stops >= STOP_LOW else "short"
-    if len(block.text) < SHORT:
-        return "short"
-    if stops >= STOP_HIGH:
-        return "good" if len(block.text) >= LONG else "near"
-    return "near" if stops >= STOP_LOW else "bad"
+    if n < SHORT:
+        return "bad" if marked and not block.region else "short"
+    stops = density(block.text, stop_words)
+    grade = 0 if stops < STOP_LOW else 2 if stops >= STOP_HIGH and n >= LONG else 1
+    grade += 1 if block.region else -1 if marked else 0
+    return "good" if grade >= 2 else "near" if grade == 1 else "bad"
 
 
-def classify(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
-    """Pass two: ambiguous blocks take the label of their nearest decided neighbours; headings that of what follows."""
-    if not any(b.main and not b.outside for b in found):
-        # the only article stands in something that is away by its class, which then isn't meant so
-        for b in found:
-            b.outside = b.outside and not b.only_named
-    has_main = any(b.main and not b.outside for b in found)
-    for b in found:
-        b.label = first_label(b, stop_words, has_main)
-    if not any(b.label == "good" for b in found):
-        # nothing long on this page: what is nearly good is its text, or a block that stands alone
-        for b in found:
-            if b.label == "near" or (b.label == "short" and len(found) == 1):
-                b.label = "good"
-    labels = [b.label for b in found]
-    decided = ("good", "bad")
+def _nearest(labels: list[str], at: range, decided: list[int]) -> dict[int, str | None]:
+    """For each place the label of the last decided one before it, in the order of `at`."""
+    out, last, known = {}, None, set(decided)
+    for i in at:
+        out[i] = last
+        if i in known:
+            last = labels[i]
+    return out
+
+
+def inherit(found: list[Block], labels: list[str], surely: bool) -> list[str]:
+    """Pass two. surely: what is good is so by its words; else a short block needs two good neighbours even in an article."""
+    out = list(labels)
+    decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
+    places: dict[int, list[int]] = {}
     for i, b in enumerate(found):
-        if labels[i] in decided or b.heading:
-            continue
-        back = next((x for x in reversed(labels[:i]) if x in decided), "bad")
-        on = next((x for x in labels[i + 1 :] if x in decided), "bad")
-        if b.main:
-            b.label = "good"
-        elif labels[i] == "near":
-            b.label = "good" if "good" in (back, on) else "bad"
-        else:
-            b.label = "good" if back == on == "good" else "bad"
+        places.setdefault(0 if b.removed else b.region, []).append(i)
+    for region, own in places.items():
+        # in an article, what was taken out of it is no neighbour; elsewhere every block of the page is
+        among = own if region else list(range(len(found)))
+        near = [i for i in decided if not region or found[i].region == region and not found[i].removed]
+        back, on = _nearest(labels, among, near), _nearest(labels, among[::-1], near)
+        for i in own:
+            if labels[i] in ("good", "bad") or found[i].heading:
+                continue
+            sides = (back[i], on[i])
+            enough = sides == ("good", "good") if labels[i] == "short" and not (region and surely) else "good" in sides
+            out[i] = "good" if enough else "bad"
+    # a heading goes with the good block that follows soon, or in an article with the one before
+    ahead, distance, before = None, 0, {}
+    for i, b in enumerate(found):
+        before[i] = ahead if b.region and ahead == b.region else None
+        if out[i] == "good":
+            ahead = b.region
+    ahead = None
     for i in range(len(found) - 1, -1, -1):
         b = found[i]
-        if labels[i] in decided or not b.heading:
+        if out[i] in ("good", "bad"):
+            if out[i] == "good":
+                ahead, distance = b.region, 0
+            else:
+                distance += len(b.text)
             continue
-        reach, k = 0, i + 1
-        while k < len(found) and found[k].label != "good":
-            reach += len(found[k].text)
-            k += 1
-        b.label = "good" if b.main or (k < len(found) and reach <= HEADING_REACH) else "bad"
+        follows = ahead is not None and (distance <= HEADING_REACH or (b.region and ahead == b.region))
+        out[i] = "good" if follows or (before[i] is not None and surely) else "bad"
+        if out[i] == "good":
+            ahead, distance = b.region, 0
+        else:
+            distance += len(b.text)
+    return out
+
+
+def classify(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
+    """Both passes; sets the labels good and bad.
+
+    Hints that leave a page without text are not believed. If no block of a page is good by its words, blocks with any
+    stop word are; if it has none at all, the long ones; if there is none, what the page marks, or its only block.
+    """
+    if not any(b.region and not b.removed for b in found):
+        for b in found:  # the only article stands in, or is, something with such a name
+            b.around = False
+    marked = any(b.region and not b.removed for b in found)
+    labels = [first_label(b, stop_words, marked) for b in found]
+    if "good" not in labels and not marked:
+        named = [b for b in found if b.named]
+        for b in named:
+            b.named = False
+        again = [first_label(b, stop_words, marked) for b in found]
+        if "good" in again:
+            labels = again
+        else:
+            for b in named:
+                b.named = True
+    surely = True
+    if "good" not in labels:
+        may = [i for i, x in enumerate(labels) if x in ("near", "short") and (found[i].region or not marked)]
+        some = [i for i in may if (found[i].region or labels[i] == "near") and density(found[i].text, stop_words) > 0]
+        long = [i for i, b in enumerate(found) if len(b.text) >= LONG and labels[i] == "near"]
+        surely = bool(some)
+        for i in some or long or (may if marked or len(found) == 1 else []):
+            labels[i] = "good"
+    for b, label in zip(found, inherit(found, labels, surely)):
+        b.label = label
     return found
 
 
@@ -220,10 +353,13 @@ def extract_column(page: Column, stop_words: frozenset[str] = STOP_WORDS) -> Col
 
 
 def extract(df: DataFrame, html_col: str = "html", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """df with text and n_chars (code points) in place of html_col. Null pages count as empty and have empty text.
+    """df with text and n_chars (code points) in place of html_col. Null and empty pages have empty text.
 
-    Unclosed tags, comments and attributes reach to where they can end, at last to the end of the page. Columns of df
-    named text or n_chars are replaced.
+    Comments, script and style reach to their end or to the end of the page; a tag that never ends takes the rest of the
+    page, as in browsers; other unclosed elements end with what they stand in. Reading a page is linear in its length.
+    Columns of df named text or n_chars are replaced, others stay. Repeated rows are extracted each; an empty table gives
+    no rows.
     """
-    out = df.withColumn("text", extract_column(F.col(html_col), stop_words)).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.drop(html_col)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (html_col, "text", "n_chars")]
+    out = df.select(*others, extract_column(F.col(f"`{html_col}`"), stop_words).alias("text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
