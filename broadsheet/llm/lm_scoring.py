@@ -1,318 +1,101 @@
 """Operator 4: language-model scores by stupid backoff over count tables that are partitioned by hash.
 
-Every word is scored by its own count. The commonest words are numbered and their counts broadcast; bigrams of two such
-words are sent to the partition of their hash, in blocks of whole batches; a partition builds its count table, joins it
-to the bigrams it was sent and returns what each document gets from them, which is summed per document. Bigrams so
-common that their partition would be uneven are counted by pre-aggregation and scored where the documents are.
-
     S(w | v) = c(v w) / c(v)          if c(v w) >= MIN_COUNT
              = BACKOFF * c(w) / N     otherwise
 
-Of any other, rare word each occurrence is sent with its two neighbours to the partition of the word's hash, which so
-counts the word and its bigrams without a table of words. The log of S is a sum: the partition of w gives what depends on
-c(v w) and c(w), that of a rare v takes off log c(v), and the counts of common neighbours are at hand. Which words are
-broadcast changes no result. Rare words are told apart by 63 bits of a hash, and beside the same rare word by 39.
+Documents are dealt into blocks of a few megabytes. The n-grams of a block are exploded into rows (gram, block, n), one
+for each different n-gram of a block, so a hot n-gram has at most a row a block however often it occurs. The rows are
+shuffled once by the n-gram's hash; there they are counted over all blocks, and the counts are joined to them. Counts go
+back by block, where the block's documents look them up and sum their scores. What a block counts alone isn't sent back.
+
+Everything follows the number of different n-grams of blocks: there is no vocabulary, no cap, and nothing is broadcast or
+collected. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from hashlib import blake2b
-
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import claim, keeps, materialize
+from broadsheet.llm.common import claim, materialize
+from broadsheet.llm.words import encoded, ngram_hashes, word_hashes
 
-#: Words that are broadcast at most, bits of a word's number, and the factor of backing off.
-VOCABULARY = (1 << 18) - 1
-BITS = 18
 BACKOFF = 0.4
-#: Bits of a neighbour of a rare word: a number, or the hash of a rare one with the highest bit set.
-NEIGHBOUR_BITS = 40
-#: Bigrams seen less often are pruned from the table.
+#: Bigrams seen less often count as not seen.
 MIN_COUNT = 2
-#: Words a partition of the table handles, about; documents in a block.
-PARTITION_WORDS = 2_000_000
-BLOCK_ROWS = 500
-#: Words a task counts before it hands them on.
-HELD_WORDS = 200_000
-#: Bigrams in HOT of the SAMPLE_ROWS sampled documents are scored where the documents are.
-SAMPLE_ROWS, HOT = 4096, 32
-
-
-class Numbers(dict):
-    """Numbers of words; any other word is 0."""
-
-    def __missing__(self, key: bytes) -> int:
-        return 0
-
+#: Text in a block, about: what one group of a task holds.
+BLOCK_BYTES = 4 << 20
 
-class OpenNumbers(dict):
-    """Numbers of words; any other word is its hash, a negative number."""
 
-    def __missing__(self, key: bytes) -> int:
-        return int.from_bytes(blake2b(key, digest_size=8).digest(), "little") % (1 << 63) - (1 << 63)
+def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts end to end, words of each text, and each bigram inside a text with the place of its second word."""
+    words, n = word_hashes([encoded(t) for t in texts])
+    owner = np.repeat(np.arange(len(n)), n)
+    second = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    return words, n, ngram_hashes(words, 2)[second - 1], second
 
 
-@dataclass(frozen=True)
-class Unigrams:
-    words: list[bytes]
-    counts: np.ndarray  # of all other words and then of each word
-    closed: bool  # whether all other words are one
-
-    def numbers(self) -> dict[bytes, int]:
-        return (Numbers if self.closed else OpenNumbers)((w, i + 1) for i, w in enumerate(self.words))
-
-
-_numbers: dict[str, dict[bytes, int]] = {}
-keeps("lm_scoring", _numbers.clear)
-
-
-def _numbers_of(run: str, unigrams: Unigrams) -> dict[bytes, int]:
-    """The worker's own table of a run's words."""
+def count_block(group: pd.DataFrame) -> pd.DataFrame:
+    """The different words and bigrams of a block, and how often each occurs in it."""
     claim("lm_scoring")
-    if run not in _numbers:
-        _numbers.clear()
-        _numbers[run] = unigrams.numbers()
-    return _numbers[run]
-
-
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").split() if text else []
-
-
-def unigram_table(df: DataFrame, text_col: str) -> DataFrame:
-    """word (UTF-8), n: counts over all documents, summed in each task before they are shuffled."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[bytes] = Counter()
-
-        def table() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(found.keys()), "n": np.fromiter(found.values(), dtype=np.int64, count=len(found))})
-
-        for batch in batches:
-            for text in batch["text"]:
-                found.update(_words(text))
-                if len(found) > HELD_WORDS:
-                    yield table()
-                    found.clear()
-        yield table()
-
-    counts = df.select(F.col(text_col).alias("text")).mapInPandas(count, "word binary, n long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, most: int = VOCABULARY, closed: bool = False) -> Unigrams:
-    """All words above a count at which at most `most` are left, in the order of their bytes."""
-    steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # as many rows as different counts
-    least, kept, total = None, 0, 0
-    for r in steps:
-        total += r["n"] * r["words"]
-        if kept + r["words"] <= most:
-            kept, least = kept + r["words"], r["n"]
-        else:
-            most = 0
-    found = counts.filter(F.col("n") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "n": []})
-    found = found.assign(word=[bytes(w) for w in found["word"]]).sort_values("word")
-    own = found["n"].to_numpy(dtype=np.int64)
-    return Unigrams(found["word"].tolist(), np.concatenate([[total - own.sum()], own]).astype(np.int64), closed)
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % parts
-
+    words, _, pairs, _ = _grams(group["text"].tolist())
+    found = [np.unique(x, return_counts=True) for x in (words, pairs)]
+    gram, n = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"block": group["block"].iloc[0], "gram": gram.view(np.int64), "n": n})
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Bigrams of 36 bits or neighbours of 40 in 5 bytes each, by planes."""
-    return (keys & 0xFFFFFFFF).astype("<u4").tobytes() + (keys >> 32).astype(np.uint8).tobytes()
 
+def _counts(grams: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The count of each n-gram over all blocks: as told, or else the block's own."""
+    own, where, total = np.unique(grams, return_inverse=True, return_counts=True)
+    known, counts = told
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        total = np.where(known[at] == own, counts[at], total)
+    return total[where]
 
-def _unpack(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.int64) | (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64) << 32)
 
-
-def _spread(runs: bytes) -> np.ndarray:
-    """The document of each entry, from the number of entries of each document."""
-    n = np.frombuffer(runs, "<u4").astype(np.int64)
-    return np.repeat(np.arange(len(n)), n)
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each key among the different ones, and how often it occurs."""
-    _, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return where, counts[where]
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, vocabulary_size: int | None = None) -> DataFrame:
+def score_block(group: pd.DataFrame, told: pd.DataFrame, min_count: int) -> pd.DataFrame:
+    """A block's documents: words, sum of the logs of S without N, and how many of them have N in them."""
+    claim("lm_scoring")
+    words, n, pairs, second = _grams(group["text"].tolist())
+    gram, total = told["gram"].to_numpy(dtype=np.int64).view(np.uint64), told["total"].to_numpy(dtype=np.int64)
+    order = np.argsort(gram)
+    table = gram[order], total[order]
+    single, double = np.log(_counts(words, table)), _counts(pairs, table)
+    each, backed = single.copy(), np.ones(len(words))  # the first word of a text has no context and isn't weighed
+    seen = double >= min_count
+    each[second] = np.where(seen, np.log(double) - single[second - 1], np.log(BACKOFF) + single[second])
+    backed[second] = ~seen
+    owner = np.repeat(np.arange(len(n)), n)
+    sums = [np.bincount(owner, weights=x, minlength=len(n)) for x in (each, backed)]
+    return pd.DataFrame({"id": group["id"], "n_words": n, "logs": sums[0], "backed": sums[1]})
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, seed: int = 42) -> DataFrame:
     """One row per row of df: id, n_words, log_score (sum of the natural logs of S; the first word's is c(w) / N) and mean_log_score.
 
-    With a vocabulary_size (VOCABULARY at most) the words that are rarer than the vocabulary's are one word, <unk>.
     Words are what stands between ASCII white space. Null and texts without words have n_words 0, log_score 0 and a
-    null mean. Repeated rows are scored each. An empty table gives no rows.
+    null mean. Repeated rows are scored each. Other columns of df take no part, whatever their names. An empty table
+    gives no rows.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    id_type = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    most = VOCABULARY if vocabulary_size is None else vocabulary_size
-    unigrams = vocabulary(materialize(unigram_table(df, text_col), "unigrams"), most, closed=vocabulary_size is not None)
-    shared, run = sc.broadcast(unigrams), uuid.uuid4().hex
-    total = int(unigrams.counts.sum())
-    parts = max(16, -(-total // PARTITION_WORDS))
-
-    def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers end to end, words of each text, each word's text, and each bigram of numbered words with its text's place."""
-        split = [_words(t) for t in texts]
-        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        get = _numbers_of(run, shared.value).__getitem__
-        words = np.fromiter((x for s in split for x in map(get, s)), dtype=np.int64, count=int(n.sum()))
-        owner = np.repeat(np.arange(len(split)), n)
-        inner = (owner[1:] == owner[:-1]) & (words[1:] >= 0) & (words[:-1] >= 0)
-        return words, n, owner, (words[:-1][inner] << BITS) | words[1:][inner], owner[1:][inner]
-
-    def rare(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each occurrence of a rare word, its neighbours before and after (0: none), and its text's place."""
-        at = np.flatnonzero(words < 0)
-        top = 1 << (NEIGHBOUR_BITS - 1)
-        beside = np.concatenate([[0], np.where(words < 0, (words & (top - 1)) | top, words), [0]])
-        from_ = np.concatenate([[-1], owner, [-1]])
-        before = np.where(from_[at] == owner[at], beside[at], 0)
-        after = np.where(from_[at + 2] == owner[at], beside[at + 2], 0)
-        return words[at], before, after, owner[at]
-
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            _, _, _, keys, owner = bigrams(batch["text"].tolist())
-            keys = np.unique(np.column_stack([owner, keys]), axis=0)[:, 1] if len(keys) else keys
-            k, n = np.unique(keys, return_counts=True)
-            yield pd.DataFrame({"key": k, "n": n})
-
-    n_rows = df.count()
-    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(5), "id", "text"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / max(1, n_rows)) * (1 << 30)) + 1)
-    common = chosen.mapInPandas(seen, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
-    hot = sc.broadcast(np.sort(common.select("key").toPandas()["key"].to_numpy(dtype=np.int64)))  # at most the sample's bigrams / HOT
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number = TaskContext.get().partitionId(), 0
-        often = hot.value
-        log_n = np.log(max(1, total))
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                some = batch.iloc[at : at + BLOCK_ROWS]
-                words, n, of, keys, owner = bigrams(some["text"].tolist())
-                block, number = (task << 24) | number, number + 1
-                first = np.zeros(len(n))
-                starts = (np.cumsum(n) - n)[n > 0]
-                head = words[starts]  # a rare one is scored where its count is
-                first[n > 0] = np.where(head < 0, 0.0, np.log(np.maximum(1, shared.value.counts[np.maximum(head, 0)])) - log_n)
-                is_hot = np.isin(keys, often)
-                hot_keys, hot_owner = keys[is_hot], owner[is_hot]
-                keys, owner = keys[~is_hot], owner[~is_hot]
-                part = _part(keys, parts)
-                order = np.argsort(part, kind="stable")
-                keys, owner, part = keys[order], owner[order], part[order]
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                alone, before, after, place = rare(words, of)
-                part = _part(alone, parts)
-                order = np.argsort(part, kind="stable")
-                alone, before, after, place, part = alone[order], before[order], after[order], place[order], part[order]
-                ends = np.searchsorted(part, np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
-                    lo, hi = cuts[p], cuts[p + 1]
-                    a, b = ends[p], ends[p + 1]
-                    if hi > lo or b > a:
-                        runs = np.bincount(owner[lo:hi], minlength=len(n)).astype("<u4").tobytes()
-                        own = (alone[a:b].astype("<i8").tobytes(), _pack(before[a:b]), _pack(after[a:b]), np.bincount(place[a:b], minlength=len(n)).astype("<u4").tobytes()) if b > a else (b"",) * 4
-                        rows.append((block, p, _pack(keys[lo:hi]), runs, *own, None, None, None))
-                # the block's own row: ids, words, what first words give, and the common bigrams with their places
-                rows.append((block, -1, _pack(hot_keys), hot_owner.astype("<u4").tobytes(), *[None] * 4, some["id"].tolist(), n, first))
-                yield pd.DataFrame(rows, columns=["block", "part", "keys", "runs", "rare", "before", "after", "rare_runs", "ids", "words", "scores"])
-
-    sent = "block long, part int, keys binary, runs binary, rare binary, before binary, after binary, rare_runs binary"
-    made = materialize(docs.mapInPandas(blocks, f"{sent}, ids array<{id_type}>, words array<long>, scores array<double>"), "bigrams")
-
-    def hot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            k, n = np.unique(np.concatenate([_unpack(b) for b in batch["keys"]] or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pd.DataFrame({"key": k, "n": n})
-
-    own = made.filter("part = -1")
-    found = own.select("keys").mapInPandas(hot_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-    hot_table = sc.broadcast((found["key"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)))
-
-    def terms(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        c1 = shared.value.counts
-        before, word = keys >> BITS, keys & ((1 << BITS) - 1)
-        kept = np.log(counts) - np.log(np.maximum(1, c1[before]))
-        return np.where(counts >= min_count, kept, np.log(BACKOFF) + np.log(np.maximum(1, c1[word])) - np.log(max(1, total)))
-
-    def rare_terms(words: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """What each occurrence of a rare word gives: its own score, and its part in that of the word after it."""
-        c1 = shared.value.counts
-        backed = np.log(BACKOFF) - np.log(max(1, total))
-
-        def numbered(beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            known = (beside > 0) & (beside < 1 << BITS)
-            return known, np.log(np.maximum(1, c1[np.where(known, beside, 0)]))
-
-        where, own = _counted(words)
-        own = np.log(own)
-        with_before, with_after = (_counted((where << NEIGHBOUR_BITS) | beside)[1] for beside in (before, after))
-        known, count = numbered(before)
-        out = np.where(before == 0, own - np.log(max(1, total)), np.where(with_before >= min_count, np.log(with_before) - np.where(known, count, 0.0), backed + own))
-        known, count = numbered(after)
-        kept = np.where(known, np.log(with_after), 0.0) - own
-        return out + np.where(after == 0, 0.0, np.where(with_after >= min_count, kept, np.where(known, backed + count, 0.0)))
-
-    def join_counts(group: pd.DataFrame) -> pd.DataFrame:
-        """One hash partition: its count table, joined to the bigrams it was sent, summed per document."""
-        group = group.sort_values("block")
-        keys = [_unpack(b) for b in group["keys"]]
-        table, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        each, at, out = terms(table, counts)[where], 0, []
-        rare_words = [np.frombuffer(b, "<i8") for b in group["rare"]]
-        beside = [np.concatenate([_unpack(b) for b in group[side]]) for side in ("before", "after")]
-        rare_each, rare_at = rare_terms(np.concatenate(rare_words), *beside), 0
-        for k, runs, w, rare_runs in zip(keys, group["runs"], rare_words, group["rare_runs"]):
-            size = len(runs) // 4
-            given = np.bincount(_spread(runs), weights=each[at : at + len(k)], minlength=size)
-            if len(w):
-                given = given + np.bincount(_spread(rare_runs), weights=rare_each[rare_at : rare_at + len(w)], minlength=size)
-            out.append(given)
-            at, rare_at = at + len(k), rare_at + len(w)
-        return pd.DataFrame({"block": group["block"].to_numpy(), "part": group["part"].to_numpy(), "scores": out})
-
-    partial = made.filter("part >= 0").drop("ids", "words", "scores").groupBy("part").applyInPandas(join_counts, "block long, part int, scores array<double>")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = hot_table.value
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                held, owner = _unpack(r.keys), np.frombuffer(r.runs, "<u4").astype(np.int64)
-                each = terms(held, counts[np.searchsorted(keys, held)]) if len(held) else np.zeros(0)
-                out.append(np.asarray(r.scores) + np.bincount(owner, weights=each, minlength=len(r.scores)))
-            yield batch[["block", "part", "ids", "words"]].assign(scores=out)
-
-    base = own.mapInPandas(finish, f"block long, part int, ids array<{id_type}>, words array<long>, scores array<double>")
-
-    def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        head = group.iloc[0]
-        score = np.sum(np.stack(group["scores"].tolist()), axis=0)
-        n = np.asarray(head["words"], dtype=np.int64)
-        return pd.DataFrame({"id": list(head["ids"]), "n_words": n, "log_score": score, "mean_log_score": [s / k if k else None for s, k in zip(score, n)]})
-
-    nothing = [F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("array<long>").alias("words")]
-    rows = base.unionByName(partial.select("block", "part", *nothing, "scores"))
-    return rows.groupBy("block").applyInPandas(add_up, f"id {id_type}, n_words long, log_score double, mean_log_score double").withColumnRenamed("id", id_col)
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    # the place in the input keeps repeated rows apart; both reads of the blocks share one exchange
+    block = F.pmod(F.xxhash64(F.lit(seed), "id", "text", F.monotonically_increasing_id()), F.lit(blocks))
+    dealt = docs.withColumn("block", block).repartition("block")
+    grams = dealt.groupBy("block").applyInPandas(count_block, "block long, gram long, n long").repartition("gram")
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1")
+    told = grams.join(counts.hint("merge"), "gram").filter("total > n").select("block", "gram", "total")
+
+    def both(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return score_block(group, answers, min_count)
+
+    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(both, f"id {kind}, n_words long, logs double, backed double")
+    found = materialize(found, "lm-scores")
+    total = found.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    log_score = F.when(F.col("n_words") > 0, F.col("logs") - F.col("backed") * float(np.log(max(1, total)))).otherwise(F.lit(0.0))
+    return found.select(F.col("id").alias(id_col), "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"))

@@ -2,16 +2,13 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-from broadsheet.llm import language_id, lm_scoring, mixing, nearest, sharding
+from broadsheet.llm import language_id, lm_scoring, mixing, nearest, sharding, words
 from pyspark.sql import functions as F
 
 
-def expected_scores(rows, vocabulary=None):
+def expected_scores(rows, least=2):
     split = [(r[1] or "").encode().split() for r in rows]
     c1 = Counter(w for s in split for w in s)
-    if vocabulary is not None:
-        split = [[w if w in vocabulary else b"<unk>" for w in s] for s in split]
-        c1 = Counter(w for s in split for w in s)
     c2 = Counter(p for s in split for p in zip(s, s[1:]))
     total = sum(c1.values())
     out = []
@@ -20,7 +17,7 @@ def expected_scores(rows, vocabulary=None):
             out.append((r[0], 0, 0.0))
             continue
         score = math.log(c1[s[0]] / total)
-        score += sum(math.log(c2[a, b] / c1[a]) if c2[a, b] >= 2 else math.log(0.4 * c1[b] / total) for a, b in zip(s, s[1:]))
+        score += sum(math.log(c2[a, b] / c1[a]) if c2[a, b] >= least else math.log(0.4 * c1[b] / total) for a, b in zip(s, s[1:]))
         out.append((r[0], len(s), round(score, 5)))
     return Counter(out)
 
@@ -31,30 +28,37 @@ def test_lm_scores(clashing, rows):
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in got)
 
 
-def test_lm_small_vocabulary_and_common_bigrams(docs, rows, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HOT", 2)
-    monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 7)
-    counts = Counter(w for r in rows for w in (r[1] or "").encode().split())
-    least = next(n for n in sorted(set(counts.values())) if sum(c >= n for c in counts.values()) <= 100)
-    got = lm_scoring.score(docs, vocabulary_size=100).collect()
-    want = expected_scores(rows, {w for w, c in counts.items() if c >= least})
-    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == want
+def test_lm_many_blocks(docs, rows, monkeypatch):
+    """Counts that blocks share, and counts of one block alone; repeated rows; a word that is longer than a chunk."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
+    for least in (2, 3):
+        got = lm_scoring.score(docs, min_count=least).collect()
+        assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(rows, least)
 
 
-def test_lm_rare_words_keep_their_own_counts(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 20)
-    monkeypatch.setattr(lm_scoring, "HOT", 2)
-    monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 7)
-    got = lm_scoring.score(docs).collect()
-    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(rows)
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 0)
-    few = [r for r in rows if r[0] is not None and r[0] < 60]
-    got = lm_scoring.score(docs.filter("doc_id < 60")).collect()
-    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(few)
+def test_lm_shuffles_each_different_gram_of_a_block_once(docs):
+    plan = lm_scoring.score(docs)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan  # the result reads a written table; nothing was sent whole before
+
+
+def test_words_of_many_texts(monkeypatch):
+    monkeypatch.setattr(words, "CHUNK", 64)
+    monkeypatch.setattr(words, "_tables", None)
+    texts = [b"", b" a  b\t", b"b a b", b"\n", b"x" * 200 + b" a", b"yy " * 90, b"x" * 200, "é\u00a0z".encode(), b"ab ba"]
+    hashes, n = words.word_hashes(texts)
+    split = [t.split() for t in texts]
+    assert n.tolist() == [len(s) for s in split]
+    table = {}
+    for w, h in zip([w for s in split for w in s], hashes.tolist()):
+        assert table.setdefault(w, h) == h
+    assert len(set(table.values())) == len(table)
+    assert words.word_hashes([])[0].tolist() == [] and words.word_hashes([b""])[1].tolist() == [0]
+    two = words.ngram_hashes(hashes, 2)
+    assert len(two) == len(hashes) - 1 and len(words.ngram_hashes(hashes[:1], 2)) == 0
 
 
-def test_lm_more_words_than_are_broadcast(spark):
-    assert lm_scoring.VOCABULARY < 265_000
+def test_lm_rare_words(spark):
+    """More words than any table of them could hold, most of them once: each is scored by its own count."""
     rows = [(i, " ".join(f"w{1000 * i + k}" for k in range(1000)) + " w7 w8 the end") for i in range(265)]
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(rows)
