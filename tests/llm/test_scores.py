@@ -31,6 +31,7 @@ def test_lm_scores(clashing, rows):
 def test_lm_many_blocks(docs, rows, monkeypatch):
     """Counts that blocks share, and counts of one block alone; repeated rows; a word that is longer than a chunk."""
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 5000)
     for least in (2, 3):
         got = lm_scoring.score(docs, min_count=least).collect()
         assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5)) for r in got) == expected_scores(rows, least)
