@@ -4,95 +4,99 @@ Unrelated texts share no shingle: each is at distance 1 from every pivot, so reg
 hold every document. Pivots are therefore drawn where documents meet. Of a document's shingles, three tenths in a fixed
 order (its prefix) must hold a twelfth that it shares with any document it links to (see least_shared); documents whose
 prefixes share less have no links. The document with the smallest key among those that have a shingle in their prefix is
-the pivot of that shingle, and its region holds all of them. A region too large for a task is dealt in blocks. Inside a region pivots are drawn again: a document goes to the cell of its nearest pivot
-and, as far as the triangle inequality leaves a partner possible, to the cells of the others (distance at most that to
-its own pivot plus twice the radius); cells join recursively until they are small or shrink no more, and are then
-compared exactly. Only what ties a region's documents together leaves a task, never all pairs.
+the pivot of that shingle, and its region holds all of them.
+
+In a region the distances to its pivot are measured exactly. What is within the radius of the pivot (its ball) is tied to
+it and so to each other. A larger region draws more pivots, far from each other: a document goes to the cell of its nearest
+pivot and, as far as the triangle inequality leaves a partner possible, to the cells of others (see windows); documents
+far from all pivots are a cell of their own; cells join recursively. Where one pivot is left, only documents outside its
+ball are compared, with those whose distance to the pivot differs by the radius at most. A region too large for a task is parted
+into cells by the same rule over DataFrames; one that pivots don't part is compared in blocks, outside its ball only.
+
+Links inside a ball come by way of its pivot, so components are whole though not every link is listed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm.common import claim, materialize
 from broadsheet.llm.components import components
+from broadsheet.llm.words import encoded, mix, ngram_hashes, word_hashes
 
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
+RADIUS = float(1 - SIMILARITY)
 #: Documents of the sample that tells which shingles are common, and how often one must be seen there. Any order of
 #: shingles gives the same links; this one keeps common passages out of prefixes.
 SAMPLE_ROWS, COMMON = 8192, 4
-#: Documents of a region that one task compares, of a cell that is compared at once, and pivots drawn in a region.
-BLOCK, LEAF, PIVOTS = 1024, 256, 8
+#: Common shingles that are broadcast at most (8 bytes each), the most frequent first.
+COMMON_SHINGLES = 1 << 20
+#: From this distance a document is far from a pivot; any value gives the same links.
+FAR = 0.6
+#: Documents of a region that one task joins; pivots of a region; regions up to SMALL have one.
+BLOCK, PIVOTS, SMALL = 1024, 8, 16
+#: Pivots of a region above BLOCK, and how often such regions are parted over DataFrames at most.
+LARGE_PIVOTS, ROUNDS = 16, 4
 #: Documents that tasks handle together where regions are small.
 BUCKET_ROWS = 2048
-#: Bits of the filter that keeps texts without a region from being shuffled, as a power of two (2 MB).
-BLOOM_BITS = 24
-#: Words whose hashes a task keeps at most; then it starts anew. Nothing stays in a worker when its task ends.
-KEPT_WORDS = 500_000
-
-_hashes: dict[bytes, int] = {}
-_POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-
-
-def forget() -> None:
-    """Empty the worker's table of words; a task calls it when it ends."""
-    _hashes.clear()
+#: Texts that are hashed together, by their characters.
+STEP = 1 << 20
+#: The filter that keeps texts without a region from being shuffled has 16 bits a key, up to 2 ** FILTER_BITS (16 MB).
+#: Beyond some 10 ** 8 keys it lets most texts pass, which costs one shuffle of them and changes nothing.
+FILTER_BITS = 27
 
+_EMPTY = np.zeros(0, dtype=np.int64)
 
-def _mix(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ np.uint64(salt) ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
 
+def shingle_sets(texts: list[str | None], common: np.ndarray = _EMPTY) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted numbers: A-Z lower-cased, words parted by ASCII white space.
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles: A-Z lower-cased, words parted by ASCII white space.
-
-    With fewer words than a shingle has, the whole sequence is one; without words there is none.
-    """
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    found = text.encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    known = _hashes
-    try:
-        h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
-    except KeyError:
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in found:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
-    n = min(words, len(h))
-    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        out += _mix(h[k : len(h) - n + 1 + k], k + 1) * _POWERS[k % len(_POWERS)]
-    return np.unique(_mix(out, 0))
-
-
-def prefix(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Of a document's shingles in a fixed order (common ones last) the first n - ceil(s n) + n // 10 + 1, as numbers
-    that stand in that order.
-
-    A partner shares ceil(s n) shingles or more, so n // 10 + 1 of these, and they are the first ones that both share.
+    With fewer words than a shingle has, the whole sequence is one; without words there is none. Shingles in common
+    (sorted) get a high bit, so that they come last.
     """
-    n = len(grams)
-    if not n:
-        return grams.view(np.int64)
-    last = np.isin(grams, common, assume_unique=True) if len(common) else np.zeros(n, dtype=bool)
-    order = np.sort((grams >> np.uint64(2)).view(np.int64) | (last.astype(np.int64) << 62))
-    return order[: n - -(-SIMILARITY.numerator * n // SIMILARITY.denominator) + n // 10 + 1]
+    words, n = word_hashes([encoded(t).lower() for t in texts])
+
+    def numbers(h: np.ndarray) -> np.ndarray:
+        g = (h >> np.uint64(2)).view(np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, g), len(common) - 1)
+            g = g | ((common[at] == g).astype(np.int64) << 62)
+        return g
+
+    grams, out = numbers(ngram_hashes(words, WORDS)), []
+    for start, m in zip((np.cumsum(n) - n).tolist(), n.tolist()):
+        if m >= WORDS:
+            out.append(np.unique(grams[start : start + m - WORDS + 1]))
+        else:
+            out.append(numbers(ngram_hashes(words[start : start + m], m)) if m else _EMPTY)
+    return out
+
+
+def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about STEP characters each, at least one text."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= STEP:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def prefix_length(n: int) -> int:
+    """Of a document's n shingles in their order the first n - ceil(s n) + n // 10 + 1: a partner shares ceil(s n) or
+    more, so n // 10 + 1 of these, and they are the first ones that both share."""
+    return n and n - -(-SIMILARITY.numerator * n // SIMILARITY.denominator) + n // 10 + 1
 
 
 def least_shared(n: Column) -> Column:
@@ -101,56 +105,106 @@ def least_shared(n: Column) -> Column:
     return (F.floor(shorter / 10) + 1).cast("int")
 
 
-def links(sets: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Exact links among the sets at some places, as pairs of places."""
-    sizes = np.array([len(sets[i]) for i in at], dtype=np.int64)
-    values, inverse, counts = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(at)), sizes)
-    shared = counts[inverse] > 1
-    column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
-    owner = owner[shared]
-    both = np.zeros((len(at), len(at)), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        has = np.zeros((len(at), 4096), dtype=np.float32)
-        has[owner[a:b], column[a:b] - lo] = 1
-        both += has @ has.T
-    either = sizes[:, None] + sizes[None, :] - both
-    near = SIMILARITY.denominator * both >= SIMILARITY.numerator * either
-    i, j = np.nonzero(np.triu(near, 1))
-    return np.column_stack([at[i], at[j]])
-
-
-def distances(sets: list[np.ndarray], at: np.ndarray, pivot: int) -> np.ndarray:
-    """Jaccard distances of the sets at some places to the one of a pivot."""
-    p = sets[pivot]
-    sizes = np.array([len(sets[i]) for i in at])
-    hits = np.isin(np.concatenate([sets[i] for i in at]), p)
-    both = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-    return 1 - both / (sizes + len(p) - both)
-
-
-def join_region(sets: list[np.ndarray], at: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """All links in a region, in pieces: Voronoi cells with windows, recursively; a link may come more than once.
-
-    If x and y are within the radius r and y's nearest pivot is p, then d(x, p) <= d(x, own pivot) + 2 r: x is in p's
-    cell, too. So each link is found in the cell of either end's pivot.
+def windows(d: np.ndarray) -> np.ndarray:
+    """Which cells a document joins, by its distances to all pivots: one cell a pivot, and the last one for what is far.
+
+    Let x and y be within the radius r, m their distances to their nearest pivots, m(x) <= m(y), and p the nearest of x.
+    If m(x) < FAR, d(y, p) <= m(x) + r, which is at most m(y) + 2 r and FAR + r: both are in p's cell. Otherwise both are
+    far from all pivots, and in the last cell.
     """
-    at = np.arange(len(sets)) if at is None else at
-    if len(at) < 2:
-        return
-    if len(at) > LEAF:
-        drawn = at[np.linspace(0, len(at) - 1, PIVOTS).astype(int)]
-        d = np.column_stack([distances(sets, at, p) for p in drawn])
-        window = d <= d.min(axis=1, keepdims=True) + 2 * float(1 - SIMILARITY) + 1e-9
-        # d = 1 to all pivots puts a document into every cell: if that is most of them, pivots don't part this region
-        if window.sum(axis=0).max() <= 0.8 * len(at):
-            for c in range(len(drawn)):
-                yield from join_region(sets, at[window[:, c]])
+    nearest = d.min(axis=1, keepdims=True)
+    return np.column_stack([d <= np.minimum(nearest + 2 * RADIUS, FAR + RADIUS) + 1e-9, nearest >= FAR])
+
+
+class Region:
+    """Sets of a region, each of at least one shingle, by the places of their shingles in one table."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+
+    def shared(self, pivot: int, at: np.ndarray) -> np.ndarray:
+        """Shingles that a pivot shares with the sets at some places."""
+        mask = np.zeros(len(self.values), dtype=np.int64)
+        mask[self.ids[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]]] = 1
+        return np.add.reduceat(mask[self.ids], self.starts)[at]
+
+    def measured(self, pivot: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to a pivot, and which are within the radius, exactly."""
+        both = self.shared(pivot, at)
+        either = self.sizes[at] + self.sizes[pivot] - both
+        return 1 - both / either, SIMILARITY.denominator * both >= SIMILARITY.numerator * either
+
+    def links(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Links between two lists of places as pairs, exactly; a place in both isn't linked with itself."""
+        every = np.unique(np.concatenate([left, right]))
+        owner = np.repeat(np.arange(len(every)), self.sizes[every])
+        ids = np.concatenate([self.ids[self.starts[i] : self.starts[i] + self.sizes[i]] for i in every])
+        _, column, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        held = counts[column] > 1
+        column, owner = (np.cumsum(counts > 1) - 1)[column[held]], owner[held]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        rows, columns = np.searchsorted(every, left), np.searchsorted(every, right)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            has = np.zeros((len(every), 4096), dtype=np.float32)
+            has[owner[a:b], column[a:b] - lo] = 1
+            both += has[rows] @ has[columns].T
+        either = self.sizes[left][:, None] + self.sizes[right][None, :] - both
+        i, j = np.nonzero(SIMILARITY.denominator * both >= SIMILARITY.numerator * either)
+        other = left[i] != right[j]
+        return np.column_stack([left[i][other], right[j][other]])
+
+    def join(self, at: np.ndarray, tally: Counter) -> Iterator[np.ndarray]:
+        """Pairs that tie together all places at (the first is the region's pivot) that links tie together.
+        """
+        if len(at) < 2:
             return
-    yield links(sets, at)
+        pivots, distances, balls = [], [], []
+        pivot = at[0]
+        for _ in range(1 if len(at) <= SMALL else PIVOTS):
+            d, near = self.measured(pivot, at)
+            pivots.append(pivot)
+            distances.append(d)
+            balls.append(near)
+            tied = at[near & (at != pivot)]
+            tally["ball"] += len(tied)
+            yield np.column_stack([tied, np.full(len(tied), pivot)])
+            nearest = np.min(distances, axis=0)
+            if nearest.max() < FAR:
+                break
+            pivot = at[np.argmax(nearest)]
+        d = np.column_stack(distances)
+        window = windows(d)
+        if len(pivots) > 1 and (window.sum(axis=0) ** 2).sum() <= 0.5 * len(at) ** 2:
+            tally["cells"] += window.shape[1]
+            for c, p in enumerate(pivots):
+                yield from self.join(np.concatenate([[p], at[window[:, c] & (at != p)]]), tally)
+            yield from self.join(at[window[:, -1]], tally)
+            return
+        # one pivot is left: no two of its ball need meet, nor a document and one that is farther off by more than r
+        best = int(np.argmax([b.sum() for b in balls]))
+        order = np.argsort(d[:, best], kind="stable")
+        place, far = at[order], d[order, best]
+        for lo in range(0, len(place), 64):
+            outside = np.flatnonzero(~balls[best][order][lo : lo + 64]) + lo
+            if len(outside):
+                first, last = np.searchsorted(far, [far[outside[0]] - RADIUS - 1e-9, far[outside[-1]] + RADIUS + 1e-9])
+                partners = place[first:last]
+                partners = partners[partners != pivots[best]]
+                if len(partners) > 1:
+                    found = self.links(place[outside], partners)
+                    tally["window"] += len(found)
+                    yield found
+
+
+def join_region(sets: list[np.ndarray], tally: Counter | None = None) -> Iterator[np.ndarray]:
+    """Pairs of places that tie together what links tie together (see Region.join); tally counts where they were found."""
+    if len(sets) > 1:
+        yield from Region(sets).join(np.arange(len(sets)), Counter() if tally is None else tally)
 
 
 def spanning(n: int, pairs: Iterator[np.ndarray]) -> np.ndarray:
@@ -170,50 +224,134 @@ def spanning(n: int, pairs: Iterator[np.ndarray]) -> np.ndarray:
 
 
 def _sample_common(docs: DataFrame, seed: int) -> np.ndarray:
-    """Shingles that a bounded sample of the documents has often: at most its shingles / COMMON, in fact few."""
+    """Shingles that a bounded sample of the documents has often: COMMON_SHINGLES at most."""
     n = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     some = docs.filter(F.pmod(F.xxhash64(F.lit(seed), "tkey"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            if sets:
-                g, k = np.unique(np.concatenate(sets), return_counts=True)
-                yield pd.DataFrame({"gram": g.view(np.int64), "n": k})
-        forget()
+            texts = batch["text"].tolist()
+            for lo, hi in steps(texts):
+                g, k = np.unique(np.concatenate(shingle_sets(texts[lo:hi])), return_counts=True)
+                yield pd.DataFrame({"gram": g, "n": k})
 
     counts = some.mapInPandas(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
-    return np.sort(counts.select("gram").toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(COMMON_SHINGLES).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64))
 
 
-def _bloom(keys: DataFrame):
-    """A test for keys that may be among these: a Bloom filter of a fixed size, whatever the number of keys."""
+def _held(keys: DataFrame, n: int):
+    """A test for long keys that may be among these n: a bitmap of one hash, built by Spark in slices of 4 kB."""
+    bits = min(FILTER_BITS, max(15, int(16 * n).bit_length()))
+    at = F.shiftrightunsigned(F.xxhash64(F.lit(17), "tkey"), 64 - bits)
+    slices = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    every: list[bytes] = [bytes(4096)] * ((1 << (bits - 15)) + 1)
+    for row in slices.collect():  # 2 ** (FILTER_BITS - 15) rows of 4 kB at most
+        every[row["slice"]] = bytes(row["bits"])
+    flat = b"".join(every)
+    shared = keys.sparkSession.sparkContext.broadcast(np.frombuffer(flat, dtype=np.uint8))
 
-    def positions(k: np.ndarray) -> list[np.ndarray]:
-        k = k.view(np.uint64)
-        return [(_mix(k, 17 + i) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for i in range(3)]
+    @F.pandas_udf(T.BooleanType())
+    def held(bucket: pd.Series, position: pd.Series) -> pd.Series:
+        b, p = bucket.to_numpy(dtype=np.int64), position.to_numpy(dtype=np.int64)
+        return pd.Series((shared.value[b * 4096 + (p >> 3)] >> (p & 7).astype(np.uint8) & 1).astype(bool))
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
-        for batch in batches:
-            for p in positions(batch["tkey"].to_numpy(dtype=np.int64)):
-                bits[p] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+    return held(F.bitmap_bucket_number(at), F.bitmap_bit_position(at))
 
-    every = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)
-    for row in keys.coalesce(4).mapInPandas(fill, "bits binary").collect():
-        every |= np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(every)
 
-    @F.pandas_udf(T.BooleanType())
-    def held(tkey: pd.Series) -> pd.Series:
-        bits, out = shared.value, np.ones(len(tkey), dtype=bool)
-        for p in positions(tkey.to_numpy(dtype=np.int64)):
-            out &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(out)
+def _tied(keys: np.ndarray, pairs: Iterator[np.ndarray]) -> pd.DataFrame:
+    root = spanning(len(keys), pairs)
+    tied = root != np.arange(len(keys))
+    return pd.DataFrame({"a": keys[tied], "b": keys[root[tied]]})
+
+
+def _small_regions(members: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
+    """Links (a, b) in regions of BLOCK documents at most. members: region, node; several regions share a task's group."""
+    buckets = max(1, -(-members.count() // BUCKET_ROWS))
+    wanted = members.groupBy("node").agg(F.collect_list("region").alias("regions"))
+    placed = texts.join(wanted, "node").select("node", "text", F.explode("regions").alias("region"))
+    placed = placed.select(F.pmod(F.xxhash64(F.lit(seed), "region"), F.lit(buckets)).alias("bucket"), "region", "node", "text").repartition("bucket")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        claim("jaccard_join")
+        once = group.drop_duplicates("node")
+        nodes, texts = once["node"].to_numpy(), once["text"].tolist()
+        known: dict[int, np.ndarray] = {}
+        for lo, hi in steps(texts):
+            known.update(zip(nodes[lo:hi].tolist(), shingle_sets(texts[lo:hi])))
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for _, region in group[["region", "node"]].groupby("region"):
+            keys = np.unique(region["node"].to_numpy())
+            out.append(_tied(keys, join_region([known[k] for k in keys.tolist()])))
+        return pd.concat(out)
+
+    return placed.groupBy("bucket").applyInPandas(compare, "a long, b long")
+
+
+def _part_large(members: DataFrame, seed: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round over regions too large for a task: members (region, size, node, text) -> links, cells, and the rest.
 
-    return held
+    LARGE_PIVOTS documents of a region, drawn by a seeded hash, go to all blocks of it, which measure distances. cells
+    (region, node): the Voronoi cells with windows of regions that pivots part. rest (region, node, ball): the others,
+    with whether a document is within the radius of the pivot with the largest ball.
+    """
+    order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(seed + turn), "node"), "node")
+    drawn = members.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LARGE_PIVOTS).drop("_r")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = members.select("region", "node", "text", F.pmod(F.xxhash64(F.lit(seed), "node"), blocks).cast("int").alias("salt"), F.lit(False).alias("drawn"))
+    pivots = drawn.select("region", "node", "text", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.lit(True).alias("drawn"))
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["drawn", "node"], ascending=[False, True])
+        texts = group["text"].tolist()
+        sets = [s for lo, hi in steps(texts) for s in shingle_sets(texts[lo:hi])]
+        n = int(group["drawn"].sum())
+        region, own = Region(sets), np.arange(n, len(sets))
+        both = [region.measured(p, own) for p in range(n)]
+        return pd.DataFrame({
+            "region": group["region"].iloc[n:], "node": group["node"].iloc[n:], "pivots": [group["node"].iloc[:n].to_numpy()] * len(own),
+            "near": list(np.column_stack([b[1] for b in both])), "cells": list(windows(np.column_stack([b[0] for b in both]))),
+        })
+
+    shape = "region long, node long, pivots array<long>, near array<boolean>, cells array<boolean>"
+    found = materialize(rows.unionByName(pivots).groupBy("region", "salt").applyInPandas(measure, shape), "large-regions")
+    links = found.select("node", F.explode(F.arrays_zip("pivots", "near")).alias("x")).filter("x.near AND x.pivots <> node").select(F.col("node").alias("a"), F.col("x.pivots").alias("b"))
+    # at most LARGE_PIVOTS + 1 rows a region
+    held = found.select("region", F.posexplode("cells").alias("cell", "held")).groupBy("region", "cell").agg(F.count_if("held").alias("held"), F.count("*").alias("n"))
+    balls = found.select("region", F.posexplode("near").alias("cell", "near")).groupBy("region", "cell").agg(F.count_if("near").alias("ball"))
+    plan = held.groupBy("region").agg((F.sum(F.col("held") * F.col("held")) <= 0.5 * F.max(F.col("n") * F.col("n"))).alias("parted"))
+    plan = plan.join(balls.groupBy("region").agg(F.max_by("cell", F.struct("ball", -F.col("cell"))).alias("best")), "region")
+    planned = found.join(plan, "region")
+    parted = planned.filter("parted").select("region", "node", F.posexplode("cells").alias("cell", "held")).filter("held")
+    parted = parted.select(F.xxhash64(F.lit(seed + turn), "region", "cell").alias("region"), "node")
+    rest = planned.filter("NOT parted").select("region", "node", F.get("near", "best").alias("ball"))
+    return links, parted, rest
+
+
+def _blocks_of_rest(rest: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
+    """Links in regions that pivots don't part: outside the ball all blocks meet each other and the ball's blocks."""
+    counts = rest.groupBy("region").agg(F.count_if(~F.col("ball")).alias("outer"), F.count_if("ball").alias("inner"))
+    rows = rest.join(counts.filter("outer > 0"), "region").join(texts, "node")
+    outer, inner = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("outer", "inner"))
+    own = F.pmod(F.xxhash64(F.lit(seed), "node"), F.when(F.col("ball"), inner).otherwise(outer)).cast("int")
+    among = F.transform(F.sequence(F.lit(0), outer - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j"), F.lit(False).alias("with_ball"), (own <= b).alias("left"), (own >= b).alias("right")))
+    to_ball = F.transform(F.sequence(F.lit(0), inner - 1), lambda b: F.struct(own.alias("i"), b.alias("j"), F.lit(True).alias("with_ball"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    from_ball = F.transform(F.sequence(F.lit(0), outer - 1), lambda b: F.struct(b.alias("i"), own.alias("j"), F.lit(True).alias("with_ball"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    pairs = F.when(F.col("ball"), from_ball).when(F.col("inner") > 0, F.concat(among, to_ball)).otherwise(among)
+    placed = rows.select("region", "node", "text", F.explode(pairs).alias("p"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        claim("jaccard_join")
+        group = group.sort_values("node")
+        texts, keys = group["text"].tolist(), group["node"].to_numpy()
+        left, right = (np.flatnonzero(group[side].to_numpy()) for side in ("left", "right"))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        region = Region([s for lo, hi in steps(texts) for s in shingle_sets(texts[lo:hi])])
+        return _tied(keys, (region.links(left[i : i + 256], right) for i in range(0, len(left), 256)))
+
+    keyed = placed.select("region", "p.*", "node", "text")
+    return keyed.groupBy("region", "i", "j", "with_ball").applyInPandas(compare, "a long, b long")
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
@@ -222,87 +360,71 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two rows link when their sets of shingles are similar by SIMILARITY or more; component_id is the smallest id that
     links reach, the own id included (null if all are null). Rows without words link with nothing; rows whose sets are
-    equal are linked. Repeated rows are rows of their own. An empty table gives no rows.
+    equal are linked. Repeated rows are rows of their own. Other columns of df take no part, whatever their names. An
+    empty table gives no rows. Shingles are told apart by 62 bits of a hash, sets by 128.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), text_key(text_col, seed).alias("tkey"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col, seed).alias("tkey"), F.col(f"`{text_col}`").alias("text"))
     common = spark.sparkContext.broadcast(_sample_common(docs, seed))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("jaccard_join")
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                rows, here = [], set()
-                for text in part["text"]:
-                    g = shingles(text)
-                    k = int(_mix(g, 11).sum(dtype=np.uint64).view(np.int64))
-                    k2 = int(np.bitwise_xor.reduce(_mix(g, 13)).view(np.int64)) if len(g) else 0
-                    # of equal sets in a batch the first brings the prefix
-                    rows.append((len(g), k, k2, None if k in here else prefix(g, common.value)))
-                    here.add(k)
+            texts = batch["text"].tolist()
+            for lo, hi in steps(texts):
+                sets, rows, here = shingle_sets(texts[lo:hi], common.value), [], set()
+                for g in sets:
+                    h = g.view(np.uint64)
+                    key = int(mix(h, 11).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(h, 13)).view(np.int64)) if len(g) else 0
+                    # of equal sets that stand together the first brings the prefix
+                    rows.append((len(g), *key, None if key in here else g[: prefix_length(len(g))]))
+                    here.add(key)
                 out = pd.DataFrame(rows, columns=["n", "k", "k2", "prefix"])
-                out.insert(0, "id", part["id"].to_numpy())
-                out.insert(1, "tkey", part["tkey"].to_numpy())
+                out.insert(0, "id", batch["id"].iloc[lo:hi].to_numpy())
+                out.insert(1, "tkey", batch["tkey"].iloc[lo:hi].to_numpy())
                 yield out
-        forget()
 
     table = materialize(docs.mapInPandas(sets_of, f"id {kind}, tkey long, n long, k long, k2 long, prefix array<long>"), "shingles")
-    # equal sets are one document from here on; two hashes of 64 bits each tell sets apart
-    alike = table.filter("n > 0").groupBy("k").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("first"), F.min("k2").alias("a"), F.max("k2").alias("b"), F.min("n").alias("n")
-    )
-    alike = alike.select("k", "n", F.when(F.col("a") == F.col("b"), F.col("first")).otherwise(F.raise_error(F.lit("two sets share a key: use another seed"))).alias("first"))
-    alike = materialize(alike.select("k", "n", "first.id", "first.tkey"), "sets")
+    # equal sets are one document from here on, by a number of its own
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey"))
+    alike = table.filter("n > 0").groupBy("k", "k2").agg(first.alias("first"), F.min("n").alias("n"))
+    alike = materialize(alike.select(F.monotonically_increasing_id().alias("node"), "k", "k2", "n", "first.id", "first.tkey"), "sets")
 
-    # one exchange by shingle serves the pivots and the join with them
+    # one exchange by shingle serves the pivots and the join with them; documents that share k only are candidates at most
     met = table.filter("n > 0").select("k", F.explode("prefix").alias("gram")).repartition("gram")
     pivots = met.groupBy("gram").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("gram", "pivot")
     live = met.join(pivots.hint("merge"), "gram").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "pivot"))).alias("live"))
     least = least_shared(F.col("n"))
     # with the last least - 1 left out, the first shared shingle is still in on both sides
-    some = live.join(alike, "k").filter(F.size("live") >= least).select("k", "id", "tkey", F.array_distinct(F.slice("live", F.lit(1), F.size("live") - least + 1)["pivot"]).alias("pivots"))
+    some = live.join(alike, "k").filter(F.size("live") >= least).select("node", "id", "tkey", F.array_distinct(F.slice("live", F.lit(1), F.size("live") - least + 1)["pivot"]).alias("regions"))
     some = materialize(some, "regions")
-    regions = some.select("k", F.explode("pivots").alias("pivot"))
-    sizes = regions.groupBy("pivot").agg(F.count("*").alias("size")).filter("size > 1")
-    wanted = regions.join(sizes, "pivot").groupBy("k").agg(F.collect_list(F.struct("pivot", "size")).alias("regions")).join(some.select("k", "id", "tkey"), "k")
-    likely = _bloom(some.select("tkey"))
-    texts = docs.filter(likely("tkey")).join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["tkey"] == wanted["tkey"])).select("k", "text", "regions")
-    buckets = max(1, -(-regions.count() // BUCKET_ROWS))
-
-    # small regions share buckets; a large one is dealt in blocks, and each pair of blocks is a bucket of its own
-    blocks = F.ceil(F.col("region.size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(seed), "k"), blocks).cast("int")
-    pairs = F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
-    )
-    placed = texts.select("k", "text", F.explode("regions").alias("region")).withColumn("pair", F.explode(pairs))
-    bucket = F.when(F.ceil(F.col("region.size") / BLOCK) == 1, F.pmod(F.xxhash64("region.pivot"), F.lit(buckets))).otherwise(F.xxhash64("region.pivot", "pair.i", "pair.j"))
-    placed = placed.select(bucket.alias("bucket"), F.col("region.pivot").alias("pivot"), "k", "text").repartition("bucket")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        known: dict[int, np.ndarray] = {}
-        out = []
-        for _, region in group.drop_duplicates(["pivot", "k"]).sort_values("k").groupby("pivot"):
-            keys = region["k"].to_numpy()
-            for k, text in zip(keys, region["text"]):
-                if k not in known:
-                    known[k] = shingles(text)
-            root = spanning(len(keys), join_region([known[k] for k in keys]))
-            tied = root != np.arange(len(keys))
-            out.append(pd.DataFrame({"a": keys[tied], "b": keys[root[tied]]}))
-        forget()
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    edges = placed.groupBy("bucket").applyInPandas(compare, "a long, b long")
+    members = some.select("node", F.explode("regions").alias("region"))
+    sizes = members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialize(members.join(sizes, "region"), "region-members")
+    likely = _held(some.select("tkey"), some.count())
+    met_texts = docs.filter(likely).join(some.select("node", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")))
+    # rows that repeat an id and a text are one here
+    texts = met_texts.select("node", "text")
+
+    edges = _small_regions(members.filter(F.col("size") <= BLOCK).select("region", "node"), texts, seed)
+    large, turn = members.filter(F.col("size") > BLOCK), 0
+    if not large.isEmpty():
+        texts = materialize(texts.join(large.select("node").distinct(), "node").dropDuplicates(["node"]), "large-texts")
+        while turn < ROUNDS and not large.isEmpty():
+            links, parted, rest = _part_large(large.join(texts, "node"), seed, turn)
+            edges = edges.union(links).union(_blocks_of_rest(rest, texts, seed))
+            cells = parted.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+            parted = materialize(parted.join(cells, "region").select("node", "region", "size"), "cells")
+            edges = edges.union(_small_regions(parted.filter(F.col("size") <= BLOCK).select("region", "node"), texts, seed))
+            large, turn = parted.filter(F.col("size") > BLOCK), turn + 1
+        edges = edges.union(_blocks_of_rest(large.select("region", "node", F.lit(False).alias("ball")), texts, seed))
     roots = components(edges)
-    named = alike.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "id", "tkey", F.coalesce("root", "k").alias("root"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey"))
+    named = alike.join(roots, "node", "left").select("node", "k", "k2", "id", "tkey", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(first.alias("first"), F.count("*").alias("n_sets"))
-    where = named.select("k", "root").join(smallest, "root").select(F.col("k").alias("_k"), "first", "n_sets")
-    out = table.select("id", "tkey", "n", "k").join(where, (F.col("k") == F.col("_k")) & (F.col("n") > 0), "left")
+    where = named.select("k", "k2", "root").join(smallest, "root").select(F.col("k").alias("_k"), F.col("k2").alias("_k2"), "first", "n_sets")
     has = F.col("n") > 0
+    out = table.select("id", "tkey", "n", "k", "k2").join(where, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")) & has, "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -320,7 +442,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     """
     columns = df.columns
     found = materialize(jaccard_groups(df, id_col, text_col, seed).filter("stays").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("n_shingles").alias("_n")), "kept")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(id_col).alias("_rid"), text_key(text_col, seed).alias("_rkey"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(f"`{id_col}`").alias("_rid"), text_key(text_col, seed).alias("_rkey"))
     kept = rows.join(found.select("_id", "_key", "_n").distinct(), F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rkey") == F.col("_key")))
     if found.filter("_n > 0").groupBy("_id", "_key").count().filter("count > 1").isEmpty():
         return kept.select("_row.*")
@@ -328,4 +450,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
 
 
 def text_key(text_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed + 9), text_col)
+    return F.xxhash64(F.lit(seed + 9), F.col(f"`{text_col}`"))

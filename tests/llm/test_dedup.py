@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from broadsheet.llm import exact_dedup, jaccard_join
 from pyspark.sql import functions as F
 
@@ -88,10 +90,55 @@ def test_jaccard_components(docs, rows):
 
 
 def test_small_blocks_and_cells_give_the_same(docs, rows, monkeypatch):
-    for name, value in (("BLOCK", 4), ("LEAF", 3), ("BUCKET_ROWS", 5), ("SAMPLE_ROWS", 50)):
+    """Regions of more than a few documents go through the rounds over DataFrames, with cells, balls and blocks."""
+    for name, value in (("BLOCK", 4), ("SMALL", 2), ("BUCKET_ROWS", 5), ("SAMPLE_ROWS", 50), ("LARGE_PIVOTS", 3)):
         monkeypatch.setattr(jaccard_join, name, value)
-    got = jaccard_join.jaccard_groups(docs).select("doc_id", "n_shingles", "component_id").collect()
-    assert Counter(map(tuple, got)) == expected_near(rows)
+    for rounds in (1, 3):
+        monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+        got = jaccard_join.jaccard_groups(docs).select("doc_id", "n_shingles", "component_id").collect()
+        assert Counter(map(tuple, got)) == expected_near(rows)
+
+
+def families(rng, sizes, length, most):
+    """Sets of near copies: each family's are its base with up to `most` shingles exchanged."""
+    sets = []
+    for n in sizes:
+        base = rng.choice(1 << 40, length, replace=False)
+        for _ in range(n):
+            own = base.copy()
+            at = rng.choice(length, rng.integers(0, most + 1), replace=False)
+            own[at] = rng.choice(1 << 40, len(at))
+            sets.append(np.unique(own))
+    order = rng.permutation(len(sets))
+    return [sets[i] for i in order]
+
+
+def all_links(sets):
+    both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+    size = np.array([len(s) for s in sets])
+    return np.argwhere(np.triu(5 * both >= 4 * (size[:, None] + size[None, :] - both), 1))
+
+
+@pytest.mark.parametrize("sizes,length,most", [([300], 60, 12), ([150, 100, 60], 50, 9), ([20] * 14, 40, 6), ([280], 30, 20), ([1] * 30, 20, 0), ([2, 2, 1], 10, 1)])
+def test_region_of_hundreds_against_brute_force(sizes, length, most):
+    """With the constants as they are: components by cells, balls and windows are those of all links."""
+    sets, tally = families(np.random.default_rng(len(sizes) + most), sizes, length, most), Counter()
+    got = jaccard_join.spanning(len(sets), jaccard_join.join_region(sets, tally))
+    want = jaccard_join.spanning(len(sets), iter([all_links(sets)]))
+    assert got.tolist() == want.tolist()
+    if len(sizes) > 1 and len(sets) > 50 and max(sizes) > 1:
+        assert tally["cells"] > 0 and tally["ball"] > 0
+
+
+def test_a_shingle_set_is_the_texts(rows):
+    texts = [r[1] for r in rows]
+    sets = jaccard_join.shingle_sets(texts)
+    assert [len(s) for s in sets] == [len(shingle_set(t)) for t in texts]
+    some = np.unique(np.concatenate(sets))[::7]
+    for a, b in zip(sets, jaccard_join.shingle_sets(texts, some)):
+        assert len(a) == len(b) and set(a.tolist()) == {x & ((1 << 62) - 1) for x in b.tolist()} and np.isin(a, some).sum() == (b >> 62).sum()
+    for n in range(1, 60):  # the prefix is never too short for what must be shared in it
+        assert 1 <= jaccard_join.prefix_length(n) <= n
 
 
 def test_keep_one(clashing, rows):
