@@ -391,10 +391,11 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike = table.filter("n > 0").groupBy("k", "k2").agg(first.alias("first"), F.min("n").alias("n"))
     alike = materialize(alike.select(F.monotonically_increasing_id().alias("node"), "k", "k2", "n", "first.id", "first.tkey"), "sets")
 
-    # one exchange by shingle serves the pivots and the join with them; documents that share k only are candidates at most
-    met = table.filter("n > 0").select("k", F.explode("prefix").alias("gram")).repartition("gram")
-    pivots = met.groupBy("gram").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("gram", "pivot")
-    live = met.join(pivots.hint("merge"), "gram").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "pivot"))).alias("live"))
+    # one exchange by shingle finds the pivots and joins them; documents that share k only are candidates at most
+    met = table.filter("n > 0").select("k", F.explode("prefix").alias("gram"))
+    same = Window.partitionBy("gram")
+    met = met.withColumn("pivot", F.min("k").over(same)).withColumn("other", F.max("k").over(same)).filter("pivot <> other")
+    live = met.select("gram", "k", "pivot").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "pivot"))).alias("live"))
     least = least_shared(F.col("n"))
     # with the last least - 1 left out, the first shared shingle is still in on both sides
     some = live.join(alike, "k").filter(F.size("live") >= least).select("node", "id", "tkey", F.array_distinct(F.slice("live", F.lit(1), F.size("live") - least + 1)["pivot"]).alias("regions"))
