@@ -27,9 +27,10 @@ BACKOFF = 0.4
 #: Bigrams seen less often count as not seen.
 MIN_COUNT = 2
 #: Text in a block, about: what one group of a task holds.
-BLOCK_BYTES = 4 << 20
-#: Text whose n-grams fall into a slice, about.
+BLOCK_BYTES = 6 << 20
+#: Text whose n-grams fall into a slice, about; a slice is a partition, and there are MOST_SLICES at most (beyond, they grow).
 SLICE_BYTES = 8 << 20
+MOST_SLICES = 100_000
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cou
     # the place in the input keeps repeated rows apart; both reads of the blocks share one exchange
     block = F.pmod(F.xxhash64(F.lit(seed), "id", "text", F.monotonically_increasing_id()), F.lit(blocks))
     dealt = docs.withColumn("block", block).repartition("block")
-    slices = max(1, -(-int(size) // SLICE_BYTES))
+    slices = min(MOST_SLICES, max(1, -(-int(size) // SLICE_BYTES)))
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         return count_block(group, slices)
@@ -94,7 +95,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cou
     def both(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return score_block(group, answers, min_count)
 
-    sent = dealt.groupBy("block").applyInPandas(count, "block long, slice int not null, grams array<long>, ns array<int>").repartition("slice")
+    sent = dealt.groupBy("block").applyInPandas(count, "block long, slice int not null, grams array<long>, ns array<int>").repartitionById(slices, F.col("slice"))
     each = sent.select("slice", "block", F.posexplode(F.arrays_zip("grams", "ns")).alias("i", "g")).select("slice", "block", "i", F.col("g.grams").alias("gram"), F.col("g.ns").alias("n"))
     # a slice holds all rows of its n-grams: counting them and joining the counts to each row moves nothing
     joined = each.withColumn("total", F.sum("n").over(Window.partitionBy("slice", "gram")))
