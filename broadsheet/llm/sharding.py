@@ -22,19 +22,19 @@ BROADCAST_BUCKETS = 100_000
 def shuffle_into_shards(df: DataFrame, size_col: str, shards: int = 8, seed: int = 42) -> DataFrame:
     """The rows of df in a seeded random order, with _shard (0 to shards - 1) and _slot (gapless from 0 in its shard).
 
-    size_col gives a row's bytes (nulls count as nothing) and only sizes the buckets. All columns are kept. Nulls,
-    repeated rows and ties need no care: each row has a key of its own, drawn from its content and its place in the
-    input. An empty table gives no rows.
+    size_col gives a row's bytes (nulls count as nothing) and only sizes the buckets. All columns are kept, but for ones
+    named _shard or _slot, which are replaced. Nulls, repeated rows and ties need no care: each row has a key of its own,
+    drawn from its content and its place in the input. An empty table gives no rows.
     """
-    columns = df.columns
-    total = df.agg(F.coalesce(F.sum(size_col), F.lit(0))).first()[0]
+    columns = [c for c in df.columns if c not in ("_shard", "_slot")]
+    total = df.agg(F.coalesce(F.sum(F.col(f"`{size_col}`")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-int(total) // BUCKET_BYTES))
-    row = F.struct(*[F.col(c) for c in columns])
-    key = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[F.col(c) for c in columns])
-    scattered = df.select(key.alias("_key"), row.alias("_row")).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(buckets)))
-    # the number of partitions is fixed and rows are sorted, so that the seeded shuffle draws the same numbers again
-    bucketed = scattered.repartition(buckets, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_key", "_row"))).alias("_rows"))
-    shuffled = bucketed.sortWithinPartitions("_bucket").select("_bucket", F.posexplode(F.shuffle("_rows", seed + 2)).alias("_at", "_it"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    key = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in columns])
+    scattered = df.select(key.alias("_key"), row.alias("_row")).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(buckets)).cast("int"))
+    # a partition is a bucket and its rows are sorted, so that the seeded shuffle draws the same numbers again
+    bucketed = scattered.repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_key", "_row"))).alias("_rows"))
+    shuffled = bucketed.select("_bucket", F.posexplode(F.shuffle("_rows", seed + 2)).alias("_at", "_it"))
     written = materialize(shuffled.select("_bucket", F.col("_at").cast("long").alias("_at"), "_it._row"), "shards")
 
     counts = written.groupBy("_bucket").agg(F.count("*").alias("_n"))
