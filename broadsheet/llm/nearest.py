@@ -42,16 +42,19 @@ class Index:
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.reach**2 - (x * x).sum(axis=1), 0))
         return np.column_stack([x, extra])
 
-    def seeds(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best rows of the sample: places of queries, of sampled rows, and inner products."""
+    def bounds(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """The k-th largest inner product with other rows of the sample, which is at most that with all rows; none: -inf."""
+        if k > len(self.sample_ids):
+            return np.full(len(q), -np.inf)
         rough = (q @ self.sample.T).astype(np.float32)
         rough[own[:, None] == self.sample_ids[None, :]] = -np.inf
-        k = min(k, rough.shape[1])
-        j = np.argpartition(-rough, k - 1, axis=1)[:, :k].ravel() if k else np.zeros(0, dtype=np.int64)
+        j = np.argpartition(-rough, k - 1, axis=1)[:, :k].ravel()
         i = np.repeat(np.arange(len(q)), k)
         other = self.sample_ids[j] != own[i]
         i, j = i[other], j[other]
-        return i, j, (self.sample[j] * q[i]).sum(axis=1)
+        least = np.full(len(q), np.inf)
+        np.minimum.at(least, i, (self.sample[j] * q[i]).sum(axis=1))
+        return np.where(np.bincount(i, minlength=len(q)) >= k, least - 1e-9, -np.inf)
 
     def lists(self, lifted: np.ndarray, n: int) -> np.ndarray:
         """The n nearest lists of each vector, nearest first."""
@@ -67,8 +70,10 @@ def usable(df: DataFrame, vector_col: str) -> DataFrame:
 
 
 def fit(vectors: DataFrame, rows: int, reach: float, dim: int, seed: int = 42) -> Index:
-    """Lists by k-means on a hashed sample of SAMPLE_ROWS rows at most."""
-    found = vectors.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).toPandas()
+    """Lists by k-means on a hashed sample of SAMPLE_ROWS rows at most; only the sampled rows are shuffled."""
+    share = int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, rows)) * (1 << 30))
+    drawn = vectors.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)) <= share)
+    found = drawn.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).toPandas()
     sample = np.array(found["v"].tolist(), dtype=float).reshape(-1, dim)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0]
@@ -100,7 +105,8 @@ def scan(index: Index, q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x:
     for lo in range(0, total, COLUMNS):
         hi = min(total, lo + COLUMNS)
         margin = (1 + EPSILON / hi**0.5) ** 2 if hi < total else 1.0
-        most = ((margin * limit + 1e-4) * (hi / total)).astype(np.float32)
+        # what single precision can lose grows with the squared norms
+        most = (margin * limit * (hi / total) + 1e-5 * (index.reach**2 + (q * q).sum(axis=1)) + 1e-12).astype(np.float32)
         r, a = rows[:, lo:hi], asked[:, lo:hi]
         if dense:
             part += (r * r).sum(axis=1)[None, :] + (a * a).sum(axis=1)[:, None] - 2 * (a @ r.T)
@@ -155,24 +161,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
             for at in range(0, len(batch), 1024):
                 some = batch.iloc[at : at + 1024].reset_index(drop=True)
                 v = np.array(some["v"].tolist(), dtype=float)
-                # the k-th best of the sample bounds the k-th best of all rows from below
-                i, _, scores = found.seeds(v, some["id"].to_numpy(), k)
-                least = np.full(len(some), np.inf)
-                np.minimum.at(least, i, scores)
-                full = np.bincount(i, minlength=len(some)) >= k
                 near = found.lists(found.lift(v, True), found.probes)
-                some = some.assign(bound=np.where(full, least - 1e-9, -np.inf))
+                some = some.assign(bound=found.bounds(v, some["id"].to_numpy(), k))
                 yield some.loc[some.index.repeat(near.shape[1])].assign(list=near.ravel())
 
-    def seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch.iloc[at : at + 1024]
-                own = some["id"].to_numpy()
-                i, j, scores = found.seeds(np.array(some["v"].tolist(), dtype=float), own, k)
-                yield pd.DataFrame({"query_id": own[i], "vec_id": found.sample_ids[j], "score": scores})
-
     kind = f"id long, v {vectors.schema['v'].dataType.simpleString()}"
     members, probes = vectors.mapInPandas(assign, f"{kind}, list int"), asked.mapInPandas(probe, f"{kind}, bound double, list int")
     # LISTS rows at most: how many parts a list's rows and queries fall into
@@ -197,7 +189,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
 
     keys = ["list", "part", "turn"]
     found = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    found = found.union(asked.mapInPandas(seed_rows, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # a repeated id has a row in each of its lists
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
