@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from broadsheet.llm.common import claim, keeps
 
 #: Words whose tables a worker keeps at most; then it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
+#: Pairs of pieces of which a worker remembers whether they stay apart; then it starts anew.
+KEPT_PAIRS = 500_000
 #: Texts that are split into words at a time.
 BATCH = 1000
 MARK = "▁"
@@ -45,7 +47,7 @@ class PrefixCounter:
             raise ValueError("the model has pieces that cross words")
         self.longest = max(map(len, self.rank))
         self._apart: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._whole: dict[str, bool] = {}  # by piece of the vocabulary, so it holds no more than that
         self._totals: dict[str, int] = {}
         self._firsts: dict[str, int] = {}
 
@@ -159,6 +161,8 @@ class PrefixCounter:
             totals.clear()
         if len(firsts) > KEPT_WORDS:
             firsts.clear()
+        if len(self._apart) > KEPT_PAIRS:
+            self._apart.clear()
         self.learn([w for w in spaced if w not in totals], MARK, totals)
         self.learn([w for w in heads if w not in firsts], "", firsts)
         feed, out = self.table("\n")[-1], []
@@ -221,7 +225,10 @@ def fits_budget(counts: Column, budget: int) -> Column:
 
 
 def token_report(df: DataFrame, path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
-    """df with n_bytes, n_tokens and over_limit. Null texts count as empty; other columns stay."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """df with n_bytes, n_tokens and over_limit, which replace columns of these names; other columns stay.
+
+    Null texts count as empty. Repeated rows are counted each; an empty table gives no rows.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     counted = df.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", count_tokens(text, path))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
