@@ -23,7 +23,7 @@ from broadsheet.llm.common import claim, keeps, materialize
 
 ROOM = 2048
 #: Words, and parts of words, whose ids a worker keeps in each of two generations.
-KEPT_WORDS = 450_000
+KEPT_WORDS = 150_000
 #: Texts that are split into words at a time.
 BATCH = 2000
 #: Rows in a bucket of the ranks.
