@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.common import claim, materialize
+from broadsheet.llm.common import materialize
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -18,15 +18,17 @@ SHARE = 1.5
 MOST_REPEATS = 2
 #: Blocks in the mix: the block size follows from them, so the table of blocks is bounded at any input.
 SEATS = 1 << 16
+#: Shards that the mix falls into.
+SHARDS = 8
+# Fixed value: what a word is.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in a bucket of the running totals.
 BUCKET_ROWS = 4096
 
 
-@F.pandas_udf(T.LongType())
-def word_count(text: pd.Series) -> pd.Series:
+def word_count(text: Column) -> Column:
     """Words between ASCII white space; null has none."""
-    claim("mixing")
-    return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -49,37 +51,44 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", "weight", F.least("cap", F.coalesce(held["level"] * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def quotas(goals: DataFrame) -> DataFrame:
-    """Words of each source (source, quota): each word is a seat, seats go to the highest quotients target / (2k + 1).
+def quotas(goals: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Words of each source in each shard: (source, ends), where shard i takes ends[i] - ends[i - 1] words (ends[-1]: 0).
 
-    All but a few seats are certain. Rounded targets miss the seats by at most half the sources and one, so the divisor
-    that meets them moves a source's quota by at most its part of that and one: only these seats are ranked, a number in
-    proportion to the sources. A source's words times MOST_REPEATS are the most it gets.
+    Each word is a seat, seats go to the highest quotients target / (2k + 1), and shard i is filled when its part of the
+    seats, i + 1 of `shards`, is given: Sainte-Lague never takes a seat back when there are more, so the quotas of shards
+    are whole numbers that add up. All but a few seats are certain. Rounded targets miss the seats by at most half the
+    sources and one, so the divisor that meets them moves a source's quota by at most its part of that and one: only these
+    seats are ranked, a number in proportion to the sources. A source's words times MOST_REPEATS are the most it gets.
     """
-    everything = Window.partitionBy()
-    t = goals.filter("target > 0").withColumn("seats", F.ceil(F.sum("target").over(everything)))
-    reach = F.ceil((F.count("*").over(everything) / 2 + 1) * F.col("target") / F.sum("target").over(everything)) + 2
-    t = t.withColumn("reach", reach).withColumn("certain", F.greatest(F.lit(0).cast("long"), F.floor("target") - F.col("reach")))
-    t = t.withColumn("open", F.col("seats") - F.sum("certain").over(everything))
-    last = F.least(F.ceil("target") + F.col("reach"), F.col("source_size") * MOST_REPEATS) - 1
+    part = Window.partitionBy("shard")
+    t = goals.filter("target > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    t = t.withColumn("seats", F.ceil(F.ceil(F.sum("target").over(part)) * (F.col("shard") + 1) / shards))
+    t = t.withColumn("share", F.col("seats") * F.col("target") / F.sum("target").over(part))
+    t = t.withColumn("reach", F.ceil((F.count("*").over(part) / 2 + 1) * F.col("target") / F.sum("target").over(part)) + 2)
+    t = t.withColumn("certain", F.greatest(F.lit(0).cast("long"), F.floor("share") - F.col("reach")))
+    t = t.withColumn("open", F.col("seats") - F.sum("certain").over(part))
+    last = F.least(F.ceil("share") + F.col("reach"), F.col("source_size") * MOST_REPEATS) - 1
     each = t.withColumn("k", F.explode(F.when(last >= F.col("certain"), F.sequence("certain", last)).otherwise(F.array().cast("array<bigint>"))))
-    ranked = each.withColumn("rank", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").isNull(), "source", "k")))
-    won = ranked.filter("rank <= open").groupBy("source").agg(F.count("*").alias("more"))
-    both = t.alias("t").join(won.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source")), "left")
-    return both.select("t.source", (F.col("certain") + F.coalesce("more", F.lit(0))).alias("quota"))
+    highest = part.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").isNull(), "source", "k")
+    won = each.withColumn("rank", F.row_number().over(highest)).filter("rank <= open").groupBy("source", "shard").agg(F.count("*").alias("more"))
+    both = t.alias("t").join(won.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source")) & (F.col("t.shard") == F.col("w.shard")), "left")
+    ends = both.select("t.source", "t.shard", (F.col("certain") + F.coalesce("more", F.lit(0))).alias("end"))
+    return ends.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "end")))["end"].alias("ends"))
 
 
 def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """One row per row of df: id, key, copy (numbers repeated rows), size, source_size, target, epochs, spans, taken.
-
-    A document is taken whole `epochs` times, and once more in its `spans` (word ranges from, to). The words of a
-    source stand in a seeded order, end to end, and are cut into equal blocks. The source's quota of words is met by
-    whole passes, then by blocks chosen by a seeded hash, and to the word by the beginning of one more block; so no word
-    is taken more than MOST_REPEATS times, and a source of less than a block gets its part like any other. Null
-    sources are one source, placed last; null and empty texts have no words and nothing is taken of them. Repeated
-    rows count as rows of their own. An empty table gives no rows.
+    """One row per row of df: id, key, copy (numbers repeated rows), size, source_size, target, epochs, shards, spans, taken.
+
+    A document is taken whole `epochs` times, for `shards` (one each), and once more in its `spans` (word ranges from, to,
+    and their shard). The words of a source stand in a seeded order, end to end, and are cut into equal blocks. The
+    shards' quotas of the source are met in turn by blocks in a seeded order: all of them once or twice, then the first
+    ones again, and to the word by the beginning of one more block; so no word is taken more than MOST_REPEATS times, and
+    a source of less than a block gets its part like any other. A block stays in the shard in which it begins, and a
+    document that is taken whole in that of its first block. Null sources are one source, placed last; null and empty
+    texts have no words and nothing is taken of them. Repeated rows count as rows of their own, other columns of df take
+    no part. An empty table gives no rows.
     """
-    sized = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), document_key(id_col, text_col, seed).alias("key"))
+    sized = df.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("id"), word_count(F.col(f"`{text_col}`")).alias("size"), document_key(id_col, text_col, seed).alias("key"))
     slim = materialize(sized, "mix-sizes")
     by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     goals = materialize(targets(by_source), "mix-targets")
@@ -100,29 +109,34 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     placed = placed.select("source", "id", "key", "copy", "size", (F.col("start") + F.col("inner") + (F.col("copy") - 1) * F.col("size")).alias("at"))
 
     plan = goals.alias("g").join(quotas(goals).alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left")
-    plan = plan.select("g.source", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), F.ceil(F.col("source_size") / block).alias("blocks"))
+    plan = plan.select("g.source", "source_size", "target", F.coalesce("ends", F.array().cast("array<bigint>")).alias("ends"), F.ceil(F.col("source_size") / block).alias("blocks"))
+    plan = plan.withColumn("quota", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
     plan = materialize(plan.withColumn("extra", F.col("quota") - F.col("epochs") * F.col("source_size")), "mix-plan")
-    every = plan.filter("extra > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = plan.filter("quota > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)  # the last block of a source is shorter
     turn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = every.withColumn("length", length).withColumn("left", F.col("extra") - F.coalesce(F.sum("length").over(turn), F.lit(0)))
-    chosen = ranked.filter("left > 0").select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.least("length", "left").alias("_l"))
+    ranked = every.withColumn("length", length).withColumn("before", F.coalesce(F.sum("length").over(turn), F.lit(0)))
+    # a block's place in each pass tells whose quota it is
+    shard_of = lambda at: F.size(F.filter("ends", lambda e: e <= at))
+    passes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: shard_of(e * F.col("source_size") + F.col("before")))
+    chosen = ranked.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.greatest(F.lit(0).cast("long"), F.least("length", F.col("extra") - F.col("before"))).alias("_l"), passes.alias("_h"))
 
-    # SEATS seats and one more a source at most: broadcast while the sources are few, else joined by shuffle
+    # SEATS blocks and one more a source at most: broadcast while the sources are few, else joined by shuffle
     small = F.broadcast if totals[1] <= SEATS else (lambda t: t)
     touched = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}L"), F.expr(f"greatest(at, at + size - 1) div {block}L")))))
     hit = touched.join(small(chosen), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-    span = F.struct(F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("at")).alias("from"), F.least(F.col("size"), F.col("_b") * block + F.col("_l") - F.col("at")).alias("to"))
-    inside_it = F.col("_b").isNotNull() & (span["to"] > span["from"])
-    spans = hit.groupBy("source", "id", "key", "copy", "size").agg(F.sort_array(F.collect_list(F.when(inside_it, span))).alias("spans"))
+    from_, to = F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("at")), F.least(F.col("size"), F.col("_b") * block + F.col("_l") - F.col("at"))
+    span = F.struct(from_.alias("from"), to.alias("to"), F.element_at("_h", -1).alias("shard"))
+    spans = hit.groupBy("source", "id", "key", "copy", "size").agg(F.sort_array(F.collect_list(F.when(to > from_, span))).alias("spans"), F.min_by("_h", "block").alias("_h"))
     out = spans.join(small(plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs")), F.col("source").eqNullSafe(F.col("_s")))
+    out = out.withColumn("shards", F.slice(F.coalesce("_h", F.array().cast("array<int>")), F.lit(1), F.col("epochs").cast("int")))
     part = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
-    return out.select("id", "key", "copy", "size", "source_size", "target", "epochs", "spans", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return out.select("id", "key", "copy", "size", "source_size", "target", "epochs", "shards", "spans", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 def document_key(id_col: str, text_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 @F.pandas_udf(T.StringType())
@@ -130,22 +144,28 @@ def word_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
     """The text between the first and the last character of each span of words, joined by one space."""
 
     def cut(t, ranges):
-        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        at = [m.span() for m in re.finditer(WORD, t)]
         return " ".join(t[at[s["from"]][0] : at[s["to"] - 1][1]] for s in ranges if s["to"] > s["from"])
 
     return pd.Series([cut(t, r) for t, r in zip(text, spans, strict=True)], dtype=object)
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """The mix itself, with the columns of df: each document once for every whole pass, and its chosen spans once."""
-    columns = df.columns
-    plan = mix_plan(df, id_col, source_col, text_col, seed).filter("taken > 0").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("copy").alias("_copy"), "epochs", "spans")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(id_col).alias("_rid"), document_key(id_col, text_col, seed).alias("_rkey"))
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42, shard_col: str | None = None) -> DataFrame:
+    """The mix itself, with the columns of df: each document once for every whole pass, and its chosen spans once a shard.
+
+    With a shard_col the rows' shards are in a column of that name, which replaces one of df. Rows of which nothing is
+    taken are left out.
+    """
+    columns = [c for c in df.columns if c != shard_col]
+    plan = mix_plan(df, id_col, source_col, text_col, seed).filter("taken > 0").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("copy").alias("_copy"), "shards", "spans")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(f"`{id_col}`").alias("_rid"), document_key(id_col, text_col, seed).alias("_rkey"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_rid", "_rkey").orderBy("_rkey")))
     both = rows.join(plan, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rkey") == F.col("_key")) & (F.col("_n") == F.col("_copy")))
-    turn = F.array_repeat(F.lit(None).cast(both.schema["spans"].dataType), F.col("epochs").cast("int"))
-    turns = F.when(F.size("spans") > 0, F.array_append(turn, F.col("spans"))).otherwise(turn)
-    each = both.select("_row", F.explode(turns).alias("_spans"))
-    whole = each.filter("_spans is null").select("_row.*")
-    cut = each.filter("_spans is not null").withColumn("_row", F.col("_row").withField(text_col, word_spans(F.col("_row")[text_col], F.col("_spans"))))
-    return whole.unionByName(cut.select("_row.*"))
+    kind = both.schema["spans"].dataType.simpleString()
+    whole = F.transform("shards", lambda h: F.struct(F.lit(None).cast(kind).alias("spans"), h.alias("shard")))
+    parts = F.transform(F.array_distinct(F.col("spans")["shard"]), lambda h: F.struct(F.filter("spans", lambda s: s["shard"] == h).alias("spans"), h.alias("shard")))
+    each = both.select("_row", F.explode(F.concat(whole, parts)).alias("_turn"))
+    tail = [F.col("_turn.shard").alias(shard_col)] if shard_col else []
+    cut = F.col("_row").withField(f"`{text_col}`", word_spans(F.col("_row")[text_col], F.col("_turn.spans")))
+    whole = each.filter("_turn.spans is null").select("_row.*", *tail)
+    return whole.unionByName(each.filter("_turn.spans is not null").withColumn("_row", cut).select("_row.*", *tail))
