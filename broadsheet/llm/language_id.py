@@ -14,25 +14,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import claim
+from broadsheet.llm.common import claim, materialize
 
 #: Characters in an n-gram; words are parted by one blank.
 N = 4
 #: Bits of a language's filter, and positions an n-gram sets in it.
 BITS = 1 << 22
 HASHES = 3
-#: Labelled rows that the filters are learned from, at most (the documented bound of the sample).
-SAMPLE_ROWS = 20_000
+#: Labelled rows of each language that its filter is learned from, about, at most (the documented bound of the sample).
+LANGUAGE_ROWS = 5_000
 #: An n-gram belongs to a language if it is at least LEAST_SHARE of the language's n-grams (so at most 1 / LEAST_SHARE of
 #: them do), and at least NEAR times as common as in the language where it is most common.
 LEAST_SHARE = 4e-6
 NEAR = 0.25
 UNDECIDED = "und"
 #: Characters looked at in one step; longer texts are worked through in as many steps as they need.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -53,7 +53,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-grams of many texts end to end, the text each belongs to, and which texts have a letter."""
-    joined = "\x00".join(t.lower().replace("\x00", " ") if t else "" for t in texts)
+    joined = "".join(f"{t.lower().replace(chr(0), ' ')}\x00" if t else "\x00" for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype="<u4")
     breaks = codes == 0
     owner = np.cumsum(breaks) if len(codes) else np.zeros(0, dtype=np.int64)
@@ -61,9 +61,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = kind > 0
     has = np.zeros(len(texts), dtype=bool)
     has[owner[kind == 2]] = True
-    # one blank after each run of letters
-    after = np.concatenate([[False], letter[:-1]]) & ~letter if len(codes) else letter
-    keep = letter | after | breaks
+    # one blank after each run of letters, the last of a text, too
+    keep = letter | np.concatenate([[False], letter[:-1]]) if len(codes) else letter
     c = np.where(letter, codes, 32)[keep].astype(np.uint64)
     own = owner[keep] - breaks[keep]
     if len(c) < N:
@@ -81,6 +80,18 @@ def positions(h: np.ndarray) -> list[np.ndarray]:
     return [(a + np.uint64(k) * b) & np.uint64(BITS - 1) for k in range(HASHES)]
 
 
+def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about STEP characters each; at least one text, so that a longer one is a step of its own."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= STEP:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 @dataclass(frozen=True)
 class Filters:
     """languages[i] has bit i % 8 of plane i // 8; false_positives are the filters' own rates; usual: of the most n-grams."""
@@ -108,31 +119,35 @@ class Filters:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Filters:
-    """Filters from rows with a language; of more than SAMPLE_ROWS rows a hashed sample of about that size is read.
+    """Filters from rows with a language; of a language's rows beyond LANGUAGE_ROWS a hashed sample of about that size is
+    read, of rare languages all. Null texts teach nothing; a table without labelled rows gives no filters.
 
     Counts are summed by Spark, a filter is set by one task a language from at most 1 / LEAST_SHARE n-grams, and only the
     filters' bits (BITS / 8 bytes a language) come to the driver.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull())
-    n = rows.count()
-    if n > SAMPLE_ROWS:
-        share = int(SAMPLE_ROWS / n * (1 << 30))
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1 << 30)) < share)
+    rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    limits = {lang: int(LANGUAGE_ROWS / n * (1 << 30)) for lang, n in sizes.items() if n > LANGUAGE_ROWS}
+    if limits:
+        limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("lang")]
+        rows = rows.filter(limit.isNull() | (F.pmod(F.xxhash64(F.lit(7), "id", "text"), F.lit(1 << 30)) < limit))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("language_id")
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                h, k = np.unique(grams(part["text"].tolist())[0], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": k})
+                texts = part["text"].tolist()
+                for lo, hi in steps(texts):
+                    h, k = np.unique(grams(texts[lo:hi])[0], return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": k})
 
-    counts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(count, "lang string, gram long, n long")
+    counts = rows.select("text", "lang").mapInPandas(count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.select("gram", F.struct("lang", "n").alias("x")).groupBy("gram").agg(F.collect_list("x").alias("xs")).cache()
+    counts = counts.select("gram", F.struct("lang", "n").alias("x")).groupBy("gram").agg(F.collect_list("x").alias("xs"))
+    counts = materialize(counts, "language-grams")
     totals = counts.select(F.explode("xs").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("total")).collect()
     languages = sorted(r["lang"] for r in totals)
     if not languages:
-        counts.unpersist()
         return Filters([], 0, np.zeros((0, BITS), dtype=np.uint8), np.zeros(0))
     total = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(float(r["total"])))])
     shares = F.transform("xs", lambda x: F.struct(x["lang"].alias("lang"), (x["n"] / total[x["lang"]]).alias("share")))
@@ -146,7 +161,6 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
 
     found = common.select("gram", F.col("x.lang").alias("lang")).groupBy("lang").applyInPandas(fill, "lang string, bits binary").collect()
-    counts.unpersist()
     planes = np.zeros((-(-len(languages) // 8), BITS), dtype=np.uint8)
     rates = np.zeros(len(languages))
     for r in found:
@@ -158,13 +172,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return Filters(languages, usual, planes, rates)
 
 
-def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """df with lang_pred, score (0 to 1: the language's part of what all languages explain) and known (share of n-grams).
-
-    A null text or one without letters is `und` with score 0; one of whose n-grams no filter knows any is of the usual
-    language with score 0. If no language was learned, all is `und`.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(filters)
+def predicted(text: Column, filters: Filters, spark: SparkSession) -> Column:
+    """lang_pred, score (0 to 1: the language's part of what all languages explain) and known (share of n-grams) as a struct."""
+    shared = spark.sparkContext.broadcast(filters)
     names = [*filters.languages, UNDECIDED]
 
     @F.pandas_udf("lang_pred string, score double, known double")
@@ -174,22 +184,38 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
         for texts in batches:
             pred, score, known = [], [], []
             values = texts.tolist()
-            at = 0
-            while at < len(values):
-                end, size = at, 0
-                while end < len(values) and (end == at or size + len(values[end] or "") <= STEP):
-                    size += len(values[end] or "")
-                    end += 1
-                out, has = f.scores(values[at:end])
+            for lo, hi in steps(values):
+                out, has = f.scores(values[lo:hi])
                 top = out.max(axis=1, initial=0.0)
-                best = np.where(top > 0, out.argmax(axis=1), f.usual) if out.shape[1] else np.zeros(end - at, dtype=int)
+                best = np.where(top > 0, out.argmax(axis=1), f.usual) if out.shape[1] else np.zeros(hi - lo, dtype=int)
                 pred += [names[b] if letters else UNDECIDED for b, letters in zip(best, has)]
                 score += list(np.where(top > 0, top / np.maximum(out.sum(axis=1), 1e-12), 0.0))
                 known += list(top)
-                at = end
             yield pd.DataFrame({"lang_pred": pred, "score": score, "known": known})
 
-    return df.withColumn("_found", predict(F.col(text_col))).select(*[f"`{c}`" for c in df.columns], "_found.*")
+    return predict(text)
+
+
+def _with_prediction(df: DataFrame, filters: Filters, text_col: str) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("row"), predicted(F.col(f"`{text_col}`"), filters, df.sparkSession).alias("found"))
+
+
+def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """df with lang_pred, score and known (see predicted); columns of df with these names are replaced, others stay.
+
+    A null text or one without letters is `und` with score 0; one of whose n-grams no filter knows any is of the usual
+    language with score 0. If no language was learned, all is `und`. Repeated rows are answered each; an empty table gives
+    no rows.
+    """
+    found = _with_prediction(df, filters, text_col)
+    own = [F.col(f"row.`{c}`") for c in df.columns if c not in ("lang_pred", "score", "known")]
+    return found.select(*own, "found.*")
+
+
+def decided(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all its columns as they are, whose prediction isn't `und`."""
+    return _with_prediction(df, filters, text_col).filter(F.col("found.lang_pred") != UNDECIDED).select("row.*")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
