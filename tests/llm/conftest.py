@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; as columns of the input they must pass through unharmed.
-CLASHES = ["id", "key", "size", "bucket", "_row", "_key", "n", "k", "gram", "tkey", "start", "length", "copy", "at", "_id", "rank", "part", "block"]
+CLASHES = ["id", "key", "size", "bucket", "_row", "_key", "n", "k", "gram", "tkey", "start", "length", "copy", "at", "_id", "rank", "part", "block", "row", "found", "slice", "shard", "total", "node", "region"]
+#: Names of what operators return, and one that holds a dot.
+CLASHES += ["_shard", "_slot", "lang_pred", "score", "known", "keep_id", "kept", "component_id", "stays", "text_key", "n_tokens", "n_bytes", "over_limit", "n_words", "log_score", "taken", "target", "spans", "epochs", "shards", "sequence_id", "offset", "html", "n_shingles", "a.b"]
 
 
 def words(rng, n, vocabulary=400):

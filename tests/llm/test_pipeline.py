@@ -46,7 +46,7 @@ def test_stages(spark, docs, rows):
 
 
 def test_clean_texts_of_a_rare_language_stay(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(language_id, "LANGUAGE_ROWS", 40)
     rows = [(i, "the quick brown fox jumps over the lazy dog", "en", "a", 1) for i in range(400)]
     rows += [(400 + i, "žluťoučký kůň úpěl ďábelské ódy", "cs", "a", 1) for i in range(2)] + [(500, "12345 67890 12345 67890 ab 123", "en", "a", 1), (501, "12 34 !!", "en", "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -54,6 +54,16 @@ def test_clean_texts_of_a_rare_language_stay(spark, monkeypatch):
     assert kept == {r[0] for r in rows} - {501}
 
 
+def test_stages_keep_columns(spark, clashing):
+    """Extra columns pass through unharmed, whatever their names."""
+    docs = clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, None).cache()
+        assert docs.columns == clashing.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in docs.filter("doc_id IS NOT NULL").collect() for c in ("score", "a.b", "_shard", "taken"))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() >= docs.count()
+
+
 def test_empty(spark, empty):
     stages = run(spark, empty)
     assert all(df.count() == 0 for df in stages.values())

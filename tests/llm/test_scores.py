@@ -1,7 +1,11 @@
 import math
+import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pytest
 from broadsheet.llm import language_id, lm_scoring, mixing, nearest, sharding, words
 from pyspark.sql import functions as F
 
@@ -128,10 +132,47 @@ def test_mixing_apportions_like_sainte_lague(spark):
         goals = expected_targets(sizes)
         seats = math.ceil(round(sum(goals.values()), 6))
         quotients = sorted(((-t / (2 * k + 1), s) for s, t in goals.items() for k in range(2 * sizes[s])))
-        want = Counter(s for _, s in quotients[:seats])
         df = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
-        got = {r["source"]: r["quota"] for r in mixing.quotas(df).collect()}
-        assert set(got) == set(sizes) and sum(got.values()) == seats and all(abs(got[s] - want[s]) <= 1 for s in sizes)
+        got = {r["source"]: r["ends"] for r in mixing.quotas(df).collect()}
+        assert set(got) == set(sizes)
+        for shard in range(mixing.SHARDS):
+            first = math.ceil(seats * (shard + 1) / mixing.SHARDS)
+            want = Counter(s for _, s in quotients[:first])
+            assert sum(e[shard] for e in got.values()) == first and all(abs(got[s][shard] - want[s]) <= 1 for s in sizes)
+        assert all(e == sorted(e) for e in got.values())
+
+
+def test_shards_of_a_mix_meet_their_quotas(docs, rows):
+    """Blocks are single words here, so a source that is taken in part gives each shard its quota to the word."""
+    # a source of a third of the words and of less than its part is taken in part
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(1000 + i, "one two three", "en", "zz", 1) for i in range(5000)], docs.schema))
+    rows = rows + [(1000 + i, "one two three", "en", "zz", 1) for i in range(5000)]
+    plan = mixing.mix_plan(docs).collect()
+    sizes, source = defaultdict(int), {}
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").encode().split())
+        source[r[0], len((r[1] or "").encode().split())] = r[3]
+    sizes = {k: v for k, v in sizes.items() if v}
+    df = mixing.targets(docs.sparkSession.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    ends = {r["source"]: r["ends"] for r in mixing.quotas(df).collect()}
+    got, whole = defaultdict(int), set()
+    for p in plan:
+        s = source[p["id"], p["size"]]
+        assert len(p["shards"]) == (p["epochs"] if p["size"] else 0) and all(0 <= h < mixing.SHARDS for h in p["shards"])
+        if p["epochs"]:
+            whole.add(s)
+        for x in p["spans"]:
+            got[s, x["shard"]] += x["to"] - x["from"]
+    part = [s for s in sizes if s not in whole]
+    assert part
+    for s in part:
+        assert [got[s, h] for h in range(mixing.SHARDS)] == [e - b for e, b in zip(ends[s], [0, *ends[s]])]
+    mixed = mixing.mixed_documents(docs, shard_col="shard")
+    assert mixed.columns == [*docs.columns, "shard"]
+    by = Counter()
+    for r in mixed.collect():
+        by[r["source"], r["shard"]] += len(r["text"].encode().split())
+    assert all(by[s, h] == got[s, h] for s in part for h in range(mixing.SHARDS))
 
 
 def test_mixed_documents(clashing, rows):
@@ -164,6 +205,15 @@ def test_shards_empty(empty):
     assert sharding.shuffle_into_shards(empty.withColumn("bytes", F.lit(1)), "bytes").count() == 0
 
 
+def test_shards_keep_columns(clashing):
+    df = clashing.withColumn("bytes", F.lit(1))
+    got = sharding.shuffle_into_shards(df, "bytes", shards=3)
+    assert sorted(got.columns) == sorted(df.columns) and dict(got.dtypes)["_shard"] == "int"
+    assert all(r["a.b"] == (f"a.b{r['doc_id']}" if r["doc_id"] is not None else None) for r in got.collect())
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 16)).astype(np.float32)
@@ -190,6 +240,75 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [300, 20_000])
+def test_nearest_in_many_lists(spark, monkeypatch, sample):
+    """Rows that the fit never saw: answers come by way of the probed lists alone."""
+    monkeypatch.setattr(nearest, "SAMPLE_ROWS", sample)
+    rng = np.random.default_rng(7)
+    x = (rng.standard_normal((30, 24))[rng.integers(0, 30, 12_000)] + 0.5 * rng.standard_normal((12_000, 24))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = nearest.nearest(df, df.filter("vec_id % 60 = 0"), k=20).toPandas()
+    d, hits = x.astype(float), 0
+    for q, found in got.groupby("query_id"):
+        scores = d @ d[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -scores))[:20]
+        assert found["rank"].sort_values().tolist() == list(range(1, 21))
+        assert np.allclose(scores[found["vec_id"]], found["score"], atol=1e-9) and q not in set(found["vec_id"])
+        hits += len(set(best) & set(found["vec_id"]))
+    assert got["query_id"].nunique() == 200 and hits >= 0.9 * 20 * 200
+
+
+def test_nearest_keeps_no_sampled_row_aside(spark):
+    """With lists that no query probes there are no answers, whatever the sample holds."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(100)], "vec_id long, embedding array<double>")
+    assert nearest.nearest(df, df.filter("vec_id = 1000")).count() == 0
+    one = nearest.nearest(df.filter("vec_id < 2"), df.filter("vec_id < 2"), k=20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in one) == [(0, 1, 1), (1, 1, 0)]
+
+
+def plain_grams(text):
+    """Runs of letters and marks, lower-cased, with one blank after each; all runs of four characters."""
+    out = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower() + ".")
+    out = re.sub(" +", " ", out).lstrip(" ")
+    return [out[i : i + 4] for i in range(len(out) - 3)]
+
+
+def test_filters_against_exact_sets(spark):
+    rng = np.random.default_rng(8)
+    sounds = {"aa": ["ka", "lo", "mi", "ter"], "bb": ["zu", "pre", "sto", "ka"], "cc": ["é", "lo", "ñu", "x\u0301a"]}
+    text = lambda lang: " ".join("".join(rng.choice(sounds[lang], 3)) for _ in range(rng.integers(1, 25)))
+    rows = [(i, text(lang) if i % 50 else None, lang) for i, lang in enumerate(["aa", "bb", "cc"] * 120)]
+    filters = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: Counter(g for r in rows if r[2] == lang for g in plain_grams(r[1])) for lang in sounds}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = lambda lang, g: counts[lang][g] / total[lang]
+    sets = {lang: {g for g in c if share(lang, g) >= language_id.LEAST_SHARE and share(lang, g) >= language_id.NEAR * max(share(o, g) for o in sounds)} for lang, c in counts.items()}
+    texts = [text(lang) for lang in sounds for _ in range(40)] + ["", "ka 12", None]
+    scores, has = filters.scores(texts)
+    for t, row, letters in zip(texts, scores, has):
+        grams = plain_grams(t)
+        exact = [sum(g in sets[lang] for g in grams) / max(1, len(grams)) for lang in filters.languages]
+        assert np.allclose(row, exact, atol=0.01) and letters == any(c.isalpha() for c in t or "")
+
+
+def test_rare_languages_are_learned_whole(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGE_ROWS", 40)
+    rows = [(i, "the quick brown fox jumps over the lazy dog", "en") for i in range(600)] + [(600 + i, "žluťoučký kůň úpěl ďábelské ódy", "cs") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["lang"], r["lang_pred"]) for r in language_id.identify(df, language_id.learn(df)).collect()}
+    assert got == {("en", "en"), ("cs", "cs")}
+
+
+def test_language_keeps_columns(clashing, empty):
+    filters = language_id.learn(clashing)
+    got = language_id.identify(clashing, filters)
+    assert sorted(got.columns) == sorted(clashing.columns) and dict(got.dtypes)["score"] == "double"
+    kept = language_id.decided(clashing, filters)
+    assert kept.columns == clashing.columns and all(r["score"] == (f"score{r['doc_id']}" if r["doc_id"] is not None else None) for r in kept.collect())
+    assert language_id.identify(empty, filters).count() == 0 and language_id.identify(empty, language_id.learn(empty)).count() == 0
+
+
 def test_language(spark, docs):
     rng = np.random.default_rng(3)
     sounds = {"aa": ["ka", "lo", "mi", "ter"], "bb": ["zu", "pre", "sto", "ngi"]}
