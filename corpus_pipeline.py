@@ -15,31 +15,36 @@ from broadsheet.llm import exact_dedup, jaccard_join, language_id, mixing, packi
 from broadsheet.llm.common import materialize, table
 from broadsheet.llm.queries import tokenizer_path
 
-#: Words that packing remembers in a worker: few, as the executors' heaps have grown in the stages before.
-KEPT_WORDS = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    filters = language_id.learn(docs.filter(~language_id.held_out()))
-    # only what has no letters goes: filters of a bounded sample may not know a rare language, and that is no reason to go
-    return language_id.identify(docs, filters).filter(F.col("lang_pred") != language_id.UNDECIDED).select(docs.columns)
+    """Drops what op10 rejects (`und`: null texts and texts without letters), and nothing for being of a rare language.
+
+    Columns stay as they are, whatever their names; repeated rows stay; an empty table gives no rows.
+    """
+    return language_id.decided(docs, language_id.learn(docs.filter(~language_id.held_out())))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts (white space apart) keeps the one of the smallest id; null texts are equal to empty ones."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows that links tie together keeps the one of the smallest id; rows without words are tied to nothing and stay."""
     return jaccard_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's words by its quota: documents come once for each whole pass and once for their chosen spans of a
+    shard, with n_chars of the new text. Rows without words, and those no quota takes, go. Null sources are one source."""
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), kept_words=KEPT_WORDS).withColumnRenamed("id", "doc_id")
+    """One row for each piece of a document, packed into sequences; a null text is its end token alone."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
