@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
-from broadsheet.functions.similarity import classify_pair, exact_reason
+from broadsheet.functions.similarity import classify_pair, exact_reason, numeric_conflict, title_similarity
 from broadsheet.functions.text import clean_title, fnv1a64, title_tokens
 from broadsheet.operators.blocks import blocks
 from broadsheet.session import written
@@ -71,11 +71,8 @@ def classified_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", classify_pair(F.col("item_a"), F.col("item_b")).alias("match"))
 
 
-def near_pairs(items: DataFrame) -> DataFrame:
-    """All near pairs of items: node numbers a < b, score, common words, hours.
-
-    Words go with candidates first, and only pairs whose words leave a near score possible get bigrams and keys.
-    """
+def _thinned(items: DataFrame) -> DataFrame:
+    """Candidate pairs whose words leave a near score possible: words go with them first, bigrams and keys later."""
     words = lambda x, o: items.select(F.col("node").alias(x), F.col("tokens.unigrams").alias(f"words_{o}"))
     both = near_candidates(items).join(words("a", "a"), "a").join(words("b", "b"), "b")
     na, nb = F.size("words_a"), F.size("words_b")
@@ -83,7 +80,29 @@ def near_pairs(items: DataFrame) -> DataFrame:
     most = F.col("common") / (F.col("na") + F.col("nb")) + F.col("common") / (2 * F.least("na", "nb"))
     bare = (F.col("na") == 0) & (F.col("nb") == 0)
     may = both.filter(bare | ((F.col("common") >= F.least(F.lit(K.NEAR_TOKENS), "na", "nb")) & (K.UNIGRAM_SHARE * most + K.BIGRAM_SHARE >= K.NEAR_SCORE - 1e-9)))
-    return classified_pairs(items, may.select("a", "b")).filter("match.match_type = 'near'").select("a", "b", "match.*")
+    return may.select("a", "b")
+
+
+def near_pairs(items: DataFrame) -> DataFrame:
+    """All near pairs of items: node numbers a < b, score, common words, hours."""
+    return classified_pairs(items, _thinned(items)).filter("match.match_type = 'near'").select("a", "b", "match.*")
+
+
+def near_links(items: DataFrame) -> DataFrame:
+    """Links that join what near pairs join, and a few more: enough for blocks, and O(n) for any number of equal titles.
+
+    Items of equal title words in one band of time are tied to the first of them; only these firsts are looked up and
+    scored against each other, in neighbouring bands and without regard to hours.
+    """
+    band = F.floor(F.unix_millis("published_at") / F.lit(K.NEAR_HOURS * 3600000))
+    keyed = items.select("node", "published_at", "tokens", band.alias("band"), F.xxhash64("tokens.unigrams", "tokens.bigrams", "tokens.numbers").alias("title_key"))
+    first = keyed.groupBy("title_key", "band").agg(F.min("node").alias("first"))
+    tied = keyed.join(first, (keyed["title_key"] == first["title_key"]) & keyed["band"].eqNullSafe(first["band"])).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    firsts = keyed.join(first.select(F.col("first").alias("node")), "node", "left_semi")
+    side = lambda x: firsts.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
+    both = _thinned(firsts).join(side("a"), "a").join(side("b"), "b")
+    near = ~numeric_conflict(F.col("t_a.numbers"), F.col("t_b.numbers")) & (title_similarity(F.col("t_a"), F.col("t_b")) >= K.NEAR_SCORE)
+    return tied.union(both.filter(near).select("a", "b"))
 
 
 def _dice(a: frozenset, b: frozenset) -> float:
@@ -113,11 +132,14 @@ def _hours(a: dict, b: dict) -> float | None:
 def _cluster_block(group: pd.DataFrame) -> pd.DataFrame:
     """Greedy leader clustering of one block, in item order: see cluster_items."""
     found: list[list[dict]] = []
+    live: list[list[dict]] = []  # clusters that a dated item may still join: not full, and not too old for what comes next
     for r in group.sort_values("position").itertuples():
         item = {"node": r.node, "url": r.url, "hash": r.content_hash, "source": r.source_id, "guid": r.guid, "at": None if pd.isna(r.at) else r.at}
         item |= {"u": frozenset(r.unigrams), "b": frozenset(r.bigrams), "n": frozenset(r.numbers), "score": 1.0, "reason": None, "with": None}
         best: tuple[float, list[dict], dict] | None = None
-        for members in found:
+        if item["at"] is not None:
+            live = [c for c in live if len(c) < K.CLUSTER_SIZE and (c[0]["at"] is None or item["at"] - c[0]["at"] <= K.CLUSTER_HOURS * 3600000)]
+        for members in live if item["at"] is not None else found:
             if len(members) >= K.CLUSTER_SIZE or (h := _hours(item, members[0])) is not None and h > K.CLUSTER_HOURS:
                 continue
             twin = next((m for m in members if _same(item, m)), None)
@@ -138,6 +160,7 @@ def _cluster_block(group: pd.DataFrame) -> pd.DataFrame:
                 best[1].append(item)
             else:
                 found.append([item])
+                live.append(found[-1])
     rows = [(m["node"], c[0]["node"], k, m["score"], m["reason"], m["with"]) for c in found for k, m in enumerate(c)]
     return pd.DataFrame(rows, columns=["node", "leader", "join_ordinal", "join_score", "merge_reason", "merged_with"]).astype({"merged_with": "Int64"})
 
@@ -148,12 +171,12 @@ def cluster_items(items: DataFrame) -> DataFrame:
     Items go in the order of time (nulls last), source, guid and hash. An item joins the first cluster (in the order they
     began) where it is the same as a member; else the cluster whose first item it is nearest to, if it is near that one,
     similar to all members and in conflict with none; else it begins one. Full clusters and those whose first item is
-    more than CLUSTER_HOURS away are passed over. Decisions never cross blocks of exact and near pairs, so blocks are
-    folded each by itself; items without a pair are clusters of their own and stay on the JVM side.
+    more than CLUSTER_HOURS away are passed over. Decisions never cross blocks of exact and near links, so blocks are
+    folded each by itself, in time order and looking at clusters that are still open only; items without a pair are clusters of their own and stay on the JVM side.
     """
     order = [F.asc_nulls_last("published_at"), F.collate("source_id", "UNICODE"), F.collate("guid", "UNICODE"), F.collate("content_hash", "UNICODE")]
     nodes = written(with_tokens(items.withColumn("node", F.xxhash64("source_id", "guid", "content_hash", "item_ordinal"))), "cluster-items")
-    edges = written(exact_links(nodes).select("a", "b").union(near_pairs(nodes).select("a", "b")), "cluster-edges")
+    edges = written(exact_links(nodes).select("a", "b").union(near_links(nodes)), "cluster-edges")
     tied = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     of = blocks(tied.select("node"), edges)
     from pyspark.sql import Window

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
 from broadsheet.functions import text, urls
-from broadsheet.operators.blocks import blocks
+from broadsheet.session import written
 
 
 def positive_limits(**limits: int) -> None:
@@ -48,34 +48,32 @@ def identity_keys(items: DataFrame) -> DataFrame:
     return items.select("source_id", "item_ordinal", F.explode(keys).alias("key"))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Keep an item unless one of its keys was seen; a dropped item's keys aren't recorded."""
-    seen: set[str] = set()
-    kept = []
-    for keys in group.sort_values("item_ordinal")["keys"]:
-        fresh = not any(k in seen for k in keys)
-        if fresh:
-            seen.update(keys)
-        kept.append(fresh)
-    ordered = group.sort_values("item_ordinal")
-    return pd.DataFrame({"source_id": ordered["source_id"], "item_ordinal": ordered["item_ordinal"], "kept": kept})
-
-
-def dedup_first_wins(items: DataFrame) -> DataFrame:
+def dedup_first_wins(items: DataFrame, most_rounds: int = 200) -> DataFrame:
     """items with kept: greedy in the order of item_ordinal inside each source, and not transitive.
 
-    Items that share keys, directly or through others, form independent blocks; only these are folded, each by itself,
-    and items that share no key never leave the JVM. A source's size doesn't matter, a block's does.
+    An item is kept unless one of its keys is that of a kept item before it. Each round keeps the items that come first for
+    all of their keys, and drops those that share a key with one of them; what is left goes on, from a written table. No
+    group is ever held whole: a round is an aggregate by key and by item, so a key or a source of any size is combined
+    before it is shuffled. Items that share no key are settled by the first round, and items
+    without a source are kept.
     """
-    node = F.xxhash64("source_id", "item_ordinal")
-    keyed = identity_keys(items).withColumn("node", node)
-    first = keyed.groupBy("source_id", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    edges = keyed.join(first, ["source_id", "key"]).select(F.col("node").alias("a"), "b")
-    shared = edges.select(F.col("a").alias("node")).distinct()
-    of = blocks(shared, edges)
-    fold = keyed.groupBy("source_id", "item_ordinal", "node").agg(F.collect_list("key").alias("keys")).join(of, "node")
-    decided = fold.groupBy("block").applyInPandas(_fold, "source_id string, item_ordinal long, kept boolean")
-    return items.join(decided, ["source_id", "item_ordinal"], "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    left = written(identity_keys(items), "dedup-keys")
+    settled: list[DataFrame] = []
+    item = ["source_id", "item_ordinal"]
+    for _ in range(most_rounds):
+        first = left.groupBy("source_id", "key").agg(F.min("item_ordinal").alias("first"))
+        led = left.join(first, ["source_id", "key"])
+        leads = led.groupBy(*item).agg(F.every(F.col("first") == F.col("item_ordinal")).alias("kept"))
+        taken = leads.filter("kept").select("source_id", F.col("item_ordinal").alias("first"), F.lit(True).alias("taken"))
+        now = led.join(taken, ["source_id", "first"], "left").groupBy(*item).agg(
+            F.every(F.col("first") == F.col("item_ordinal")).alias("kept"), F.bool_or(F.coalesce("taken", F.lit(False)) & (F.col("first") != F.col("item_ordinal"))).alias("dropped")
+        )
+        now = written(now, "dedup-round")
+        settled.append(now.filter("kept OR dropped").select(*item, "kept"))
+        left = written(left.join(now.filter("NOT kept AND NOT dropped").select(*item), item), "dedup-keys")
+        if left.isEmpty():
+            return items.join(reduce(DataFrame.unionByName, settled), item, "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    raise RuntimeError(f"items did not settle in {most_rounds} rounds")
 
 
 def kept_items(items: DataFrame) -> DataFrame:

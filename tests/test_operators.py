@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 from broadsheet.functions import constants as K
+from broadsheet.functions import similarity
 from broadsheet.operators import clusters, items, lifecycle, ranking, reader, summaries
 from broadsheet.operators.blocks import blocks
 from pyspark.sql import functions as F
@@ -81,6 +82,40 @@ def test_clusters_equal_a_sequential_run(spark, news):
     assert any(len(c) > 2 for c in want)
 
 
+def test_first_wins_against_a_plain_fold(spark):
+    """Chains and hot keys: keys of a dropped item aren't recorded, so what it alone shares with a later one counts not."""
+    rng = random.Random(11)
+    rows = [(s, i, f"g{rng.randint(0, 60)}", None if rng.random() < 0.5 else f"u{rng.randint(0, 40)}", f"h{rng.randint(0, 50)}") for s in ("a", "b") for i in range(200)]
+    rows += [("c", i, f"c{i}", f"d{i // 2}", "") for i in range(60)] + [("c", 100 + i, "hot", f"x{i}", "") for i in range(80)]
+    rows += [("d", i, f"k{i // 2}", f"l{(i + 1) // 2}", "") for i in range(40)]  # a chain: every other item is kept
+    want, seen = {}, set()
+    for s, i, guid, url, h in sorted(rows):
+        keys = {(s, "guid", guid), (s, "url", url) if url else (s, "hash", h)}
+        want[s, i] = not keys & seen
+        seen |= keys if want[s, i] else set()
+    df = spark.createDataFrame(rows, "source_id string, item_ordinal long, guid string, url string, content_hash string").repartition(6)
+    assert {(r["source_id"], r["item_ordinal"]): r["kept"] for r in items.dedup_first_wins(df).collect()} == want
+
+
+def test_similarity_is_the_same_in_python(spark, news):
+    t = clusters.with_tokens(news).select("item_ordinal", F.struct("tokens.unigrams", "tokens.bigrams", "tokens.numbers").alias("t")).limit(60)
+    pairs = t.alias("a").join(t.alias("b"), F.col("a.item_ordinal") < F.col("b.item_ordinal")).select(F.col("a.t").alias("a"), F.col("b.t").alias("b"))
+    plain = lambda t: {"u": frozenset(t["unigrams"]), "b": frozenset(t["bigrams"]), "n": frozenset(t["numbers"])}
+    for r in pairs.select("a", "b", similarity.title_similarity(F.col("a"), F.col("b")).alias("s"), similarity.numeric_conflict(F.col("a.numbers"), F.col("b.numbers")).alias("c")).collect():
+        score, conflict = clusters._similarity(plain(r["a"]), plain(r["b"]))
+        assert abs(score - r["s"]) < 1e-12 and conflict == r["c"]
+
+
+def test_copies_of_a_title_make_few_links(spark):
+    """Thousands of items of one title: links in proportion, clusters of the greatest size in order."""
+    rows = [(f"s{i % 3}", i, f"g{i}", "isro launches navic satellite orbit", None, datetime(2026, 8, 1) + timedelta(minutes=i % 600), f"{i:016x}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "source_id string, item_ordinal long, guid string, title string, url string, published_at timestamp, content_hash string")
+    nodes = clusters.with_tokens(df.withColumn("node", F.col("item_ordinal")))
+    assert clusters.near_links(nodes).count() < 3100
+    sizes = clusters.cluster_items(df).groupBy("leader").count().collect()
+    assert len(sizes) == 3000 // K.CLUSTER_SIZE and {r["count"] for r in sizes} == {K.CLUSTER_SIZE}
+
+
 def test_near_pairs_lose_none(spark, news):
     nodes = clusters.with_tokens(news.withColumn("node", F.col("item_ordinal")))
     every = nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).filter("a < b")
