@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,13 @@ def claim(operator: str) -> None:
             forget()
 
 
+def release() -> None:
+    """Called where a task ends: gives memory that it has freed back to the system, as workers stay beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def normalised(text: Column) -> Column:
     """The text with each run of white space made one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

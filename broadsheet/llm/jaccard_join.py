@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.common import claim, materialize
+from broadsheet.llm.common import claim, materialize, release
 from broadsheet.llm.components import components
 from broadsheet.llm.words import encoded, mix, ngram_hashes, word_hashes
 
@@ -384,6 +384,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.insert(0, "id", batch["id"].iloc[lo:hi].to_numpy())
                 out.insert(1, "tkey", batch["tkey"].iloc[lo:hi].to_numpy())
                 yield out
+        release()
 
     table = materialize(docs.mapInPandas(sets_of, f"id {kind}, tkey long, n long, k long, k2 long, prefix array<long>"), "shingles")
     # equal sets are one document from here on, by a number of its own

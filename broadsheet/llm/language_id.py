@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import claim, materialize
+from broadsheet.llm.common import claim, materialize, release
 
 #: Characters in an n-gram; words are parted by one blank.
 N = 4
@@ -140,6 +140,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 for lo, hi in steps(texts):
                     h, k = np.unique(grams(texts[lo:hi])[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": k})
+        release()
 
     counts = rows.select("text", "lang").mapInPandas(count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -192,6 +193,7 @@ def predicted(text: Column, filters: Filters, spark: SparkSession) -> Column:
                 score += list(np.where(top > 0, top / np.maximum(out.sum(axis=1), 1e-12), 0.0))
                 known += list(top)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "known": known})
+        release()
 
     return predict(text)
 

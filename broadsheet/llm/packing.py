@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import claim, keeps, materialize
+from broadsheet.llm.common import claim, keeps, materialize, release
 
 ROOM = 2048
 #: Words, and parts of words, whose ids a worker keeps in each of two generations.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Texts that are split into words at a time.
 BATCH = 2000
 #: Rows in a bucket of the ranks.
@@ -156,6 +156,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                         crc.append(zlib.crc32(data[4 * s : 4 * (s + room)]))
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
