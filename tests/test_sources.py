@@ -86,12 +86,47 @@ def test_stream_dedup_equals_batch(spark, tmp_path):
     for k, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = ingest.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["source_id"], r["item_ordinal"]): r["kept"] for r in spark.table("seen").collect()}
     assert got == {("s", 0): True, ("s", 1): False, ("s", 2): True, ("t", 0): True, ("s", 3): False}
 
 
+def test_stream_joins_near_times(spark, tmp_path):
+    rows = [(1, "rbi", "2026-08-01 00:00:00"), (2, "rbi", "2026-08-03 00:00:00"), (3, "rbi", "2026-08-09 00:00:00"), (4, "isro", "2026-08-01 00:00:00"), (5, "rbi", None)]
+    df = spark.createDataFrame(rows, "node long, word string, at string").select("node", "word", F.to_timestamp("at").alias("published_at"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = ingest.near_in_time(stream(), stream()).writeStream.format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["a"], r["b"]) for r in spark.table("near").collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (1, 2), (2, 1)}
+
+
+def test_stream_tells_stale_sources(spark, tmp_path):
+    rows = [("a", "2026-08-01 00:00:00"), ("a", "2026-08-02 00:00:00"), ("b", "2026-08-09 00:00:00")]
+    df = spark.createDataFrame(rows, "source_id string, at string").select("source_id", F.to_timestamp("at").alias("published_at"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = ingest.stale_sources(stream).writeStream.format("memory").outputMode("append").queryName("stale").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["source_id"], str(r["last_at"])) for r in spark.table("stale").collect()] == [("a", "2026-08-02 00:00:00")]
+
+
+def test_views_are_remembered_batch_by_batch(spark, tmp_path):
+    rows = [[("r", "2026-08-01", 1), ("r", "2026-08-02", 2)], [("r", "2026-08-02", 3), ("q", "2026-08-01", 1)], [("r", "2026-08-03", 9), ("r", "2026-08-02", 2)]]
+    schema = "reader_id string, date string, story_id long"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    merge = ingest.view_memory(str(tmp_path / "memory"), keep=2)
+    ingest.remember_views(stream, merge, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    last = lambda: {(r["reader_id"], r["date"], tuple(r["stories"])) for r in spark.read.parquet(str(tmp_path / "memory/2")).collect()}
+    assert last() == {("r", "2026-08-03", (9,)), ("r", "2026-08-02", (2, 3)), ("q", "2026-08-01", (1,))}
+    merge(spark.createDataFrame(rows[2], schema), 2)  # run again
+    assert len(last()) == 3
+
+
 def test_stream_day_counts_equal_batch(spark, tmp_path):
     events = spark.sql("select timestamp '2026-08-01 18:00:00' + make_interval(0, 0, 0, 0, id * 7, 0, 0) as ts, if(id % 2 = 0, 'a', 'b') as event_type from range(60)")
     events.write.parquet(str(tmp_path / "in"))
