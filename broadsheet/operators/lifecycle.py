@@ -89,7 +89,7 @@ def rollback_plan(editions: DataFrame, target: str | None = None, to_previous: b
 def withdraw(editions: DataFrame, plan: DataFrame) -> DataFrame:
     """Editions after a rollback: withdrawn ones are drafts again and their stories unreviewed, unless corrected."""
     gone = plan.select(F.explode("withdrawn").alias("date")).withColumn("gone", F.lit(True))
-    e = editions.join(F.broadcast(gone), "date", "left")
+    e = editions.join(gone, "date", "left")
     back = F.coalesce("gone", F.lit(False)) & (F.col("status") == "published")
     stories = F.when(back, F.transform("stories", lambda s: s.withField("reviewed", F.lit(False)))).otherwise(F.col("stories"))
     return e.withColumn("stories", stories).withColumn("status", F.when(back, "draft").otherwise(F.col("status"))).drop("gone")

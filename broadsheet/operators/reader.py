@@ -20,10 +20,15 @@ def pick_pooled(pools: DataFrame, chosen: DataFrame) -> DataFrame:
     Chosen interests go first, then the place in a pool, then the id; a story counts once. position numbers the stories
     that can be shown.
     """
-    readers = chosen.select("reader_id", "date").distinct()
-    wants = chosen.filter("interest is not null").select("reader_id", "date", "interest", F.lit(0).alias("own")).distinct()
-    all_ = readers.join(pools, "date").join(wants, ["reader_id", "date", "interest"], "left").withColumn("chosen", F.coalesce("own", F.lit(1)))
-    best = all_.groupBy("reader_id", "date", "story_id").agg(F.min(F.struct("chosen", "position")).alias("b"))
+    # of a pool no more than two can be shown, and of all pools of a day two more than the chosen ones may already hold
+    first = lambda *by: Window.partitionBy(*by).orderBy("position", "story_id")
+    own = pools.withColumn("_r", F.row_number().over(first("date", "interest"))).filter(F.col("_r") <= K.KEPT_INTERESTS).drop("_r")
+    each = pools.groupBy("date", "story_id").agg(F.min("position").alias("position"))
+    rest = each.withColumn("_r", F.row_number().over(first("date"))).filter(F.col("_r") <= 2 * K.KEPT_INTERESTS).drop("_r")
+    wants = chosen.filter("interest is not null").select("reader_id", "date", "interest").distinct()
+    wanted = wants.join(own, ["date", "interest"]).select("reader_id", "date", "story_id", F.lit(0).alias("chosen"), "position")
+    others = chosen.select("reader_id", "date").distinct().join(rest, "date").select("reader_id", "date", "story_id", F.lit(1).alias("chosen"), "position")
+    best = wanted.unionByName(others).groupBy("reader_id", "date", "story_id").agg(F.min(F.struct("chosen", "position")).alias("b"))
     place = F.row_number().over(Window.partitionBy("reader_id", "date").orderBy("b.chosen", "b.position", "story_id"))
     return best.withColumn("place", place).filter(F.col("place") <= K.KEPT_INTERESTS).select("reader_id", "date", "place", "story_id")
 

@@ -24,10 +24,14 @@ def restrict(clusters: DataFrame, registry: DataFrame | None) -> DataFrame:
     """
     if registry is None:
         return clusters.withColumn("permitted", F.col("items")).withColumn("described", F.transform("items", lambda i: i["source_id"]))
-    may = lambda use: registry.filter(F.col("active") & F.array_contains("permittedUses", use)).agg(F.collect_set("source_id").alias(use.replace("-", "_")))  # noqa: E731  one row of a small registry
-    both = clusters.crossJoin(F.broadcast(may("generated-summary"))).crossJoin(F.broadcast(may("supplied-description")))
-    kept = both.withColumn("permitted", F.filter("items", lambda i: F.array_contains("generated_summary", i["source_id"])))
-    return kept.filter(F.size("permitted") > 0).withColumn("described", F.col("supplied_description")).drop("generated_summary", "supplied_description")
+    allows = lambda use: F.col("active") & F.array_contains("permittedUses", use)
+    of = registry.select("source_id", allows("generated-summary").alias("sums"), allows("supplied-description").alias("says")).filter("sums OR says")
+    each = clusters.select("cluster_id", F.posexplode("items").alias("at", "item")).withColumn("source_id", F.col("item.source_id")).join(of, "source_id")
+    by = each.groupBy("cluster_id").agg(  # CLUSTER_SIZE items at most
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("sums"), F.struct("at", "item")))), lambda x: x["item"]).alias("permitted"),
+        F.collect_set(F.when(F.col("says"), F.col("source_id"))).alias("described"),
+    )
+    return clusters.join(by.filter(F.size("permitted") > 0), "cluster_id")
 
 
 def summarize(clusters: DataFrame, registry: DataFrame | None = None) -> DataFrame:

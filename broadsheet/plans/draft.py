@@ -11,25 +11,45 @@ from broadsheet.operators import clusters, findings, lifecycle, ranking, summari
 from broadsheet.session import written
 
 
-def score(found: DataFrame) -> DataFrame:
-    """Clusters with edition (the day in India of their last item), topic and composite score.
+def looked_up(found: DataFrame, members: DataFrame, registry: DataFrame | None, recent: DataFrame | None) -> DataFrame:
+    """Clusters with kinds and regions of their sources, permitted descriptions of their items, and the repetition penalty.
 
-    No source kinds, regions or recent titles are looked up here: those features have their defaults.
+    registry: source_id, sourceType, region, active, permittedUses. recent: title_id, unigrams (see text.title_tokens).
+    What isn't given stays null, and the features have their defaults.
     """
-    topic = ranking.topic_of(F.col("representative_title"), F.array().cast("array<string>"))["topic"]
-    out = found.withColumn("edition", text.editorial_day(F.col("last_published_at"))).withColumn("topic", topic)
+    out = found
+    if registry is not None:
+        of = found.select("leader", F.explode("sources").alias("source_id")).join(registry.select("source_id", "sourceType", "region"), "source_id", "left")
+        of = of.groupBy("leader").agg(F.collect_list("sourceType").alias("kinds"), F.collect_set("region").alias("regions"))
+        may = registry.filter(F.col("active") & F.array_contains("permittedUses", "supplied-description")).select("source_id")
+        said = members.join(may, "source_id", "left_semi").groupBy("leader").agg(F.collect_list("description").alias("descriptions"))  # CLUSTER_SIZE at most
+        out = out.join(of, "leader", "left").join(said, "leader", "left")
+    else:
+        out = out.withColumn("kinds", F.lit(None).cast("array<string>")).withColumn("regions", F.lit(None).cast("array<string>")).withColumn("descriptions", F.lit(None).cast("array<string>"))
+    if recent is not None:
+        titles = found.select(F.col("leader").alias("id"), text.title_tokens(F.col("representative_title"))["unigrams"].alias("unigrams"))
+        return out.join(ranking.repetition(titles, recent).select(F.col("id").alias("leader"), "penalty"), "leader", "left")
+    return out.withColumn("penalty", F.lit(0.0))
+
+
+def score(found: DataFrame, members: DataFrame | None = None, registry: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    """Clusters with edition (the day in India of their last item), topic and composite score (see looked_up)."""
+    c = looked_up(found, members, registry, recent)
+    topic = ranking.topic_of(F.col("representative_title"), F.coalesce("descriptions", F.array().cast("array<string>")))["topic"]
+    out = c.withColumn("edition", text.editorial_day(F.col("last_published_at"))).withColumn("topic", topic)
+    given = registry is not None
     scores = {
         "recency": ranking.recency(F.col("last_published_at"), F.col("edition").cast("timestamp")),
         "corroboration": ranking.corroboration(F.col("source_count")),
-        "source_tier": ranking.source_tier(None),
-        "india_relevance": ranking.india_relevance(text.title_tokens(F.col("representative_title"))),
+        "source_tier": ranking.source_tier(F.coalesce("kinds", F.array().cast("array<string>")) if given else None),
+        "india_relevance": ranking.india_relevance(text.title_tokens(F.col("representative_title")), F.coalesce("regions", F.array().cast("array<string>")) if given else None),
         "topic_weight": ranking.topic_weight(F.col("topic")),
     }
-    return out.withColumn("composite_score", ranking.composite(scores, F.lit(0.0)))
+    return out.withColumn("composite_score", ranking.composite(scores, F.coalesce("penalty", F.lit(0.0)))).drop("kinds", "regions", "descriptions", "penalty")
 
 
-def compose(found: DataFrame) -> DataFrame:
-    return ranking.compose(ranking.rank(score(found)))
+def compose(found: DataFrame, members: DataFrame | None = None, registry: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    return ranking.compose(ranking.rank(score(found, members, registry, recent)))
 
 
 def iso(ts: Column) -> Column:
@@ -55,14 +75,14 @@ def resolve_sources(cites: DataFrame, items: DataFrame, registry: DataFrame | No
     return out.select("edition", s.alias("source"))
 
 
-def draft_editions(items: DataFrame, registry: DataFrame | None = None, now: str | None = None) -> DataFrame:
+def draft_editions(items: DataFrame, registry: DataFrame | None = None, now: str | None = None, recent: DataFrame | None = None) -> DataFrame:
     """Edition documents (file and the columns of findings.EDITION) of all days of normal items.
 
     Clusters without a source that permits summaries are passed over, so a core may be short. now is the time of the run;
-    without it each draft carries midnight of its day.
+    without it each draft carries midnight of its day. recent are titles of earlier editions, which lower what repeats them.
     """
     members = written(clusters.cluster_items(items), "draft-members")
-    composed = written(compose(clusters.clusters(members)).filter("decision <> 'rejected'"), "draft-composed")
+    composed = written(compose(clusters.clusters(members), members, registry, recent).filter("decision <> 'rejected'"), "draft-composed")
     place = F.row_number().over(Window.partitionBy("edition", "topic", "decision").orderBy("rank"))
     chosen = composed.withColumn("place", place).filter((F.col("decision") == "selected_core") | (F.col("place") <= K.PIPELINE_POOL))
     item = F.struct(F.col("join_ordinal").alias("ordinal"), "source_id", "guid", "title", "description", "published_at")

@@ -227,6 +227,23 @@ def test_no_clock_or_chance_in_operators():
     assert isinstance(pd.DataFrame(), pd.DataFrame)
 
 
+def test_features_are_looked_up(spark):
+    from broadsheet.functions import text
+    from broadsheet.plans import draft
+
+    at = datetime(2026, 8, 1, 6)
+    rows = [(k, [s], t, 1, s, f"c{k}", at) for k, s, t in ((1, "gov", "Bridge opens in town"), (2, "blog", "Bridge opens in town"), (3, "gov", "Rates held steady again"), (4, "none", "Nothing to report"))]
+    found = spark.createDataFrame(rows, "leader long, sources array<string>, representative_title string, source_count int, primary_source_id string, cluster_id string, last_published_at timestamp")
+    members = spark.createDataFrame([(1, "gov", "the bank raised the market rate"), (2, "blog", "cricket")], "leader long, source_id string, description string")
+    registry = spark.createDataFrame([("gov", "official", "india", True, ["supplied-description"]), ("blog", "aggregator", "europe", True, ["generated-summary"])], "source_id string, sourceType string, region string, active boolean, permittedUses array<string>")
+    recent = spark.createDataFrame([("t", "Rates held steady again")], "title_id string, title string").select("title_id", text.title_tokens(F.col("title"))["unigrams"].alias("unigrams"))
+    got = {r["leader"]: r for r in draft.score(found, members, registry, recent).collect()}
+    plain = {r["leader"]: r for r in draft.score(found).collect()}
+    assert got[1]["composite_score"] > got[2]["composite_score"] and plain[1]["composite_score"] == plain[2]["composite_score"]
+    assert got[1]["topic"] == "business-economy" and got[2]["topic"] == "india" == plain[1]["topic"]  # only permitted descriptions count
+    assert got[3]["composite_score"] < 0.6 * plain[3]["composite_score"] and set(got[1].asDict()) == set(plain[1].asDict())
+
+
 def test_draft_editions(spark, news):
     from broadsheet.plans import draft
 
