@@ -51,24 +51,29 @@ FLAGSHIP = "draft_candidates"
 EPOCH = "2026-01-01 00:00:00"
 
 
-def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as normal items; one an hour over 30 days, again and again."""
+def items_of(spark: SparkSession, sf_dir: str, title_cap: int | None = None, description_cap: int | None = None) -> DataFrame:
+    """Documents as normal items, whole or cut as feeds are; one an hour over 30 days, again and again."""
+    cut = lambda t, cap: t if cap is None else text.truncated(t, cap)
     docs = table(spark, sf_dir, "documents")
     body = F.coalesce("text", F.lit(""))
-    title = text.truncated(F.split_part(body, F.lit("\n"), F.lit(1)), K.TITLE_CAP)
-    rest = text.truncated(F.when(F.instr(body, "\n") > 0, F.expr("substring(coalesce(text, ''), instr(coalesce(text, ''), '\n') + 1)")).otherwise(F.lit("")), K.DESCRIPTION_CAP)
+    title = cut(F.split_part(body, F.lit("\n"), F.lit(1)), title_cap)
+    rest = cut(F.when(F.instr(body, "\n") > 0, F.expr("substring(coalesce(text, ''), instr(coalesce(text, ''), '\n') + 1)")).otherwise(F.lit("")), description_cap)
     at = F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.pmod("doc_id", F.lit(720)) * 3600)
     base = docs.select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").alias("item_ordinal"), title.alias("title"), rest.alias("description"), "lang", "n_chars", at.alias("published_at"))
     hashed = base.withColumn("content_hash", text.content_hash(F.col("title"), F.col("description")))
     return hashed.withColumn("guid", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).withColumn("url", F.lit(None).cast("string"))
 
 
-_ITEMS_SQL = f"""
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cut as normalised feed items are."""
+    return items_of(spark, sf_dir, K.TITLE_CAP, K.DESCRIPTION_CAP)
+
+
+_ITEMS_SQL = """
     docs AS (
         SELECT doc_id, source AS source_id, lang, n_chars, coalesce(text, '') AS body, epoch_ms(make_timestamp(2026, 1, 1, 0, 0, 0)) + (doc_id % 720) * 3600000 AS at_ms FROM documents
     ), items AS (
-        SELECT *, substring(split_part(body, chr(10), 1), 1, {K.TITLE_CAP}) AS title,
-               substring(CASE WHEN contains(body, chr(10)) THEN substring(body, strpos(body, chr(10)) + 1) ELSE '' END, 1, {K.DESCRIPTION_CAP}) AS description
+        SELECT *, split_part(body, chr(10), 1) AS title, CASE WHEN contains(body, chr(10)) THEN substring(body, strpos(body, chr(10)) + 1) ELSE '' END AS description
         FROM docs
     )"""
 
@@ -149,8 +154,8 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "content_hash_groups",
     f"""WITH {_ITEMS_SQL}, bytes AS (SELECT doc_id, lower(title) || chr(31) || description AS t FROM items),
         texts AS (SELECT t, min(doc_id) AS first_doc, count(*) AS n_items FROM bytes GROUP BY t),
-        hashed AS (SELECT *, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substring(hex(encode(t)), 2 * i + 1, 2))::INT::HUGEINT)),
-            lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM texts)
+        hashed AS (SELECT *, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, len(d) + 1, 2), lambda i: ((strpos('0123456789ABCDEF', d[i]) - 1) * 16 + strpos('0123456789ABCDEF', d[i + 1]) - 1)::HUGEINT)),
+            lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM (SELECT *, string_split(hex(encode(t)), '') AS d FROM texts))
         SELECT lower(lpad(hex(h::UHUGEINT), 16, '0')) AS content_hash, first_doc, n_items FROM hashed""",
 )
 def content_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +224,7 @@ def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("story_clusters")
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of all documents; no SQL form: tests hold it against a plain sequential run."""
-    return C.clusters(C.cluster_items(items_of(spark, sf_dir))).drop("leader")
+    return C.clusters(C.cluster_items(feed_items(spark, sf_dir))).drop("leader")
 
 
 
@@ -290,7 +295,7 @@ def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_line(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key), text.title_tokens(text.truncated(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), K.TITLE_CAP))["unigrams"].alias("unigrams"))
+    return df.select(F.col(key), text.title_tokens(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))["unigrams"].alias("unigrams"))
 
 
 @query(
@@ -298,7 +303,7 @@ def _first_line(df: DataFrame, key: str) -> DataFrame:
     f"""WITH {_TOKENS_SQL}, recent AS (
             SELECT item_id, list_distinct(list_filter(list_transform(list_filter(string_split(n, ' '), lambda w: w <> ''), lambda w: regexp_replace(w, '^[.-]+|[.-]+$', '', 'g')),
                 lambda t: regexp_matches(t, '{_NUMBER_SQL}') OR (length(t) >= 2 AND NOT list_contains({sql_list(K.TITLE_STOP_WORDS)}, t)))) AS u
-            FROM (SELECT item_id, {_normalized_sql(f"substring(split_part(coalesce(text, ''), chr(10), 1), 1, {K.TITLE_CAP})")} AS n FROM benchmark)
+            FROM (SELECT item_id, {_normalized_sql("split_part(coalesce(text, ''), chr(10), 1)")} AS n FROM benchmark)
         ), best AS (
             SELECT t.doc_id, max(CASE WHEN len(t.unigrams) + len(r.u) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(t.unigrams, r.u)) / (len(t.unigrams) + len(r.u)) END) AS d FROM tokens t CROSS JOIN recent r GROUP BY t.doc_id
         ) SELECT doc_id, round(d, 6) AS dice, round(CASE WHEN d >= 0.7 THEN 1.0 WHEN d >= 0.45 THEN (d - 0.45) / 0.25 ELSE 0.0 END, 6) AS penalty FROM best""",
@@ -498,14 +503,14 @@ def orphan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FLAGSHIP)
 def draft_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to composed candidates of daily editions: tokens, clusters, features, order, greedy core and pools."""
-    composed = D.compose(C.clusters(C.cluster_items(items_of(spark, sf_dir))))
+    composed = D.compose(C.clusters(C.cluster_items(feed_items(spark, sf_dir))))
     return composed.select("edition", "rank", "cluster_id", "topic", "primary_source_id", "source_count", F.round("composite_score", 6).alias("composite_score"), "decision", "reason")
 
 
 @query("draft_editions")
 def draft_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to edition documents of each day and the findings on them: a row an edition."""
-    editions = written(D.draft_editions(items_of(spark, sf_dir)), "draft-editions")
+    editions = written(D.draft_editions(feed_items(spark, sf_dir)), "draft-editions")
     reports = D.draft_report(editions)
     return editions.join(reports.drop("file"), "date").select("date", F.size("coreStoryIds").alias("core"), F.size("stories").alias("stories"), F.size("sources").alias("sources"), "estimatedMinutes", "blocking", "warnings", "publishable")
 
