@@ -398,3 +398,53 @@ def reader_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.last_choice(choices).select("reader_id", F.array_join("interests", ",").alias("interests"), "theme")
 
 
+
+
+# --- feeds ------------------------------------------------------------------------------------------------------------
+
+_RSS = "<rss><channel><item><guid>r-{i}</guid><title><![CDATA[ Title {i} ]]></title><dc:creator>Ann &amp; Bo</dc:creator><description>d</description><link>https://n.in/{i}</link><pubDate>x</pubDate></item><item><link>https://n.in/{i}/b</link><title>Second</title></item></channel></rss>"
+_ATOM = "<feed><entry><id>a-{i}</id><title type='text'>Title {i}</title><link rel=\"self\" href=\"https://n.in/self\"/><link href='https://n.in/{i}' rel='alternate'/><updated>u</updated><author><name>N</name></author><summary>s</summary></entry><entry><title>Second</title><link href=\"https://n.in/{i}/b\"/><published>p</published></entry></feed>"
+_JSON = '{"items": [{"id": "j-{i}", "title": "Title {i}", "content_text": "c", "author": {"name": "N"}, "url": "https://n.in/{i}", "date_published": "p"}, {"url": "https://n.in/{i}/b", "title": "Second"}]}'
+
+
+@query(
+    "feed_scan",
+    """WITH e AS (SELECT event_id AS i, event_id % 3 AS k, unnest([0, 1]) AS n FROM events)
+       SELECT i AS event_id, n::INT AS item_ordinal, CASE WHEN n = 1 THEN 'https://n.in/' || i || '/b' ELSE (['r-', 'a-', 'j-'])[k + 1] || i END AS guid, CASE WHEN n = 1 THEN 'Second' ELSE 'Title ' || i END AS title,
+              CASE WHEN n = 0 THEN (['Ann & Bo', 'N', 'N'])[k + 1] END AS author, CASE WHEN n = 0 THEN (['d', 's', 'c'])[k + 1] END AS description, 'https://n.in/' || i || CASE WHEN n = 1 THEN '/b' ELSE '' END AS link,
+              CASE WHEN n = 0 THEN (['x', 'u', 'p'])[k + 1] WHEN k = 1 THEN 'p' END AS published_at, CASE WHEN n = 0 AND k = 1 THEN 'u' END AS updated_at FROM e""",
+)
+def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of three formats, two items each, and the raw items that are read from them."""
+    i = F.col("event_id")
+    filled = lambda body: F.replace(F.lit(body), F.lit("{i}"), i.cast("string"))
+    body = F.when(i % 3 == 0, filled(_RSS)).when(i % 3 == 1, filled(_ATOM)).otherwise(filled(_JSON))
+    kind = F.when(i % 3 == 0, "text/xml").when(i % 3 == 1, "application/atom+xml").otherwise("application/json")
+    items = feeds.parse_feeds(table(spark, sf_dir, "events").select(i.cast("string").alias("source_id"), kind.alias("content_type"), body.alias("body")))
+    return items.select(F.col("source_id").cast("long").alias("event_id"), "item_ordinal", *feeds.FIELDS)
+
+
+@query(
+    "model_answers",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'malformed' ELSE 'cites other sources' END AS problem, CASE WHEN event_id % 3 <> 1 THEN 'Head ' || event_id END AS headline FROM events""",
+)
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model with and without a code fence: usable, no JSON, or citing what it wasn't given."""
+    i = F.col("event_id")
+    said = F.replace(F.replace(F.lit('{"headline": "Head {i}", "whatChanged": [{"sentence": "x", "sourceIds": ["{s}"]}]}'), F.lit("{i}"), i.cast("string")), F.lit("{s}"), F.when(i % 3 == 0, "a").otherwise("b"))
+    raw = F.when(i % 3 == 1, "no answer").when(i % 2 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(said)
+    return table(spark, sf_dir, "events").select("event_id", U.parse_answer(raw, F.array(F.lit("a"))).alias("r")).select("event_id", "r.problem", F.col("r.answer.headline").alias("headline"))
+
+
+@query(
+    "edition_texts",
+    f"""WITH {BASE_SQL}, found AS (SELECT file, 'warning url/https-only: ' || id AS line FROM sources WHERE url LIKE 'http://%')
+        SELECT file, string_agg(line, chr(10) ORDER BY line) AS report FROM found GROUP BY file""",
+)
+def edition_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one rule as a text a file."""
+    from broadsheet.sources.documents import text_report
+
+    rule = next(r for r in N.EDITION_RULES if r.id == "url/https-only")
+    found = rule.find(N.Edition(editions_of(spark, sf_dir)))
+    return text_report(found.withColumn("rule_id", F.lit(rule.id)).withColumn("severity", F.lit(rule.severity)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
 
-# \b means ASCII word edges here
+# What counts as a number, an acronym, a name and a date. Findings name the tokens, so these must be the format's
+# own; word edges are ASCII ones.
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 NUMBER = (
     r"(?i)(?:[₹$€£]\s*)?(?:[0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]+)(?:\.[0-9]+)?"
