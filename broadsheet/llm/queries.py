@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, html_text, jaccard_join, language_id, lm_scoring, mixing, nearest, packing, resampling, sharding, source_audit, token_counts
+from broadsheet.llm import exact_dedup, html_text, jaccard_join, language_id, lm_scoring, mixing, nearest, packing, quality, resampling, sharding, source_audit, token_counts
 from broadsheet.llm.common import table
 
 
@@ -75,6 +75,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(quality.with_label(docs.filter(~language_id.held_out()), table(spark, sf_dir, "labels")))
+    return quality.classify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_quality": op11_quality,
     "op12_resampling": op12_resampling,
     "op13_source_audit": op13_source_audit,
 }
