@@ -16,13 +16,15 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all words that the mix takes, and how often a source's words may repeat.
 SHARE = 1.5
 MOST_REPEATS = 2
-#: Blocks in the mix: the block size follows from them, so the table of blocks is bounded at any input.
+#: Words in a block, at any input: long enough that most documents lie in one or two.
+BLOCK_WORDS = 4096
+#: Blocks and sources up to so many are sent to every task; more are joined by a shuffle.
 SEATS = 1 << 16
 #: Shards that the mix falls into.
 SHARDS = 8
 # Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in a bucket of the running totals.
+#: Rows in a bucket of the running totals, of documents and of blocks.
 BUCKET_ROWS = 4096
 
 
@@ -80,11 +82,12 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """One row per row of df: id, key, copy (numbers repeated rows), size, source_size, target, epochs, shards, spans, taken.
 
     A document is taken whole `epochs` times, for `shards` (one each), and once more in its `spans` (word ranges from, to,
-    and their shard). The words of a source stand in a seeded order, end to end, and are cut into equal blocks. The
-    shards' quotas of the source are met in turn by blocks in a seeded order: all of them once or twice, then the first
-    ones again, and to the word by the beginning of one more block; so no word is taken more than MOST_REPEATS times, and
-    a source of less than a block gets its part like any other. A block stays in the shard in which it begins, and a
-    document that is taken whole in that of its first block. Null sources are one source, placed last; null and empty
+    and their shard). The words of a source stand in a seeded order, end to end, and are cut into blocks of BLOCK_WORDS
+    words. The shards' quotas of the source are met in turn by blocks in a seeded order: all of them once or twice, then
+    the first ones again, and to the word by a part of one more block; so no word is taken more than MOST_REPEATS times,
+    and a source of less than a block gets its part like any other. A block at the end of a shard's quota is parted
+    between it and the next shard; a document that is taken whole is in the shard of its first block. Spans that touch in one
+    shard are one. Null sources are one source, placed last; null and empty
     texts have no words and nothing is taken of them. Repeated rows count as rows of their own, other columns of df take
     no part. An empty table gives no rows.
     """
@@ -93,8 +96,7 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     goals = materialize(targets(by_source), "mix-targets")
     totals = by_source.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count("*")).first()
-    words = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    block = max(1, -int(-words // SEATS))
+    block = BLOCK_WORDS
 
     # where each document starts in its source: bucket totals first, then inside the bucket, so no task holds a source
     entries = slim.groupBy("source", "id", "key", "size").agg(F.count("*").alias("m"))
@@ -113,22 +115,48 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     plan = plan.withColumn("quota", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
     plan = materialize(plan.withColumn("extra", F.col("quota") - F.col("epochs") * F.col("source_size")), "mix-plan")
-    every = plan.filter("quota > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)  # the last block of a source is shorter
-    turn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = every.withColumn("length", length).withColumn("before", F.coalesce(F.sum("length").over(turn), F.lit(0)))
-    # a block's place in each pass tells whose quota it is
+    many = plan.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+
+    # a block's place in its source's seeded order: bucket totals first, then inside the bucket, as for documents
+    chunks = plan.filter("quota > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {BUCKET_ROWS}"))))
+    inner = F.sequence(F.col("chunk") * BUCKET_ROWS, F.least(F.col("blocks"), (F.col("chunk") + 1) * BUCKET_ROWS) - 1)
+    every = chunks.repartition("source", "chunk").withColumn("block", F.explode(inner)).drop("chunk")
+    every = every.withColumn("length", F.least(F.lit(block), F.col("source_size") - F.col("block") * block))  # the last block of a source is shorter
+    every = every.withColumn("turn", F.xxhash64(F.lit(seed + 2), "source", "block")).withColumn("bucket", F.expr(f"pmod(turn, 1 + blocks div {BUCKET_ROWS})"))
+    sums = every.groupBy("source", "bucket").agg(F.sum("length").alias("n_words"))
+    firsts = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n_words").over(before), F.lit(0)).alias("start"))
+    turn = Window.partitionBy("source", "bucket").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = every.withColumn("inner", F.coalesce(F.sum("length").over(turn), F.lit(0))).join(firsts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    ranked = ranked.withColumn("before", F.col("start") + F.col("inner")).drop("_s", "_b")
+    # a block's place in each pass tells whose quota it is; the last pass may part it
     shard_of = lambda at: F.size(F.filter("ends", lambda e: e <= at))
     passes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: shard_of(e * F.col("source_size") + F.col("before")))
-    chosen = ranked.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.greatest(F.lit(0).cast("long"), F.least("length", F.col("extra") - F.col("before"))).alias("_l"), passes.alias("_h"))
+    line = F.col("epochs") * F.col("source_size") + F.col("before")
 
-    # SEATS blocks and one more a source at most: broadcast while the sources are few, else joined by shuffle
-    small = F.broadcast if totals[1] <= SEATS else (lambda t: t)
+    def part_of(h: Column) -> Column:
+        begins = F.greatest(line, F.when(h > 0, F.get("ends", h - 1)).otherwise(F.lit(0)))
+        return F.struct((begins - line).alias("from"), (F.least(line + F.col("length"), F.get("ends", h)) - line).alias("to"), h.alias("shard"))
+
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("ends") - 1), part_of), lambda p: p["to"] > p["from"])
+    chosen = ranked.select(F.col("source").alias("_s"), F.col("block").alias("_b"), passes.alias("_h"), parts.alias("_p"))
+
+    small = F.broadcast if totals[1] + many <= SEATS else (lambda t: t)
     touched = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}L"), F.expr(f"greatest(at, at + size - 1) div {block}L")))))
     hit = touched.join(small(chosen), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-    from_, to = F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("at")), F.least(F.col("size"), F.col("_b") * block + F.col("_l") - F.col("at"))
-    span = F.struct(from_.alias("from"), to.alias("to"), F.element_at("_h", -1).alias("shard"))
-    spans = hit.groupBy("source", "id", "key", "copy", "size").agg(F.sort_array(F.collect_list(F.when(to > from_, span))).alias("spans"), F.min_by("_h", "block").alias("_h"))
+    first = F.col("_b") * block - F.col("at")
+    inside = F.transform("_p", lambda p: F.struct(F.greatest(F.lit(0).cast("long"), first + p["from"]).alias("from"), F.least("size", first + p["to"]).alias("to"), p["shard"].alias("shard")))
+    inside = F.filter(inside, lambda p: p["to"] > p["from"])
+    spans = hit.groupBy("source", "id", "key", "copy", "size").agg(F.array_sort(F.flatten(F.collect_list(inside))).alias("found"), F.min_by("_h", "block").alias("_h"))
+    # a span that begins where one of the same shard ends goes on with it
+    none = F.lit(None).cast("struct<from:bigint,to:bigint,shard:int>")
+    run = F.struct(F.array().cast("array<struct<from:bigint,to:bigint,shard:int>>").alias("done"), none.alias("open"))
+
+    def joined(run: Column, p: Column) -> Column:
+        on = (run["open"]["to"] == p["from"]) & (run["open"]["shard"] == p["shard"])
+        longer = F.struct(run["open"]["from"].alias("from"), p["to"].alias("to"), p["shard"].alias("shard"))
+        return F.when(on, F.struct(run["done"].alias("done"), longer.alias("open"))).otherwise(F.struct(F.concat(run["done"], F.array_compact(F.array(run["open"]))).alias("done"), p.alias("open")))
+
+    spans = spans.withColumn("spans", F.aggregate("found", run, joined, lambda run: F.concat(run["done"], F.array_compact(F.array(run["open"])))))
     out = spans.join(small(plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs")), F.col("source").eqNullSafe(F.col("_s")))
     out = out.withColumn("shards", F.slice(F.coalesce("_h", F.array().cast("array<int>")), F.lit(1), F.col("epochs").cast("int")))
     part = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])

@@ -142,8 +142,11 @@ def test_mixing_apportions_like_sainte_lague(spark):
         assert all(e == sorted(e) for e in got.values())
 
 
-def test_shards_of_a_mix_meet_their_quotas(docs, rows):
-    """Blocks are single words here, so a source that is taken in part gives each shard its quota to the word."""
+@pytest.mark.parametrize("block", [1, 100, mixing.BLOCK_WORDS])
+def test_shards_of_a_mix_meet_their_quotas(docs, rows, block, monkeypatch):
+    """A source that is taken in part gives each shard its quota to the word, whatever the blocks."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", block)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)  # several buckets of documents and of blocks
     # a source of a third of the words and of less than its part is taken in part
     docs = docs.unionByName(docs.sparkSession.createDataFrame([(1000 + i, "one two three", "en", "zz", 1) for i in range(5000)], docs.schema))
     rows = rows + [(1000 + i, "one two three", "en", "zz", 1) for i in range(5000)]
@@ -175,6 +178,16 @@ def test_shards_of_a_mix_meet_their_quotas(docs, rows):
     assert all(by[s, h] == got[s, h] for s in part for h in range(mixing.SHARDS))
 
 
+def test_partly_taken_documents_are_in_one_piece_or_few(spark):
+    """Blocks don't shrink with the table: of 300 documents, those taken in part are cut into a few spans."""
+    rows = [(i, " ".join(f"w{k}" for k in range(40 + 13 * (i % 90))), "big" if i % 3 else "small") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = [p["spans"] for p in mixing.mix_plan(df).collect() if p["spans"] and p["taken"] % p["size"]]
+    assert spans and sum(map(len, spans)) <= 1.5 * len(spans) and max(map(len, spans)) <= 3
+    for s in spans:
+        assert s == sorted(s) and not any(a["to"] == b["from"] and a["shard"] == b["shard"] for a, b in zip(s, s[1:]))
+
+
 def test_mixed_documents(clashing, rows):
     mixed = mixing.mixed_documents(clashing)
     assert mixed.columns == clashing.columns
