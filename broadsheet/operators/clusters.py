@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
@@ -13,10 +14,11 @@ from broadsheet.functions.text import clean_title, fnv1a64, title_tokens
 from broadsheet.operators.blocks import blocks
 from broadsheet.session import written
 
-#: A near pair's smaller title shares at least this part of its words: half Dice and half overlap are at most
-#: common / smaller, and with the best bigrams a score of NEAR_SCORE needs that to be (NEAR_SCORE - BIGRAM_SHARE) /
-#: UNIGRAM_SHARE.
-LEAST_COMMON = (K.NEAR_SCORE - K.BIGRAM_SHARE) / K.UNIGRAM_SHARE
+#: Titles of sizes from 2**k on are looked up together; a title meets no other more than so many classes larger, as a near
+#: pair's words are at least LEAST_WORDS alike and a smaller title can't give a larger one more than its own.
+CLASSES = 6
+#: What half Dice and half overlap of words are at least, if all bigrams are the same.
+LEAST_WORDS = (K.NEAR_SCORE - K.BIGRAM_SHARE) / K.UNIGRAM_SHARE
 
 
 def with_tokens(items: DataFrame) -> DataFrame:
@@ -27,30 +29,66 @@ def item_key(source: Column, guid: Column) -> Column:
     return F.xxhash64(source, guid)
 
 
+def _least_common(k: Column, pairs: Column, extra: Column, words: Column) -> Column:
+    """Words that two titles share at least, if they are near: c with max(c * k, blend) >= NEAR_SCORE.
+
+    c * k is half Dice and half overlap; each shared bigram begins with a shared word or repeats one, so that there are
+    c + extra of them at most, among `pairs` of both. words: both titles have so many at least.
+    """
+    dense = K.UNIGRAM_SHARE * k + 2 * K.BIGRAM_SHARE / pairs
+    c = F.greatest((K.NEAR_SCORE - 2 * K.BIGRAM_SHARE * extra / pairs) / dense, LEAST_WORDS / k)
+    least = F.least(c, K.NEAR_SCORE / k)  # titles without bigrams are weighed by words alone
+    return F.greatest(F.lit(1), F.least(F.lit(K.NEAR_TOKENS), words), F.ceil(least - 1e-6)).cast("int")
+
+
+def _may_be_near(c: Column, n: Column, m: Column, p: Column, q: Column) -> Column:
+    """Whether titles of n and m words, p and q bigrams and c common words can be near."""
+    u = c / (n + m) + c / (2 * F.least(n, m))
+    shared = F.greatest(F.lit(0), F.least(p, q, c + p - n + 1, c + q - m + 1))
+    mixed = F.greatest(K.UNIGRAM_FLOOR * u, K.UNIGRAM_SHARE * u + K.BIGRAM_SHARE * 2 * shared / (p + q))
+    best = F.when((p > 0) & (q > 0), mixed).otherwise(u)
+    return (c >= F.least(F.lit(K.NEAR_TOKENS), n, m)) & (best >= K.NEAR_SCORE - 1e-9)
+
+
 def near_candidates(items: DataFrame) -> DataFrame:
     """Pairs (a, b) of node numbers that may be near: complete, by shared words and the time window.
 
-    items: node, published_at, tokens. Of the smaller title only its rarest words are looked up, in the larger one's all.
-    Times fall into bands as wide as the window, so only neighbouring bands meet; items without a time meet all.
+    items: node, published_at, tokens. The words of titles are ordered from rare to common. Of two near titles the first
+    word they share is among the first of both, as each has too few words after it otherwise: so only these are looked up,
+    by word, band of time and size class of the smaller title, and what the places of the word leave possible is asked of
+    each hit. Times fall into bands as wide as the window, so only neighbouring bands meet; items without a time meet all.
     """
-    t = items.select("node", F.col("tokens.unigrams").alias("words"), F.floor(F.unix_millis("published_at") / F.lit(K.NEAR_HOURS * 3600000)).alias("band"))
+    t = items.select("node", F.col("tokens.unigrams").alias("words"), F.size("tokens.bigrams").alias("p"), F.floor(F.unix_millis("published_at") / F.lit(K.NEAR_HOURS * 3600000)).alias("band"))
     t = t.withColumn("n", F.size("words"))
-    words = t.filter("n > 0").select("node", "n", "band", F.explode("words").alias("word"))
+    words = t.filter("n > 0").select("node", "n", "p", "band", F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(counts, "word").groupBy("node", "n", "band").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
-    least = F.greatest(F.least(F.lit(K.NEAR_TOKENS), F.col("n")), F.ceil(F.col("n") * LEAST_COMMON)).cast("int")
-    rare = ranked.select("node", "n", "band", F.explode(F.slice("ws", F.lit(1), F.col("n") - least + 1)["word"]).alias("word"))
-    every = words.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("band").alias("at"), "word")
+    ranked = words.join(counts, "word").groupBy("node", "n", "p", "band").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("ws"))
+    ranked = written(ranked.withColumn("size", F.floor(F.log2(F.col("n") + 0.5)).cast("int")), "near-words")
+    first = lambda c: F.posexplode(F.slice("ws", F.lit(1), F.col("n") - c + 1))
+    twice = F.greatest(F.lit(1), F.col("p") + F.col("n") - 1)  # the other has as many words, and a bigram less at least
+    small = ranked.withColumn("c", _least_common(1 / F.col("n"), twice, F.col("p") - F.col("n") + 1, F.col("n"))).filter("c <= n")
+    rare = small.select("node", "n", "p", "band", "size", first(F.col("c")).alias("i", "word"))
+    # the smaller title's size is only known by its class: the smallest of the class sets what is asked
+    large = ranked.withColumn("class", F.explode(F.sequence(F.greatest(F.lit(0), F.col("size") - CLASSES + 1), F.col("size")))).withColumn("lo", F.expr("shiftleft(1, class)"))
+    k, other = 1 / (F.col("lo") + F.col("n")) + 1 / (2 * F.col("lo")), F.greatest(F.lit(1), F.col("lo") - 1 + F.col("p"))
+    large = large.withColumn("c", _least_common(k, other, F.col("p") - F.col("n") + 1, F.col("lo"))).filter(F.col("c") <= F.least(F.col("n"), 2 * F.col("lo") - 1))
+    every = large.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("band").alias("at"), F.col("class").alias("size"), first(F.col("c")).alias("j", "word"))
+
+    def met(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+        ahead = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1  # the word itself and what follows in both
+        hit = rows.join(others, on).filter((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other"))))
+        return hit.filter(_may_be_near(ahead, F.col("n"), F.col("m"), F.col("p"), F.col("q"))).select("node", "other")
+
     near_bands = rare.filter("band is not null").withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    dated = near_bands.join(every, ["word", "at"]).select("node", "n", "other", "m")
-    undated = rare.filter("band is null").join(every.drop("at"), "word").select("node", "n", "other", "m")
-    undated_other = rare.filter("band is not null").join(every.filter("at is null").drop("at"), "word").select("node", "n", "other", "m")
-    pairs = dated.union(undated).union(undated_other).filter("node <> other and n <= m")
+    pairs = met(near_bands, every, ["word", "at", "size"])
+    if not ranked.filter("band is null").isEmpty():
+        pairs = pairs.union(met(rare.filter("band is null"), every.drop("at"), ["word", "size"]))
+        pairs = pairs.union(met(rare.filter("band is not null"), every.filter("at is null").drop("at"), ["word", "size"]))
     # titles without words are near each other, whatever they say
-    bare = t.filter("n = 0").select("node", F.col("band").alias("at"))
-    first = bare.agg(F.min("node").alias("first"))
-    ties = bare.crossJoin(F.broadcast(first)).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).union(ties.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    bare = t.filter("n = 0").select("node")
+    lead = bare.agg(F.min("node").alias("first"))
+    ties = bare.crossJoin(F.broadcast(lead)).filter("node <> first").select("node", F.col("first").alias("other"))
+    return pairs.union(ties).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def exact_links(items: DataFrame) -> DataFrame:
@@ -72,15 +110,12 @@ def classified_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _thinned(items: DataFrame) -> DataFrame:
-    """Candidate pairs whose words leave a near score possible: words go with them first, bigrams and keys later."""
-    words = lambda x, o: items.select(F.col("node").alias(x), F.col("tokens.unigrams").alias(f"words_{o}"))
-    both = near_candidates(items).join(words("a", "a"), "a").join(words("b", "b"), "b")
-    na, nb = F.size("words_a"), F.size("words_b")
-    both = both.select("a", "b", na.alias("na"), nb.alias("nb"), F.size(F.array_intersect("words_a", "words_b")).alias("common"))
-    most = F.col("common") / (F.col("na") + F.col("nb")) + F.col("common") / (2 * F.least("na", "nb"))
-    bare = (F.col("na") == 0) & (F.col("nb") == 0)
-    may = both.filter(bare | ((F.col("common") >= F.least(F.lit(K.NEAR_TOKENS), "na", "nb")) & (K.UNIGRAM_SHARE * most + K.BIGRAM_SHARE >= K.NEAR_SCORE - 1e-9)))
-    return may.select("a", "b")
+    """Candidate pairs whose common words leave a near score possible; bigrams and keys are looked at later."""
+    side = lambda x, o: items.select(F.col("node").alias(x), F.col("tokens.unigrams").alias(f"words_{o}"), F.size("tokens.bigrams").alias(f"p_{o}"))
+    both = near_candidates(items).join(side("a", "a"), "a").join(side("b", "b"), "b")
+    both = both.select("a", "b", F.size("words_a").alias("n"), F.size("words_b").alias("m"), "p_a", "p_b", F.size(F.array_intersect("words_a", "words_b")).alias("c"))
+    bare = (F.col("n") == 0) & (F.col("m") == 0)
+    return both.filter(bare | _may_be_near(F.col("c"), F.col("n"), F.col("m"), F.col("p_a"), F.col("p_b"))).select("a", "b")
 
 
 def near_pairs(items: DataFrame) -> DataFrame:
@@ -125,44 +160,154 @@ def _same(a: dict, b: dict) -> str | None:
     return "guid" if a["source"] == b["source"] and a["guid"] == b["guid"] and not a["guid"].startswith("content-") else None
 
 
-def _hours(a: dict, b: dict) -> float | None:
-    return None if a["at"] is None or b["at"] is None else abs(a["at"] - b["at"]) / 3600000
+#: Items of a block that one task folds; longer blocks go on from slice to slice with the clusters that are still open.
+FOLD_ROWS = 5000
+_ITEM = "node long, position long, url string, content_hash string, source_id string, guid string, at long, unigrams array<string>, bigrams array<string>, numbers array<string>"
+_FOLDED = f"block long, {_ITEM}, last int, undated boolean, leader long, began long, join_ordinal int, join_score double, merge_reason string, merged_with long, fresh boolean, open boolean"
+
+
+def _keys(item: dict) -> list[tuple]:
+    keys = [("hash", item["hash"])] + ([("url", item["url"])] if item["url"] is not None else [])
+    return keys if item["guid"].startswith("content-") else [*keys, ("guid", item["source"], item["guid"])]
+
+
+class _Fold:
+    """Greedy leader clustering of items in their order. Clusters are found by exact keys of members and by words of their
+    first item, never by going through all of them."""
+
+    def __init__(self, undated: bool) -> None:
+        self.undated = undated  # items without a time come last and may join a cluster of any age
+        self.clusters: dict[int, list[dict]] = {}  # by the place where they began; those that are full or too old go
+        self.by_key: dict[tuple, list[int]] = {}
+        self.by_word: dict[str, list[int]] = {}
 
+    def add(self, began: int, item: dict) -> None:
+        members = self.clusters.setdefault(began, [])
+        members.append(item)
+        for key in _keys(item):
+            self.by_key.setdefault(key, []).append(began)
+        if len(members) == 1:
+            for word in item["u"] or ("",):
+                self.by_word.setdefault(word, []).append(began)
 
-def _cluster_block(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy leader clustering of one block, in item order: see cluster_items."""
-    found: list[list[dict]] = []
-    live: list[list[dict]] = []  # clusters that a dated item may still join: not full, and not too old for what comes next
-    for r in group.sort_values("position").itertuples():
-        item = {"node": r.node, "url": r.url, "hash": r.content_hash, "source": r.source_id, "guid": r.guid, "at": None if pd.isna(r.at) else r.at}
-        item |= {"u": frozenset(r.unigrams), "b": frozenset(r.bigrams), "n": frozenset(r.numbers), "score": 1.0, "reason": None, "with": None}
-        best: tuple[float, list[dict], dict] | None = None
-        if item["at"] is not None:
-            live = [c for c in live if len(c) < K.CLUSTER_SIZE and (c[0]["at"] is None or item["at"] - c[0]["at"] <= K.CLUSTER_HOURS * 3600000)]
-        for members in live if item["at"] is not None else found:
-            if len(members) >= K.CLUSTER_SIZE or (h := _hours(item, members[0])) is not None and h > K.CLUSTER_HOURS:
+    def _too_old(self, members: list[dict], at: int | None) -> bool:
+        first = members[0]["at"]
+        return at is not None and first is not None and abs(at - first) > K.CLUSTER_HOURS * 3600000
+
+    def _open(self, index: dict, key: object, at: int | None) -> list[int]:
+        """Clusters of a key that are open for an item of this time; what can't be open again is forgotten."""
+        found, kept = [], []
+        for began in index.get(key, ()):
+            members = self.clusters.get(began)
+            if members is None or len(members) >= K.CLUSTER_SIZE:
+                continue
+            old = self._too_old(members, at)
+            if old and not self.undated:
+                continue
+            kept.append(began)
+            if not old:
+                found.append(began)
+        if key in index:
+            index[key] = kept
+        return found
+
+    def place(self, item: dict) -> None:
+        """Puts an item into the cluster it joins, or into one of its own, and notes why."""
+        at = item["at"]
+        twins = [began for key in _keys(item) for began in self._open(self.by_key, key, at)]
+        if twins:
+            began = min(twins)
+            twin = next(m for m in self.clusters[began] if _same(item, m))
+            item |= {"score": 1.0, "reason": f"exact-{_same(item, twin)}", "with": twin["node"]}
+            return self.add(began, item)
+        common: dict[int, int] = {}
+        for word in item["u"] or ("",):
+            for began in self._open(self.by_word, word, at):
+                common[began] = common.get(began, 0) + 1
+        best: tuple[float, int] | None = None
+        for began in sorted(common):
+            members = self.clusters[began]
+            if item["u"] and common[began] < min(K.NEAR_TOKENS, len(item["u"]), len(members[0]["u"])):
                 continue
-            twin = next((m for m in members if _same(item, m)), None)
-            if twin:
-                item |= {"reason": f"exact-{_same(item, twin)}", "with": twin["node"]}
-                members.append(item)
-                break
-            scores = [_similarity(item, m) for m in members]
-            if any(c for _, c in scores) or min(s for s, _ in scores) < K.MEMBER_FLOOR:
+            score, conflict = _similarity(item, members[0])
+            if conflict or score < K.NEAR_SCORE or (best is not None and score <= best[0]):
                 continue
-            lead = members[0]
-            enough = len(item["u"] & lead["u"]) >= min(K.NEAR_TOKENS, len(item["u"]), len(lead["u"]))
-            if enough and scores[0][0] >= K.NEAR_SCORE and (best is None or scores[0][0] > best[0]):
-                best = (scores[0][0], members, lead)
-        else:
-            if best:
-                item |= {"score": best[0], "reason": "near", "with": best[2]["node"]}
-                best[1].append(item)
-            else:
-                found.append([item])
-                live.append(found[-1])
-    rows = [(m["node"], c[0]["node"], k, m["score"], m["reason"], m["with"]) for c in found for k, m in enumerate(c)]
-    return pd.DataFrame(rows, columns=["node", "leader", "join_ordinal", "join_score", "merge_reason", "merged_with"]).astype({"merged_with": "Int64"})
+            others = [_similarity(item, m) for m in members[1:]]
+            if not any(c for _, c in others) and all(s >= K.MEMBER_FLOOR for s, _ in others):
+                best = (score, began)
+        if best:
+            item |= {"score": best[0], "reason": "near", "with": self.clusters[best[1]][0]["node"]}
+            return self.add(best[1], item)
+        item |= {"score": 1.0, "reason": None, "with": None}
+        self.add(item["position"], item)
+
+    def still_open(self, at: int | None) -> set[int]:
+        return {b for b, c in self.clusters.items() if len(c) < K.CLUSTER_SIZE and (self.undated or not self._too_old(c, at))}
+
+
+def _first_slice(items: pd.DataFrame) -> pd.DataFrame:
+    return _fold_slice(items, None)
+
+
+def _fold_slice(items: pd.DataFrame, carried: pd.DataFrame | None) -> pd.DataFrame:
+    """A slice of a block after the slices before it, whose open clusters are carried: rows of _FOLDED, `fresh` ones for its
+    own items and `open` ones for members of clusters that the next slice goes on with."""
+    if items.empty:
+        return pd.DataFrame(columns=[c.split()[0] for c in _FOLDED.split(", ")])
+    block, last, undated = (items[c].iloc[0] for c in ("block", "last", "undated"))
+    fold = _Fold(bool(undated))
+
+    def read(r: tuple) -> dict:
+        item = {"node": r.node, "position": r.position, "url": r.url, "hash": r.content_hash, "source": r.source_id, "guid": r.guid, "at": None if pd.isna(r.at) else int(r.at), "row": r}
+        return item | {"u": frozenset(r.unigrams), "b": frozenset(r.bigrams), "n": frozenset(r.numbers)}
+
+    if carried is not None:
+        for r in carried.sort_values(["began", "join_ordinal"]).itertuples():
+            fold.add(r.began, read(r) | {"score": r.join_score, "reason": r.merge_reason, "with": None if pd.isna(r.merged_with) else r.merged_with, "old": True})
+    at = None
+    placed: dict[int, list[dict]] = fold.clusters
+    for r in items.sort_values("position").itertuples():
+        item = read(r)
+        at = item["at"]
+        fold.place(item)
+    more = fold.still_open(at) if items["slice"].iloc[0] + 1 < last else set()
+    rows = []
+    for began, members in placed.items():
+        for k, m in enumerate(members):
+            if "old" not in m or began in more:
+                r = m["row"]
+                rows.append((block, m["node"], m["position"], m["url"], m["hash"], m["source"], m["guid"], m["at"], r.unigrams, r.bigrams, r.numbers, last, undated, members[0]["node"], began, k, m["score"], m["reason"], m["with"], "old" not in m, began in more))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOLDED.split(", ")]).astype({"at": "Int64", "merged_with": "Int64"})
+
+
+def _sliced(tied: DataFrame, of: DataFrame) -> DataFrame:
+    """tied items with their block, their place in it, its slice of about FOLD_ROWS, and `last`, the block's slices.
+
+    Places are counted by minute first and inside a minute next, so that no task orders a block.
+    """
+    order = [F.collate("source_id", "UNICODE"), F.collate("guid", "UNICODE"), F.collate("content_hash", "UNICODE"), "node"]
+    rows = tied.join(of, "node").withColumn("at", F.unix_millis("published_at")).withColumn("minute", F.coalesce(F.floor(F.col("at") / 60000), F.lit(1 << 62)))
+    counts = rows.groupBy("block", "minute").agg(F.count("*").alias("n"), F.bool_or(F.col("at").isNull()).alias("none"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = Window.partitionBy("block")
+    starts = counts.select("block", "minute", before.alias("start"), F.ceil(F.sum("n").over(whole) / FOLD_ROWS).cast("int").alias("last"), F.bool_or("none").over(whole).alias("undated"))
+    inside = F.row_number().over(Window.partitionBy("block", "minute").orderBy("at", *order)) - 1
+    placed = rows.withColumn("inside", inside).join(starts, ["block", "minute"]).withColumn("position", F.col("start") + F.col("inside"))
+    return placed.select(
+        "block", "node", "position", F.expr(f"cast(position div {FOLD_ROWS} as int)").alias("slice"), "last", "undated", "url", "content_hash", "source_id", "guid", "at",
+        F.col("tokens.unigrams").alias("unigrams"), F.col("tokens.bigrams").alias("bigrams"), F.col("tokens.numbers").alias("numbers"),
+    )
+
+
+def _folded(ready: DataFrame) -> DataFrame:
+    """Blocks folded slice by slice: all first slices at once, then the second ones with what their first left open, and so on."""
+    ready = written(ready, "cluster-slices")
+    slices = ready.agg(F.max("last")).first()[0] or 1
+    out = [written(ready.filter("slice = 0").groupBy("block").applyInPandas(_first_slice, _FOLDED), "cluster-fold")]
+    for k in range(1, slices):
+        part, carried = ready.filter(F.col("slice") == k), out[-1].filter("open")
+        out.append(written(part.groupBy("block").cogroup(carried.groupBy("block")).applyInPandas(_fold_slice, _FOLDED), "cluster-fold"))
+    return reduce(DataFrame.unionByName, out).filter("fresh").select("node", "leader", "join_ordinal", "join_score", "merge_reason", "merged_with")
 
 
 def cluster_items(items: DataFrame) -> DataFrame:
@@ -172,21 +317,15 @@ def cluster_items(items: DataFrame) -> DataFrame:
     began) where it is the same as a member; else the cluster whose first item it is nearest to, if it is near that one,
     similar to all members and in conflict with none; else it begins one. Full clusters and those whose first item is
     more than CLUSTER_HOURS away are passed over. Decisions never cross blocks of exact and near links, so blocks are
-    folded each by itself, in time order and looking at clusters that are still open only; items without a pair are clusters of their own and stay on the JVM side.
+    folded each by itself, in slices of FOLD_ROWS in time order: a story of any size is many tasks, one after the other,
+    and from one to the next go only the clusters that are still open. Items without a pair are clusters of their own
+    and stay on the JVM side.
     """
-    order = [F.asc_nulls_last("published_at"), F.collate("source_id", "UNICODE"), F.collate("guid", "UNICODE"), F.collate("content_hash", "UNICODE")]
     nodes = written(with_tokens(items.withColumn("node", F.xxhash64("source_id", "guid", "content_hash", "item_ordinal"))), "cluster-items")
     edges = written(exact_links(nodes).select("a", "b").union(near_links(nodes)), "cluster-edges")
     tied = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     of = blocks(tied.select("node"), edges)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("block").orderBy(*order, "node"))
-    ready = tied.join(of, "node").select(
-        "block", "node", place.alias("position"), "url", "content_hash", "source_id", "guid", F.unix_millis("published_at").alias("at"),
-        F.col("tokens.unigrams").alias("unigrams"), F.col("tokens.bigrams").alias("bigrams"), F.col("tokens.numbers").alias("numbers"),
-    )
-    folded = ready.groupBy("block").applyInPandas(_cluster_block, "node long, leader long, join_ordinal int, join_score double, merge_reason string, merged_with long")
+    folded = _folded(_sliced(tied, of))
     out = nodes.join(folded, "node", "left")
     return out.withColumn("leader", F.coalesce("leader", "node")).withColumn("join_ordinal", F.coalesce("join_ordinal", F.lit(0))).withColumn("join_score", F.coalesce("join_score", F.lit(1.0)))
 

@@ -69,19 +69,62 @@ def members(df):
     return sorted(tuple(sorted(v)) for v in out.values())
 
 
-def test_clusters_equal_a_sequential_run(spark, news):
-    """Blocks give what one pass over all items gives, whatever the order and dealing of the rows."""
+def plain_clusters(rows):
+    """One pass over all items in their order, looking at every cluster for each: leader of each node, in join order."""
+    found = []
+    for r in rows:
+        item = {"node": r["node"], "url": r["url"], "hash": r["content_hash"], "source": r["source_id"], "guid": r["guid"], "at": r["at"]}
+        item |= {"u": frozenset(r["unigrams"]), "b": frozenset(r["bigrams"]), "n": frozenset(r["numbers"])}
+        best = None
+        for members in found:
+            lead = members[0][0]
+            if len(members) >= K.CLUSTER_SIZE or None not in (item["at"], lead["at"]) and abs(item["at"] - lead["at"]) > K.CLUSTER_HOURS * 3600000:
+                continue
+            if any(clusters._same(item, m) for m, _ in members):
+                members.append((item, 1.0))
+                break
+            scores = [clusters._similarity(item, m) for m, _ in members]
+            near = scores[0][0] >= K.NEAR_SCORE and len(item["u"] & lead["u"]) >= min(K.NEAR_TOKENS, len(item["u"]), len(lead["u"]))
+            if near and not any(c for _, c in scores) and min(s for s, _ in scores) >= K.MEMBER_FLOOR and (best is None or scores[0][0] > best[0]):
+                best = (scores[0][0], members)
+        else:
+            if best:
+                best[1].append((item, best[0]))
+            else:
+                found.append([(item, 1.0)])
+    return found
+
+
+@pytest.mark.parametrize("rows_of_a_slice", [5000, 9, 2])
+def test_clusters_equal_a_sequential_run(spark, news, rows_of_a_slice, monkeypatch):
+    """Blocks and slices give what one pass over all items gives, whatever the order and dealing of the rows."""
+    monkeypatch.setattr(clusters, "FOLD_ROWS", rows_of_a_slice)
     nodes = clusters.with_tokens(news.withColumn("node", F.xxhash64("source_id", "guid", "content_hash", "item_ordinal")))
     order = [F.asc_nulls_last("published_at"), "source_id", "guid", "content_hash", "node"]
-    flat = nodes.orderBy(*order).select("node", "item_ordinal", "url", "content_hash", "source_id", "guid", F.unix_millis("published_at").alias("at"), F.col("tokens.unigrams").alias("unigrams"), F.col("tokens.bigrams").alias("bigrams"), F.col("tokens.numbers").alias("numbers")).toPandas()
-    flat["position"] = range(len(flat))
-    plain = clusters._cluster_block(flat).merge(flat[["node", "item_ordinal"]], on="node")
-    want = sorted(tuple(sorted((int(r.join_ordinal), int(r.item_ordinal), round(r.join_score, 9)) for r in g.itertuples())) for _, g in plain.groupby("leader"))
+    flat = nodes.orderBy(*order).select("node", "item_ordinal", "url", "content_hash", "source_id", "guid", F.unix_millis("published_at").alias("at"), "tokens.unigrams", "tokens.bigrams", "tokens.numbers").collect()
+    ordinal = {r["node"]: r["item_ordinal"] for r in flat}
+    want = sorted(tuple((k, ordinal[m["node"]], round(s, 9)) for k, (m, s) in enumerate(c)) for c in plain_clusters(flat))
     assert members(news) == want
     assert members(news.orderBy(F.rand(3)).repartition(7)) == want
     assert any(len(c) > 2 for c in want)
 
 
+def test_a_hot_story_is_many_tasks(spark, monkeypatch):
+    """Thousands of variations of one title: each slice is a task of its own and only open clusters go on."""
+    monkeypatch.setattr(clusters, "FOLD_ROWS", 400)
+    rng = random.Random(3)
+    words = "isro launches navic satellite orbit successfully from sriharikota today".split()
+    rows = [(f"s{i % 5}", i, f"g{i}", " ".join(rng.sample(words, 7)) + rng.choice(["", "", " 5", " 7"]), None, datetime(2026, 8, 1) + timedelta(minutes=7 * i), f"{i:016x}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "source_id string, item_ordinal long, guid string, title string, url string, published_at timestamp, content_hash string").repartition(5)
+    nodes = clusters.with_tokens(df.withColumn("node", F.xxhash64("source_id", "guid", "content_hash", "item_ordinal")))
+    flat = nodes.orderBy("published_at").select("node", "item_ordinal", "url", "content_hash", "source_id", "guid", F.unix_millis("published_at").alias("at"), "tokens.unigrams", "tokens.bigrams", "tokens.numbers").collect()
+    ready = clusters._sliced(nodes, spark.createDataFrame([(r["node"], 1) for r in flat], "node long, block long"))
+    assert {r["slice"]: r["count"] for r in ready.groupBy("slice").count().collect()} == {k: 400 for k in range(5)}
+    leader = {m["node"]: c[0][0]["node"] for c in plain_clusters(flat) for m, _ in c}
+    assert {r["node"]: r["leader"] for r in clusters._folded(ready).collect()} == leader
+    assert 60 < len(set(leader.values())) < 700
+
+
 def test_first_wins_against_a_plain_fold(spark):
     """Chains and hot keys: keys of a dropped item aren't recorded, so what it alone shares with a later one counts not."""
     rng = random.Random(11)
