@@ -14,9 +14,6 @@ from broadsheet.functions.text import clean_title, fnv1a64, title_tokens
 from broadsheet.operators.blocks import blocks
 from broadsheet.session import written
 
-#: Titles of sizes from 2**k on are looked up together; a title meets no other more than so many classes larger, as a near
-#: pair's words are at least LEAST_WORDS alike and a smaller title can't give a larger one more than its own.
-CLASSES = 6
 #: What half Dice and half overlap of words are at least, if all bigrams are the same.
 LEAST_WORDS = (K.NEAR_SCORE - K.BIGRAM_SHARE) / K.UNIGRAM_SHARE
 
@@ -55,7 +52,7 @@ def near_candidates(items: DataFrame) -> DataFrame:
 
     items: node, published_at, tokens. The words of titles are ordered from rare to common. Of two near titles the first
     word they share is among the first of both, as each has too few words after it otherwise: so only these are looked up,
-    by word, band of time and size class of the smaller title, and what the places of the word leave possible is asked of
+    by word, band of time and size class (from a power of two to the next) of the smaller title, and what the places of the word leave possible is asked of
     each hit. Times fall into bands as wide as the window, so only neighbouring bands meet; items without a time meet all.
     """
     t = items.select("node", F.col("tokens.unigrams").alias("words"), F.size("tokens.bigrams").alias("p"), F.floor(F.unix_millis("published_at") / F.lit(K.NEAR_HOURS * 3600000)).alias("band"))
@@ -69,7 +66,7 @@ def near_candidates(items: DataFrame) -> DataFrame:
     small = ranked.withColumn("c", _least_common(1 / F.col("n"), twice, F.col("p") - F.col("n") + 1, F.col("n"))).filter("c <= n")
     rare = small.select("node", "n", "p", "band", "size", first(F.col("c")).alias("i", "word"))
     # the smaller title's size is only known by its class: the smallest of the class sets what is asked
-    large = ranked.withColumn("class", F.explode(F.sequence(F.greatest(F.lit(0), F.col("size") - CLASSES + 1), F.col("size")))).withColumn("lo", F.expr("shiftleft(1, class)"))
+    large = ranked.withColumn("class", F.explode(F.sequence(F.lit(0), F.col("size")))).withColumn("lo", F.expr("shiftleft(1, class)"))
     k, other = 1 / (F.col("lo") + F.col("n")) + 1 / (2 * F.col("lo")), F.greatest(F.lit(1), F.col("lo") - 1 + F.col("p"))
     large = large.withColumn("c", _least_common(k, other, F.col("p") - F.col("n") + 1, F.col("lo"))).filter(F.col("c") <= F.least(F.col("n"), 2 * F.col("lo") - 1))
     every = large.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("band").alias("at"), F.col("class").alias("size"), first(F.col("c")).alias("j", "word"))

@@ -159,7 +159,17 @@ def test_copies_of_a_title_make_few_links(spark):
     assert len(sizes) == 3000 // K.CLUSTER_SIZE and {r["count"] for r in sizes} == {K.CLUSTER_SIZE}
 
 
-def test_near_pairs_lose_none(spark, news):
+@pytest.mark.parametrize("kind", ["news", "sizes"])
+def test_near_pairs_lose_none(spark, news, kind):
+    """Titles of one word to hundreds, with and without repeats, parts of each other: every near pair is found."""
+    if kind == "sizes":
+        rng = random.Random(12)
+        titles = []
+        for _ in range(130):
+            base = [f"w{min(int(rng.paretovariate(0.7)), 60)}x" for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 30, 120, 300]))]
+            titles += [base, base[: rng.randint(1, len(base))] + [f"n{rng.randint(0, 5)}e"] * rng.randint(0, 2)]
+        rows = [("s", i, f"g{i}", " ".join(t), "", None, datetime(2026, 8, 1) + timedelta(hours=rng.randint(0, 60)), f"{i:016x}") for i, t in enumerate(titles)]
+        news = spark.createDataFrame(rows, news.schema)
     nodes = clusters.with_tokens(news.withColumn("node", F.col("item_ordinal")))
     every = nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).filter("a < b")
     want = {(r["a"], r["b"]) for r in clusters.classified_pairs(nodes, every).filter("match.match_type = 'near'").collect()}
