@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
 from broadsheet.functions.text import bound, title_tokens
+from broadsheet.session import written
 
 
 def recency(published_at: Column, reference: Column, half_life: float = K.HALF_LIFE_HOURS) -> Column:
@@ -53,6 +54,46 @@ def repetition(candidates: DataFrame, recent: DataFrame) -> DataFrame:
     return out.select("id", dice.alias("dice"), penalty_of(dice).alias("penalty"))
 
 
+#: Dice from which a repeated title costs something.
+REPEATED = 0.45
+
+
+def repeated_titles(candidates: DataFrame, recent: DataFrame, least: float = REPEATED) -> DataFrame:
+    """candidates(id, unigrams) and recent(title_id, unigrams) -> id, title_id, dice of the pairs with dice >= least.
+
+    Words of both are ordered from rare to common. Titles of n and m words that are so alike share least / 2 * (n + m) words,
+    and m is n / least * (2 - least) at most: so they share one of the first words of both, and only these meet; what
+    the places of the word leave possible is asked of each hit before titles are compared. A word that half of all titles
+    have is hardly ever among the first. Titles without words are alike.
+    """
+    share = least / (2 - least)
+    both = candidates.select(F.col("id").cast("string").alias("key"), F.lit(0).alias("side"), "unigrams").unionByName(recent.select(F.col("title_id").cast("string").alias("key"), F.lit(1).alias("side"), "unigrams"))
+    both = both.withColumn("n", F.size("unigrams"))
+    words = both.filter("n > 0").select("side", "key", "n", F.explode("unigrams").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(counts, "word").groupBy("side", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("ws"))
+    ranked = written(ranked, "repeated-words")
+    prefix = F.slice("ws", F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)
+    first = lambda side: ranked.filter(F.col("side") == side).select("key", "n", F.posexplode(prefix).alias("i", "word"))
+    hits = first(0).join(first(1).select(F.col("key").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), "word"), "word")
+    possible = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    hits = hits.filter(2 * possible >= least * (F.col("n") + F.col("m")) - 1e-9).select("key", "other").distinct()
+    side = lambda k, name: ranked.filter(F.col("side") == k).select(F.col("key").alias(name), F.col("ws").alias(f"{name}_ws"))
+    met = hits.join(side(0, "key"), "key").join(side(1, "other"), "other")
+    dice = 2.0 * F.size(F.array_intersect("key_ws", "other_ws")) / (F.size("key_ws") + F.size("other_ws"))
+    alike = met.select("key", "other", dice.alias("dice")).filter(F.col("dice") >= least)
+    bare = both.filter("n = 0")
+    none = bare.filter("side = 0").select("key").crossJoin(F.broadcast(bare.filter("side = 1").agg(F.min("key").alias("other")).filter("other IS NOT NULL"))).withColumn("dice", F.lit(1.0))
+    return alike.unionByName(none).select(F.col("key").alias("id"), F.col("other").alias("title_id"), "dice")
+
+
+def repetition_penalties(candidates: DataFrame, recent: DataFrame) -> DataFrame:
+    """candidates(id, unigrams) -> id, penalty by the most alike recent title (see repetition, which gives all dice)."""
+    worst = repeated_titles(candidates, recent).groupBy("id").agg(F.max("dice").alias("dice"))
+    keyed = candidates.select("id", F.col("id").cast("string").alias("_key")).join(worst.withColumnRenamed("id", "_key"), "_key", "left")
+    return keyed.select("id", penalty_of(F.coalesce("dice", F.lit(0.0))).alias("penalty"))
+
+
 def topic_weight(topic: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in K.TOPIC_WEIGHTS.items() for x in kv])
     return F.coalesce(F.element_at(table, topic), F.lit(0.7))

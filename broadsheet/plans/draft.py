@@ -28,7 +28,7 @@ def looked_up(found: DataFrame, members: DataFrame, registry: DataFrame | None,
         out = out.withColumn("kinds", F.lit(None).cast("array<string>")).withColumn("regions", F.lit(None).cast("array<string>")).withColumn("descriptions", F.lit(None).cast("array<string>"))
     if recent is not None:
         titles = found.select(F.col("leader").alias("id"), text.title_tokens(F.col("representative_title"))["unigrams"].alias("unigrams"))
-        return out.join(ranking.repetition(titles, recent).select(F.col("id").alias("leader"), "penalty"), "leader", "left")
+        return out.join(ranking.repetition_penalties(titles, recent).select(F.col("id").alias("leader"), "penalty"), "leader", "left")
     return out.withColumn("penalty", F.lit(0.0))
 
 
