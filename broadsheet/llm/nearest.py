@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.llm.common import materialize
+
 #: Rows that the lists are fitted on, and lists, at most (centroids are broadcast: LISTS * dimensions * 8 bytes).
 SAMPLE_ROWS = 8192
 LISTS = 1024
@@ -130,12 +132,21 @@ def scan(index: Index, q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x:
     return i[best], j[best], scores[best]
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """Rows (id, v) with one vector an id, the smallest: only ids that are repeated are grouped, and ids alone tell which."""
+    twice = vectors.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if twice.isEmpty():
+        return vectors
+    again = vectors.join(twice, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return materialize(vectors.join(twice, "id", "left_anti").unionByName(again), "nearest-ids")
+
+
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of df with the largest inner product found for each row of queries.
 
     A row isn't a candidate for the query of its own id. Rows whose vector is null, zero, or holds null or non-finite
-    components take no part, nor do vectors of another length than most. Ties go to the smaller id; repeated ids count
-    once a query. An empty table gives no rows.
+    components take no part, nor do vectors of another length than most. Ties go to the smaller id. Of an id that is
+    repeated, the smallest vector counts, by components in order. An empty table gives no rows.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -144,7 +155,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     if lengths is None:
         return spark.createDataFrame([], schema)
     dim = lengths["dim"]
-    vectors, asked = (take(t).filter(F.size("v") == dim) for t in (df, queries))
+    vectors, asked = (one_each(take(t).filter(F.size("v") == dim)) for t in (df, queries))
     index = fit(vectors, lengths["n"], lengths["most"] ** 0.5, dim, seed)
     shared = spark.sparkContext.broadcast(index)
 
@@ -181,7 +192,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
 
     def search(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if len(rows) and len(qs):
-            rows = rows.drop_duplicates("id").sort_values("id")
+            rows = rows.sort_values("id")
             ids, x, q = rows["id"].to_numpy(), np.array(rows["v"].tolist(), dtype=float), np.array(qs["v"].tolist(), dtype=float)
             i, j, scores = scan(shared.value, q, qs["id"].to_numpy(), qs["bound"].to_numpy(), x, ids, k)
             return pd.DataFrame({"query_id": qs["id"].to_numpy()[i], "vec_id": ids[j], "score": scores})
@@ -189,8 +200,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
 
     keys = ["list", "part", "turn"]
     found = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    # a repeated id has a row in each of its lists
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

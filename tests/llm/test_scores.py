@@ -272,6 +272,20 @@ def test_nearest_in_many_lists(spark, monkeypatch, sample):
     assert got["query_id"].nunique() == 200 and hits >= 0.9 * 20 * 200
 
 
+def test_repeated_ids_give_one_result(spark):
+    """Of an id with several vectors the smallest counts, however the rows are dealt."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 8)).astype(np.float32).round(1)
+    rows = [(i % 450, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [sorted(map(tuple, nearest.nearest(d, d.filter("vec_id % 30 = 0"), k=6).collect())) for d in (df.coalesce(1), df.repartition(5), df.orderBy(F.rand(4)).repartition(3))]
+    assert found[0] == found[1] == found[2]
+    d = np.array([min(x[i].tolist(), x[i + 450].tolist()) for i in range(450)], dtype=float)
+    for q, rank, v, score in found[0]:
+        assert abs(d[q] @ d[v] - score) < 1e-9
+    assert len(found[0]) == 15 * 6 and len({r[:2] for r in found[0]}) == len({(r[0], r[2]) for r in found[0]}) == 90
+
+
 def test_nearest_keeps_no_sampled_row_aside(spark):
     """With lists that no query probes there are no answers, whatever the sample holds."""
     df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(100)], "vec_id long, embedding array<double>")
