@@ -268,9 +268,11 @@ def _tied(keys: np.ndarray, pairs: Iterator[np.ndarray]) -> pd.DataFrame:
 def _small_regions(members: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
     """Links (a, b) in regions of BLOCK documents at most. members: region, node; several regions share a task's group."""
     buckets = max(1, -(-members.count() // BUCKET_ROWS))
-    wanted = members.groupBy("node").agg(F.collect_list("region").alias("regions"))
-    placed = texts.join(wanted, "node").select("node", "text", F.explode("regions").alias("region"))
-    placed = placed.select(F.pmod(F.xxhash64(F.lit(seed), "region"), F.lit(buckets)).alias("bucket"), "region", "node", "text").repartition("bucket")
+    # a text goes to a bucket once, with all its regions there
+    wanted = members.groupBy("node", F.pmod(F.xxhash64(F.lit(seed), "region"), F.lit(buckets)).alias("bucket")).agg(F.collect_set("region").alias("regions"))
+    wanted = wanted.groupBy("node").agg(F.collect_list(F.struct("bucket", "regions")).alias("places"))
+    placed = texts.join(wanted, "node").select("node", "text", F.explode("places").alias("p"))
+    placed = placed.select("p.bucket", "p.regions", "node", "text").repartition("bucket")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         claim("jaccard_join")
@@ -280,7 +282,7 @@ def _small_regions(members: DataFrame, texts: DataFrame, seed: int) -> DataFrame
         for lo, hi in steps(texts):
             known.update(zip(nodes[lo:hi].tolist(), shingle_sets(texts[lo:hi])))
         out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
-        for _, region in group[["region", "node"]].groupby("region"):
+        for _, region in group[["regions", "node"]].explode("regions").groupby("regions"):
             keys = np.unique(region["node"].to_numpy())
             out.append(_tied(keys, join_region([known[k] for k in keys.tolist()])))
         return pd.concat(out)
@@ -392,11 +394,11 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike = table.filter("n > 0").groupBy("k", "k2").agg(first.alias("first"), F.min("n").alias("n"))
     alike = materialize(alike.select(F.monotonically_increasing_id().alias("node"), "k", "k2", "n", "first.id", "first.tkey"), "sets")
 
-    # one exchange by shingle finds the pivots and joins them; documents that share k only are candidates at most
+    # smallest and largest key of a shingle, combined in tasks first: what is common to millions is a row a task, and
+    # joining them back is a join that Spark may split; documents that share k only are candidates at most
     met = table.filter("n > 0").select("k", F.explode("prefix").alias("gram"))
-    same = Window.partitionBy("gram")
-    met = met.withColumn("pivot", F.min("k").over(same)).withColumn("other", F.max("k").over(same)).filter("pivot <> other")
-    live = met.select("gram", "k", "pivot").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "pivot"))).alias("live"))
+    ends = met.groupBy("gram").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other")
+    live = met.join(ends.select("gram", "pivot"), "gram").select("gram", "k", "pivot").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "pivot"))).alias("live"))
     least = least_shared(F.col("n"))
     # with the last least - 1 left out, the first shared shingle is still in on both sides
     some = live.join(alike, "k").filter(F.size("live") >= least).select("node", "id", "tkey", F.array_distinct(F.slice("live", F.lit(1), F.size("live") - least + 1)["pivot"]).alias("regions"))

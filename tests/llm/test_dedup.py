@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -153,3 +154,13 @@ def test_keep_one(clashing, rows):
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_groups(empty).count() == 0
     assert jaccard_join.keep_one(empty).count() == 0
+
+
+def test_a_line_that_all_texts_have_is_no_group_of_one_task(spark):
+    """Two thousand different texts with one common line: no plan orders or buffers the rows of a shingle together."""
+    rng = random.Random(4)
+    rows = [(i, "this licence line stands in each of them " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(2000)]
+    rows += [(5000 + i, rows[7 * i][1] + " more") for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {i: c for i, c in got.items() if i >= 5000} == {5000 + i: 7 * i for i in range(20)}
+    assert all(got[i] == i for i in range(2000))
