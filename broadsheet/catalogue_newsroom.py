@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from broadsheet.catalogue import _NUMBER_SQL, _TOKENS_SQL, _first_line, _normalized_sql, _topic_sql, items_of, query, sql_list
 from broadsheet.functions import constants as K
 from broadsheet.functions import text
+from broadsheet.operators import loading
 from broadsheet.operators import ranking as R
 from broadsheet.operators import summarizing
 from broadsheet.plans import draft as D
@@ -99,6 +100,36 @@ def summary_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarizing.outcomes(told).select("outcome", "n", F.col("attempts").cast("long").alias("attempts"))
 
 
+# --- what readers get to see -----------------------------------------------------------------------------------------
+
+
+@query(
+    "edition_loads",
+    """WITH days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date, dayofyear(ts) % 8 AS k FROM events), i AS (SELECT max(date) AS latest, list(date ORDER BY date DESC) AS editions FROM days),
+        asked AS (SELECT event_id, event_id % 4 AS p, CASE event_id % 4 WHEN 0 THEN (SELECT latest FROM i) WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN '1999-01-01' END AS date, strftime(ts, '%Y-%m-%d') AS today FROM events),
+        read AS (SELECT a.*, CASE WHEN p = 3 THEN 'unavailable' WHEN d.date IS NULL THEN 'unavailable' ELSE ([ 'network', 'unavailable', 'unreachable', 'unavailable', 'malformed', 'invalid', NULL, NULL])[d.k + 1] END AS reason FROM asked a LEFT JOIN days d USING (date)),
+        fresh AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN p = 1 THEN 'archived' WHEN date < today THEN 'stale' ELSE 'current' END END AS fresh FROM read)
+        SELECT event_id, date, CASE WHEN reason IS NULL THEN 'ready' ELSE 'failed' END AS status, reason, CASE WHEN reason IS NOT NULL AND p <> 3 THEN list_filter((SELECT editions FROM i), lambda d: d <> date)[1] END AS prior_date, fresh,
+               CASE fresh WHEN 'current' THEN 'This is today''s edition, saved on this device.' WHEN 'stale' THEN 'This is the most recent edition saved on this device. It is not today''s edition.' WHEN 'archived' THEN 'This is a past edition, saved on this device.' END AS notice
+        FROM fresh""",
+)
+def edition_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests, their days as editions of which some can't be had: what each reader gets, and why not."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    i, k = F.col("event_id"), F.dayofyear(F.to_date("date")) % 8
+    path = F.when(i % 4 == 0, "/").when(i % 4 == 1, F.concat(F.lit("/editions/"), "day")).when(i % 4 == 2, "/editions/1999-01-01").otherwise("/stories/1")
+    days = events.select(F.col("day").alias("date")).distinct()
+    good = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "date"))
+    body = F.when(k == 4, "{broken").when(k == 5, F.to_json(F.struct(F.lit(2).alias("schemaVersion"), "date"))).otherwise(good)
+    status = F.when(k == 0, F.lit(None).cast("int")).when(k == 1, 404).when(k == 2, 503).otherwise(200)
+    copies = days.select("date", status.alias("status"), F.when(k == 3, "text/html").otherwise("application/json").alias("content_type"), body.alias("body"), F.lit("cache").alias("source"))
+    listed = F.reverse(F.sort_array(F.collect_list("date")))
+    pointer = days.agg(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit("published").alias("contentSet"), listed[0].alias("latest"), listed.alias("editions"))).alias("body"))
+    index = loading.index_of(pointer.select(F.lit(200).alias("status"), F.lit("application/json").alias("content_type"), "body"))
+    found = loading.load_states(events.select(i.alias("request_id"), path.alias("path"), F.col("day").alias("today")), index, copies)
+    return found.select(F.col("request_id").alias("event_id"), "date", "status", "reason", "prior_date", "fresh", "notice")
+
+
 # --- repetition and a draft's features -------------------------------------------------------------------------------
 
 _RECENT_SQL = f"""recent AS (
@@ -180,4 +211,4 @@ def draft_with_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("date", F.col("s.id").alias("story_id"), F.array_contains("coreStoryIds", F.col("s.id")).alias("core"), "s.topic", "s.headline", "s.reportingType", "s.confidence", F.array_join("s.sourceIds", ",").alias("source_ids"))
 
 
-__all__ = ["draft_features", "draft_with_registry", "ingestion_statuses", "registry_problems", "repeated_titles", "summary_outcomes"]
+__all__ = ["draft_features", "draft_with_registry", "edition_loads", "ingestion_statuses", "registry_problems", "repeated_titles", "summary_outcomes"]

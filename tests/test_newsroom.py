@@ -4,9 +4,9 @@ import json
 from datetime import datetime
 
 import pytest
-from broadsheet.operators import findings, ranking, summarizing
+from broadsheet.operators import findings, loading, ranking, summarizing
 from broadsheet.sources import ingestion, registry, staging
-from broadsheet.streaming import feed_stream
+from broadsheet.streaming import devices, feed_stream
 from pyspark.sql import functions as F
 
 # --- feeds as a stream -----------------------------------------------------------------------------------------------
@@ -299,3 +299,58 @@ def test_repeated_titles_lose_none(spark):
     assert {k: round(v, 9) for k, v in got.items() if k[0] not in bare} == {k: round(v, 9) for k, v in want.items()} and bare <= {k for k, _ in got}
     old = {r["id"]: r["penalty"] for r in ranking.repetition(ca, re).collect()}
     assert {r["id"]: round(r["penalty"], 9) for r in ranking.repetition_penalties(ca, re).collect()} == {k: round(v, 9) for k, v in old.items()}
+
+
+# --- readers ---------------------------------------------------------------------------------------------------------
+
+
+def test_loads_fail_in_order(spark):
+    """Route, then index, then edition; a prior date only where the edition is what failed."""
+    requests = spark.createDataFrame([(1, "/", "2026-08-03"), (2, "/editions/2026-08-01", "2026-08-03"), (3, "/nowhere", "2026-08-03"), (4, "/editions/2026-08-02", "2026-08-03"), (5, "/editions/2026-02-31", "2026-08-03")], "request_id long, path string, today string")
+    response = lambda *r: spark.createDataFrame([r], "status int, content_type string, body string")
+    good = json.dumps({"schemaVersion": 1, "contentSet": "published", "latest": "2026-08-02", "editions": ["2026-08-02", "2026-08-01"]})
+    copies = spark.createDataFrame([("2026-08-02", 500, None, "x", "network"), ("2026-08-01", 200, "application/json", '{"schemaVersion": 1, "date": "2026-08-01"}', "network")], "date string, status int, content_type string, body string, source string")
+    rows = lambda index: {r["request_id"]: (r["status"], r["reason"], r["prior_date"], r["fresh"]) for r in loading.load_states(requests, loading.index_of(index), copies).collect()}
+    assert rows(response(200, "application/json", good)) == {1: ("failed", "unreachable", "2026-08-01", None), 2: ("ready", None, None, "archived"), 3: ("failed", "unavailable", None, None), 4: ("failed", "unreachable", "2026-08-01", None), 5: ("failed", "unavailable", None, None)}
+    assert rows(response(None, None, None))[1] == ("failed", "network", None, None)
+    assert rows(response(200, "application/json", "{"))[2] == ("failed", "malformed", None, None)
+    assert rows(response(200, "text/html; charset=utf-8", "<html>"))[3] == ("failed", "unavailable", None, None)
+    assert rows(response(200, None, '{"schemaVersion": 1, "contentSet": "else"}'))[1] == ("failed", "invalid", None, None)
+    empty = rows(response(200, None, '{"schemaVersion": 1, "contentSet": "sample", "latest": null, "editions": []}'))
+    assert empty[1] == ("none", None, None, None) and empty[2] == ("ready", None, None, "archived")
+
+
+def test_devices_of_several_versions(spark, tmp_path):
+    """State goes on over batches and a restart; a newer document is never written over."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda k: datetime(2026, 8, 1, 0, k)
+    old = json.dumps({"schemaVersion": 1, "viewed": {"2026-07-01": ["s0"]}, "later": {"x": 1}})
+    parts = [
+        [("a", at(0), "stored", None, old), ("a", at(1), "viewed", "2026-08-01", "s1"), ("b", at(0), "stored", None, '{"schemaVersion": 3, "new": true}'), ("b", at(1), "theme", None, "dark"), ("c", at(0), "stored", None, "{broken"), ("c", at(1), "interests", None, "sports,nothing,technology-ai,culture-entertainment")],
+        [("a", at(2), "viewed", "2026-08-01", "s1"), ("a", at(3), "viewed", "2026-08-01", "s2"), ("a", at(4), "ended", "2026-08-01", None), ("b", at(2), "viewed", "2026-08-01", "s1"), ("c", at(2), "theme", None, "pink")],
+        [("d", at(k), "viewed", f"2026-{1 + k // 28:02}-{1 + k % 28:02}", "s") for k in range(40)] + [("a", at(5), "theme", None, "dark")],
+    ]
+    got = {}
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, devices.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(devices.EVENT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        seen = lambda df, _: got.update({r["reader_id"]: (json.loads(r["document"]), r["applied"], r["refused"]) for r in df.collect()})
+        devices.device_documents(stream).writeStream.foreachBatch(seen).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        if k == 0:
+            assert got["b"] == ({"schemaVersion": 3, "new": True}, 1, 1) and got["c"][0] == {"schemaVersion": 1, "interests": ["culture-entertainment", "sports"]}
+    assert got["a"][0] == {"schemaVersion": 1, "later": {"x": 1}, "viewed": {"2026-07-01": ["s0"], "2026-08-01": ["s1", "s2"]}, "ended": ["2026-08-01"], "theme": "dark"}
+    assert got["b"] == ({"schemaVersion": 3, "new": True}, 0, 1) and "theme" not in got["c"][0]
+    days = sorted(d for _, _, _, d, _ in parts[2] if d)
+    assert sorted(got["d"][0]["viewed"]) == days[-30:]
+
+
+def test_draft_with_registry_keeps_to_permissions(spark):
+    """Only sources that may be summarised are cited; stories of official sources alone are labelled so."""
+    from broadsheet import catalogue_newsroom as N
+
+    sf = "/root/testdata/sf0.001"
+    may = {r["source_id"]: r for r in N.source_registry(spark, sf).collect()}
+    rows = N.draft_with_registry(spark, sf).collect()
+    cited = [[may[s] for s in r["source_ids"].split(",")] for r in rows]
+    assert rows and all(s["active"] for c in cited for s in c) and any(not s["active"] for s in may.values())
+    assert all((r["reportingType"] == "official") == all(s["sourceType"] == "official" for s in c) for r, c in zip(rows, cited) if r["reportingType"] != "opinion")
