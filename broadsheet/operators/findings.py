@@ -30,13 +30,28 @@ EDITION = (
 COLUMNS = ["file", "rule_id", "severity", "story_id", "story_pos", "detail"]
 
 
+#: Rows that a rule can be told from by itself, and what names the story there (none: a finding of the edition).
+_STORY_OF = {"story": ("id", "pos"), "cite": ("story_id", "story_pos"), "pair": ("id", "pos"), "source": None, "note": None, "edition": None}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """An id, a severity, and a query that gives (file, story_id, story_pos, detail) for what is wrong."""
+    """An id, a severity, and what finds faults.
+
+    Either `find`, a query that gives (file, story_id, story_pos, detail), or `by_row`: for some kinds of rows (see
+    _STORY_OF) an array of the details of what is wrong with a row. Rules by row go together over one reading of it.
+    """
 
     id: str
     severity: str
-    find: Callable[[Edition], DataFrame]
+    query: Callable[[Edition], DataFrame] | None = None
+    by_row: dict[str, Callable[[], Column]] | None = None
+
+    def find(self, e: Edition) -> DataFrame:
+        if self.query:
+            return self.query(e)
+        parts = [_by_row(e, kind, [self]).drop("rule_id", "severity") for kind in self.by_row]
+        return reduce(DataFrame.unionByName, parts)
 
 
 class Edition:
@@ -54,9 +69,18 @@ class Edition:
         core = editions.select("file", F.posexplode("coreStoryIds").alias("rank", "id"))
         self.core = core.join(self.stories, ["file", "id"])
 
+    def rows(self, kind: str) -> DataFrame:
+        if kind == "pair":
+            return self.pairs().select("*", "a.id", "a.pos")
+        if kind == "source":
+            return self.sources.withColumn("host", urls.host_reach(urls.hostname(F.col("url"))))
+        return {"story": self.stories, "cite": self.cited, "note": self.notes, "edition": self.editions}[kind]
+
     def pairs(self) -> DataFrame:
-        """All pairs of stories of one edition, a before b; an edition holds a score of stories."""
-        side = lambda n: self.stories.select("file", F.struct("*").alias(n))
+        """All pairs of stories of one edition, a before b, with what pairs are told by; an edition holds a score of stories."""
+        said, slugs = text.editorial_tokens(F.concat_ws(" ", "headline", "deck")), F.array_distinct(F.split("slug", "-"))
+        each = self.stories.select("file", "id", "pos", "sourceIds", said.alias("said"), slugs.alias("slugs"))
+        side = lambda n: each.select("file", F.struct("id", "pos", "sourceIds", "said", "slugs").alias(n))
         return side("a").join(side("b"), "file").filter("a.pos < b.pos")
 
 
@@ -68,6 +92,25 @@ def _edition(df: DataFrame, detail: Column) -> DataFrame:
     return df.select("file", F.lit(None).cast("string").alias("story_id"), F.lit(-1).alias("story_pos"), detail.cast("string").alias("detail"))
 
 
+def _by_row(e: Edition, kind: str, rules: list[Rule]) -> DataFrame:
+    """The findings of all rules that look at one kind of rows, from one projection of it."""
+
+    def told(r: Rule) -> Column:
+        return F.transform(r.by_row[kind](), lambda d: F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), d.cast("string").alias("detail")))
+
+    each = [told(r) for r in rules if r.by_row and kind in r.by_row]
+    at = _STORY_OF[kind]
+    story, pos = (F.col(at[0]), F.col(at[1])) if at else (F.lit(None).cast("string"), F.lit(-1))
+    rows = e.rows(kind).select("file", story.alias("story_id"), pos.alias("story_pos"), F.explode(F.concat(*each)).alias("r"))
+    return rows.select("file", "r.rule_id", "r.severity", "story_id", "story_pos", "r.detail")
+
+
+def _if(wrong: Column | str, detail: Column) -> Column:
+    """One detail if something is wrong, else none."""
+    wrong = F.expr(wrong) if isinstance(wrong, str) else wrong
+    return F.when(F.coalesce(wrong, F.lit(False)), F.array(detail.cast("string"))).otherwise(F.array().cast("array<string>"))
+
+
 def _time(column: str) -> Column:
     return F.try_to_timestamp(F.col(column))
 
@@ -116,27 +159,18 @@ def _min_publishers(e: Edition) -> DataFrame:
     return _edition(n.filter(F.coalesce("n", F.lit(0)) < K.MIN_PUBLISHERS), F.coalesce("n", F.lit(0)))
 
 
-def _shared_majority(e: Edition) -> DataFrame:
-    p = e.pairs().withColumn("shared", F.size(F.array_intersect("a.sourceIds", "b.sourceIds")))
-    share = F.col("shared") / F.least(F.size("a.sourceIds"), F.size("b.sourceIds"))
-    found = p.filter((F.col("shared") >= K.SHARED_SOURCES) & (share >= K.SHARED_SHARE))
-    return found.select("file", F.col("a.id").alias("story_id"), F.col("a.pos").alias("story_pos"), F.col("b.id").alias("detail"))
-
-
-def _pairs_by(score: Callable[[], Column]):
-    def find(e: Edition) -> DataFrame:
-        return e.pairs().filter(score()).select("file", F.col("a.id").alias("story_id"), F.col("a.pos").alias("story_pos"), F.col("b.id").alias("detail"))
-
-    return find
+def _shared_majority() -> Column:
+    shared = F.size(F.array_intersect("a.sourceIds", "b.sourceIds"))
+    share = shared / F.least(F.size("a.sourceIds"), F.size("b.sourceIds"))
+    return _if((shared >= K.SHARED_SOURCES) & (share >= K.SHARED_SHARE), F.col("b.id"))
 
 
 def _headline_score() -> Column:
-    t = lambda s: text.editorial_tokens(F.concat_ws(" ", f"{s}.headline", f"{s}.deck"))
-    return dice(t("a"), t("b"), both_empty=0.0) >= K.HEADLINE_DICE
+    return dice(F.col("a.said"), F.col("b.said"), both_empty=0.0) >= K.HEADLINE_DICE
 
 
 def _slug_score() -> Column:
-    a, b = (F.array_distinct(F.split(f"{s}.slug", "-")) for s in "ab")
+    a, b = F.col("a.slugs"), F.col("b.slugs")
     return (F.size(F.array_intersect(a, b)) >= K.SLUG_WORDS) & (jaccard(a, b) >= K.SLUG_JACCARD)
 
 
@@ -148,11 +182,11 @@ def _minutes(e: Edition) -> DataFrame:
 
 
 def _source_hosts(e: Edition) -> DataFrame:
-    return e.sources.withColumn("host", urls.host_reach(urls.hostname(F.col("url"))))
+    return e.rows("source")
 
 
-def _host_rule(kind: str):
-    return lambda e: _edition(_source_hosts(e).filter(F.col("host.kind") == kind), F.col("id"))
+def _host_rule(kind: str) -> dict[str, Callable[[], Column]]:
+    return {"source": lambda: _if(F.col("host.kind") == kind, F.col("id"))}
 
 
 def _mixed_hosts(e: Edition) -> DataFrame:
@@ -175,11 +209,12 @@ def _shared_source(e: Edition) -> DataFrame:
     return _edition(by, F.col("source_id"))
 
 
-def _markup(e: Edition) -> DataFrame:
-    shown = e.stories.select("file", "id", "pos", F.explode(visible_fields()).alias("f")).filter(text.has_markup(F.col("f.text")))
-    of_sources = e.sources.filter(text.has_markup(F.concat_ws(" \u001f ", "title", "publisher")))
-    of_notes = e.notes.filter(text.has_markup(F.concat_ws(" \u001f ", "summary", "detail")))
-    return _story(shown, F.col("f.field")).unionByName(_edition(of_sources, F.col("id"))).unionByName(_edition(of_notes, F.col("id")))
+#: Markup in what readers see of stories (by field), sources and notes.
+_MARKUP = {
+    "story": lambda: F.transform(F.filter(visible_fields(), lambda f: text.has_markup(f["text"])), lambda f: f["field"]),
+    "source": lambda: _if(text.has_markup(F.concat_ws(" \u001f ", "title", "publisher")), F.col("id")),
+    "note": lambda: _if(text.has_markup(F.concat_ws(" \u001f ", "summary", "detail")), F.col("id")),
+}
 
 
 def _all_hard_news(e: Edition) -> DataFrame:
@@ -192,46 +227,46 @@ def _note_story(e: Edition) -> DataFrame:
     return _story(both.filter(_time("storyUpdated") < _time("correctedAt")), F.col("id"), "storyId", "story_pos")
 
 
-def _no_notes(where: str):
-    return lambda e: _edition(e.editions.filter(f"coalesce(size(correctionNotes), 0) <= 0 and {where}"), F.col("status"))
+def _no_notes(where: str) -> dict[str, Callable[[], Column]]:
+    return {"edition": lambda: _if(f"coalesce(size(correctionNotes), 0) <= 0 and {where}", F.col("status"))}
 
 
-def _long_paragraphs(e: Edition) -> DataFrame:
-    p = e.stories.select("file", "id", "pos", F.posexplode("whatChanged").alias("at", "p"))
-    return _story(p.filter(text.rule_word_count(F.col("p")) > K.MAX_PARAGRAPH_WORDS), F.col("at"))
+def _long_paragraphs() -> Column:
+    long = F.transform("whatChanged", lambda p, i: F.when(text.rule_word_count(p) > K.MAX_PARAGRAPH_WORDS, i.cast("string")))
+    return F.coalesce(F.array_compact(long), F.array().cast("array<string>"))
 
 
 EDITION_RULES = [
     Rule("structural/duplicate-slug", "blocking", _duplicate_slug),
-    Rule("structural/unreviewed-story-gate", "blocking", lambda e: _story(e.stories.filter("status in ('published', 'corrected') and not coalesce(reviewed, false)"), F.col("status"))),
-    Rule("structural/source-not-after-story-update", "blocking", lambda e: _story(e.cited.filter(_time("publishedAt") > _time("story_updated")), F.col("source_id"), "story_id", "story_pos")),
-    Rule("structural/generated-provenance-pair", "blocking", lambda e: _story(e.stories.filter("(generatedBy is null) <> (promptVersion is null)"), F.coalesce("generatedBy", "promptVersion"))),
-    Rule("structural/no-markup-in-text", "blocking", _markup),
-    Rule("structural/disputed-requires-uncertainty", "blocking", lambda e: _story(e.stories.filter("confidence = 'disputed' and uncertainty is null"), F.col("confidence"))),
+    Rule("structural/unreviewed-story-gate", "blocking", by_row={"story": lambda: _if("status in ('published', 'corrected') and not coalesce(reviewed, false)", F.col("status"))}),
+    Rule("structural/source-not-after-story-update", "blocking", by_row={"cite": lambda: _if(_time("publishedAt") > _time("story_updated"), F.col("source_id"))}),
+    Rule("structural/generated-provenance-pair", "blocking", by_row={"story": lambda: _if("(generatedBy is null) <> (promptVersion is null)", F.coalesce("generatedBy", "promptVersion"))}),
+    Rule("structural/no-markup-in-text", "blocking", by_row=_MARKUP),
+    Rule("structural/disputed-requires-uncertainty", "blocking", by_row={"story": lambda: _if("confidence = 'disputed' and uncertainty is null", F.col("confidence"))}),
     Rule("structural/official-source-only-needs-official-label", "blocking", _official_only),
     Rule("diversity/min-publishers", "blocking", _min_publishers),
     Rule("diversity/publisher-primary-cap", "blocking", _publisher_leads),
     Rule("diversity/publisher-concentration", "warning", _publisher_stories),
     Rule("diversity/topic-cap", "blocking", lambda e: _edition(e.core.groupBy("file", "topic").agg(F.count("*").alias("n")).filter(F.col("n") > K.PER_TOPIC), F.col("topic"))),
     Rule("diversity/all-hard-news", "blocking", _all_hard_news),
-    Rule("duplicate/shared-source-majority", "blocking", _shared_majority),
+    Rule("duplicate/shared-source-majority", "blocking", by_row={"pair": _shared_majority}),
     Rule("duplicate/shared-source", "warning", _shared_source),
-    Rule("duplicate/headline-similarity", "warning", _pairs_by(_headline_score)),
-    Rule("duplicate/slug-similarity", "warning", _pairs_by(_slug_score)),
+    Rule("duplicate/headline-similarity", "warning", by_row={"pair": lambda: _if(_headline_score(), F.col("b.id"))}),
+    Rule("duplicate/slug-similarity", "warning", by_row={"pair": lambda: _if(_slug_score(), F.col("b.id"))}),
     Rule("length/estimated-minutes", "blocking", _minutes),
-    Rule("length/deck-one-line", "warning", lambda e: _story(e.stories.filter(text.rule_word_count(F.col("deck")) > K.MAX_DECK_WORDS), F.lit("deck"))),
-    Rule("length/what-changed-paragraph-words", "warning", _long_paragraphs),
-    Rule("length/why-it-matters-one-paragraph", "warning", lambda e: _story(e.stories.filter(text.rule_word_count(F.col("whyItMatters")) > K.MAX_WHY_WORDS), F.lit("whyItMatters"))),
-    Rule("url/no-credentials", "blocking", lambda e: _edition(e.sources.filter(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@")), F.col("id"))),
-    Rule("url/no-ip-literal", "blocking", _host_rule("address")),
-    Rule("url/no-private-host", "blocking", _host_rule("private-name")),
+    Rule("length/deck-one-line", "warning", by_row={"story": lambda: _if(text.rule_word_count(F.col("deck")) > K.MAX_DECK_WORDS, F.lit("deck"))}),
+    Rule("length/what-changed-paragraph-words", "warning", by_row={"story": _long_paragraphs}),
+    Rule("length/why-it-matters-one-paragraph", "warning", by_row={"story": lambda: _if(text.rule_word_count(F.col("whyItMatters")) > K.MAX_WHY_WORDS, F.lit("whyItMatters"))}),
+    Rule("url/no-credentials", "blocking", by_row={"source": lambda: _if(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@"), F.col("id"))}),
+    Rule("url/no-ip-literal", "blocking", by_row=_host_rule("address")),
+    Rule("url/no-private-host", "blocking", by_row=_host_rule("private-name")),
     Rule("url/mixed-host-classes", "blocking", _mixed_hosts),
     Rule("url/sample-data-hosts", "warning", _sample_hosts),
-    Rule("url/https-only", "warning", lambda e: _edition(e.sources.filter(F.col("url").rlike("(?i)^http://")), F.col("id"))),
-    Rule("correction/status-requires-note", "blocking", _no_notes("status = 'corrected'")),
-    Rule("correction/version-requires-note", "blocking", _no_notes("editionVersion >= 2")),
-    Rule("correction/corrected-after-published", "blocking", lambda e: _edition(e.notes.filter(_time("correctedAt") < _time("publishedAt")), F.col("id"))),
-    Rule("correction/corrected-within-updated", "blocking", lambda e: _edition(e.notes.filter(_time("correctedAt") > _time("editionUpdatedAt")), F.col("id"))),
+    Rule("url/https-only", "warning", by_row={"source": lambda: _if(F.col("url").rlike("(?i)^http://"), F.col("id"))}),
+    Rule("correction/status-requires-note", "blocking", by_row=_no_notes("status = 'corrected'")),
+    Rule("correction/version-requires-note", "blocking", by_row=_no_notes("editionVersion >= 2")),
+    Rule("correction/corrected-after-published", "blocking", by_row={"note": lambda: _if(_time("correctedAt") < _time("publishedAt"), F.col("id"))}),
+    Rule("correction/corrected-within-updated", "blocking", by_row={"note": lambda: _if(_time("correctedAt") > _time("editionUpdatedAt"), F.col("id"))}),
     Rule("correction/story-reflects-correction", "blocking", _note_story),
 ]
 
@@ -272,7 +307,8 @@ def schema_findings(e: Edition) -> DataFrame:
 def edition_findings(editions: DataFrame) -> DataFrame:
     """All findings of a corpus of editions (file and the columns of EDITION), one row each, in rule order inside a file."""
     e = Edition(editions)
-    parts = [r.find(e).select("file", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), "story_id", "story_pos", "detail") for r in EDITION_RULES]
+    parts = [r.query(e).select("file", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), "story_id", "story_pos", "detail") for r in EDITION_RULES if r.query]
+    parts += [_by_row(e, kind, EDITION_RULES) for kind in _STORY_OF]
     parts.append(schema_findings(e).select("file", F.lit("edition/schema").alias("rule_id"), F.lit("blocking").alias("severity"), "story_id", "story_pos", "detail"))
     named = editions.filter(~F.col("file").endswith(F.concat("date", F.lit(".json"))))
     parts.append(_edition(named, F.col("date")).select("file", F.lit("structural/file-name-matches-date").alias("rule_id"), F.lit("blocking").alias("severity"), "story_id", "story_pos", "detail"))
