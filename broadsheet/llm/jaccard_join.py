@@ -285,6 +285,8 @@ def _small_regions(members: DataFrame, texts: DataFrame, seed: int) -> DataFrame
         for _, region in group[["regions", "node"]].explode("regions").groupby("regions"):
             keys = np.unique(region["node"].to_numpy())
             out.append(_tied(keys, join_region([known[k] for k in keys.tolist()])))
+        known.clear()
+        release()
         return pd.concat(out)
 
     return placed.groupBy("bucket").applyInPandas(compare, "a long, b long")
@@ -310,6 +312,8 @@ def _part_large(members: DataFrame, seed: int, turn: int) -> tuple[DataFrame, Da
         n = int(group["drawn"].sum())
         region, own = Region(sets), np.arange(n, len(sets))
         both = [region.measured(p, own) for p in range(n)]
+        del sets, region, texts
+        release()
         return pd.DataFrame({
             "region": group["region"].iloc[n:], "node": group["node"].iloc[n:], "pivots": [group["node"].iloc[:n].to_numpy()] * len(own),
             "near": list(np.column_stack([b[1] for b in both])), "cells": list(windows(np.column_stack([b[0] for b in both]))),
@@ -350,7 +354,10 @@ def _blocks_of_rest(rest: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         region = Region([s for lo, hi in steps(texts) for s in shingle_sets(texts[lo:hi])])
-        return _tied(keys, (region.links(left[i : i + 256], right) for i in range(0, len(left), 256)))
+        found = _tied(keys, (region.links(left[i : i + 256], right) for i in range(0, len(left), 256)))
+        del region, texts
+        release()
+        return found
 
     keyed = placed.select("region", "p.*", "node", "text")
     return keyed.groupBy("region", "i", "j", "with_ball").applyInPandas(compare, "a long, b long")
