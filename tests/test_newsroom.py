@@ -194,8 +194,8 @@ def test_diagnostics_are_taken_in_the_same_pass(spark, tmp_path):
 
 # --- registries ------------------------------------------------------------------------------------------------------
 
-GOOD = {"id": "the-hindu", "publisher": "Hindu", "siteUrl": "https://h.in/", "feedUrl": "https://h.in/feed", "sourceType": "publisher", "region": "india", "language": "en", "active": True, "sample": False,
-        "termsUrl": "https://h.in/t", "termsReviewedOn": "2026-08-01", "termsReviewedBy": "editor", "permittedUse": "x" * 40, "permittedUses": ["headline"], "attribution": "Hindu"}
+GOOD = {"id": "the-gazette", "publisher": "Gazette", "siteUrl": "https://h.in/", "feedUrl": "https://h.in/feed", "sourceType": "publisher", "region": "india", "language": "en", "active": True, "sample": False,
+        "termsUrl": "https://h.in/t", "termsReviewedOn": "2026-08-01", "termsReviewedBy": "editor", "permittedUse": "x" * 40, "permittedUses": ["headline"], "attribution": "Gazette"}
 
 
 def test_registry_files_give_rows_whatever_is_in_them(spark, tmp_path):
@@ -219,7 +219,7 @@ def test_registry_files_give_rows_whatever_is_in_them(spark, tmp_path):
         ("sources.6.termsReviewedBy", "must be a name, not an address"), ("sources.6.termsReviewedOn", "must be a date"), ("sources", "duplicate"),
     }
     good = registry.registry_entries(scan).orderBy("file", "position").collect()
-    assert [(r["file"], r["source_id"], r["active"], r["permittedUses"]) for r in good] == [("good.json", "the-hindu", True, ["headline"]), ("good.json", "x", False, ["headline"]), ("good.yaml", "the-hindu", True, ["headline"])]
+    assert [(r["file"], r["source_id"], r["active"], r["permittedUses"]) for r in good] == [("good.json", "the-gazette", True, ["headline"]), ("good.json", "x", False, ["headline"]), ("good.yaml", "the-gazette", True, ["headline"])]
     assert findings.registry_findings(registry.registry_entries(scan).filter("file = 'good.yaml'")).filter("severity = 'blocking'").count() == 0
 
 

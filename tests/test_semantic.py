@@ -88,29 +88,29 @@ class Says:
         if self.fails:
             raise RuntimeError("rate limit")
         assert a["item_count"] == len(a["titles"]) and a["representative_title"] in a["titles"]
-        return True, self.confidence, "one scheme"
+        return True, self.confidence, "one line"
 
 
 @pytest.fixture
-def solar(spark):
-    rows = [("hindu", 0, "th-1", "Government unveils new solar subsidy scheme", "x", "https://n.in/1", START, "h1"), ("mint", 1, "m-1", "Centre expands Surya Ghar rooftop programme", "y", "https://n.in/2", START + timedelta(hours=1), "h2"),
-            ("mint", 2, "m-2", "Cricket board names squad for tour", "z", "https://n.in/3", START + timedelta(hours=100), "h3")]
+def tram(spark):
+    rows = [("gazette", 0, "g-1", "Council opens second tram line to harbour", "x", "https://n.in/1", START, "h1"), ("courier", 1, "c-1", "Streetcar service now reaches the docks", "y", "https://n.in/2", START + timedelta(hours=1), "h2"),
+            ("courier", 2, "c-2", "Orchestra plays its hundredth season", "z", "https://n.in/3", START + timedelta(hours=100), "h3")]
     return clusters.cluster_items(spark.createDataFrame(rows, ITEMS))
 
 
-def test_a_sure_provider_merges_within_the_window(spark, solar):
-    got = clusters.clusters(semantic.semantic_merge(solar, Says(0.9))).orderBy("item_count").collect()
+def test_a_sure_provider_merges_within_the_window(spark, tram):
+    got = clusters.clusters(semantic.semantic_merge(tram, Says(0.9))).orderBy("item_count").collect()
     assert [r["item_count"] for r in got] == [1, 2]
-    assert got[1]["confidence_score"] == 0.9 and got[1]["primary_source_id"] == "mint" and got[1]["sources"] == ["hindu", "mint"]
-    assert {(r["merge_reason"], r["join_ordinal"]) for r in semantic.semantic_merge(solar, Says(0.9)).collect()} == {(None, 0), ("semantic", 1)}
+    assert got[1]["confidence_score"] == 0.9 and got[1]["primary_source_id"] == "courier" and got[1]["sources"] == ["courier", "gazette"]
+    assert {(r["merge_reason"], r["join_ordinal"]) for r in semantic.semantic_merge(tram, Says(0.9)).collect()} == {(None, 0), ("semantic", 1)}
 
 
 @pytest.mark.parametrize("provider", [Says(0.79), Says(float("nan")), Says(0.9, fails=True), semantic.NoMerges()])
-def test_unsure_failing_and_absent_providers_merge_nothing(spark, solar, provider):
-    assert clusters.clusters(semantic.semantic_merge(solar, provider)).count() == 3
+def test_unsure_failing_and_absent_providers_merge_nothing(spark, tram, provider):
+    assert clusters.clusters(semantic.semantic_merge(tram, provider)).count() == 3
 
 
-def test_pairs_that_are_given_are_the_only_ones_asked_about(spark, solar):
+def test_pairs_that_are_given_are_the_only_ones_asked_about(spark, tram):
     none = spark.createDataFrame([], "a long, b long")
-    assert clusters.clusters(semantic.semantic_merge(solar, Says(0.9), pairs=none)).count() == 3
-    assert semantic.semantic_merge(solar.limit(0), Says(0.9)).count() == 0
+    assert clusters.clusters(semantic.semantic_merge(tram, Says(0.9), pairs=none)).count() == 3
+    assert semantic.semantic_merge(tram.limit(0), Says(0.9)).count() == 0
