@@ -213,7 +213,7 @@ _CLAIMS_SQL = """found AS (
 def _claim_rule(rule: str) -> None:
     @query("fact_" + rule.split("/")[1].replace("-", "_"), f"WITH {_CLAIMS_SQL} SELECT story_id, severity, ungrounded FROM found WHERE rule_id = '{rule}'")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = N.factual_findings(claims_of(spark, sf_dir)).filter(F.col("rule_id") == rule)
+        found = N.factual_findings(claims_of(spark, sf_dir), [rule])
         return found.select("story_id", "severity", F.array_join("ungrounded", ",").alias("ungrounded"))
 
 

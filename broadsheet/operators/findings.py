@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import constants as K
 from broadsheet.functions import facts, text, urls
 from broadsheet.functions.similarity import dice, jaccard, numeric_conflict
+from broadsheet.functions.text import bound
 
 STORY = (
     "struct<id:string,slug:string,topic:string,reportingType:string,headline:string,deck:string,whatChanged:array<string>,"
@@ -396,44 +397,64 @@ def story_text() -> Column:
     return F.concat_ws(" ", F.concat(F.array("headline", "deck"), F.coalesce("whatChanged", F.array()), F.array("whyItMatters"), F.array_compact(F.array("background", "uncertainty"))))
 
 
-def factual_findings(stories: DataFrame) -> DataFrame:
+def _loose_numbers() -> Column:
+    """Numbers of a story that its cluster has neither as written nor in canonical form."""
+    forms = lambda known: F.concat(F.transform(known, F.lower), facts.normalize_numbers(known))
+    unknown = lambda said, forms: F.filter(said, lambda x: ~F.array_contains(forms, F.lower(x)) & ~F.array_contains(forms, facts.canonical_number(x)))
+    return bound(bound(facts.numbers(F.col("_cluster")), forms), lambda f: bound(facts.numbers(F.col("_story")), lambda said: unknown(said, f)))
+
+
+def _loose_names() -> Column:
+    """Names of a story that its cluster has neither as a phrase nor by all their words."""
+
+    def ungrounded(name: Column, low: Column) -> Column:
+        words = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(K.COMMON_INITIAL_WORDS))
+        return ~low.contains(F.lower(name)) & ~bound(words, lambda ws: (F.size(ws) > 0) & F.forall(ws, lambda w: low.contains(w)))
+
+    return bound(F.lower("_cluster"), lambda low: F.filter(facts.named_entities(F.col("_story")), lambda n: ungrounded(n, low)))
+
+
+def _loose_dates() -> Column:
+    """Dates of a story that its cluster doesn't have, nor its items as their dates or weekdays."""
+    days = F.flatten(F.transform("items", lambda i: F.when(i["published_at"].isNull(), F.array().cast("array<string>")).otherwise(F.array(F.date_format(i["published_at"], "yyyy-MM-dd"), F.lower(F.date_format(F.from_utc_timestamp(i["published_at"], K.EDITORIAL_ZONE), "EEEE"))))))
+    known = F.transform(F.concat(facts.dates(F.col("_cluster")), days), F.lower)
+    return bound(known, lambda k: F.filter(facts.dates(F.col("_story")), lambda d: ~F.array_contains(k, F.lower(d))))
+
+
+def _conflict() -> Column:
+    """Two items name numbers and share none."""
+    numbers = F.transform("items", lambda i: text.title_tokens(i["title"])["numbers"])
+    return bound(numbers, lambda all: F.exists(all, lambda a: F.exists(all, lambda b: numeric_conflict(a, b))))
+
+
+FACT_RULES = ["fact/number-containment", "fact/entity-containment", "fact/date-containment", "fact/source-attribution", "fact/editorial-alignment", "fact/uncertainty-on-conflict"]
+
+
+def factual_findings(stories: DataFrame, rules: list[str] = FACT_RULES) -> DataFrame:
     """stories(story_id, headline, …, sources, items array<struct<source_id,title,description,published_at>>) -> findings.
 
     Everything a story says must be in its cluster: numbers as written or in canonical form, names as a phrase or by all
-    their words, dates as written, as the items' dates or weekdays; sources must be the cluster's.
+    their words, dates as written, as the items' dates or weekdays; sources must be the cluster's. What rules that aren't
+    asked for look at is not made.
     """
     t = stories.select("*", story_text().alias("_story"), cluster_text().alias("_cluster"))
-    t = t.withColumn("_low", F.lower("_cluster"))
-    said, known = facts.numbers(F.col("_story")), facts.numbers(F.col("_cluster"))
-    t = t.withColumn("_said", said).withColumn("_known", known)
-    t = t.withColumn("_canon", facts.normalize_numbers(F.col("_said"))).withColumn("_forms", F.concat(F.transform("_known", lambda x: F.lower(x)), facts.normalize_numbers(F.col("_known"))))
-    pairs = F.arrays_zip(F.col("_said").alias("raw"), F.col("_canon").alias("canon"))
-    loose_numbers = F.transform(F.filter(pairs, lambda p: ~F.array_contains("_forms", F.lower(p["raw"])) & ~F.array_contains("_forms", p["canon"])), lambda p: p["raw"])
-
-    def ungrounded(name: Column) -> Column:
-        words = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(K.COMMON_INITIAL_WORDS))
-        return ~F.col("_low").contains(F.lower(name)) & ~((F.size(words) > 0) & F.forall(words, lambda w: F.col("_low").contains(w)))
-
-    loose_names = F.filter(facts.named_entities(F.col("_story")), ungrounded)
-    days = F.flatten(F.transform("items", lambda i: F.when(i["published_at"].isNull(), F.array().cast("array<string>")).otherwise(F.array(F.date_format(i["published_at"], "yyyy-MM-dd"), F.lower(F.date_format(F.from_utc_timestamp(i["published_at"], K.EDITORIAL_ZONE), "EEEE"))))))
-    known_dates = F.transform(F.concat(facts.dates(F.col("_cluster")), days), lambda d: F.lower(d))
-    loose_dates = F.filter(facts.dates(F.col("_story")), lambda d: ~F.array_contains(known_dates, F.lower(d)))
     allowed = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.transform("items", lambda i: i["source_id"]))
-    unknown = F.array_except("sourceIds", allowed)
     opinion = (F.size("items") > 0) & F.forall("items", lambda i: i["title"].rlike(OPINION))
-    numbers = F.transform("items", lambda i: text.title_tokens(i["title"])["numbers"])
-    conflict = F.exists(numbers, lambda a: F.exists(numbers, lambda b: numeric_conflict(a, b)))
     settled = (F.length(text.trimmed(F.coalesce("uncertainty", F.lit("")))) < 20) & (F.col("confidence") != "disputed")
-    none = F.array().cast("array<string>")
-    rows = F.array(
-        F.struct(F.lit("fact/number-containment").alias("rule_id"), F.lit("blocking").alias("severity"), F.size(loose_numbers).alias("n"), loose_numbers.alias("tokens")),
-        F.struct(F.lit("fact/entity-containment").alias("rule_id"), F.lit("blocking").alias("severity"), F.size(loose_names).alias("n"), loose_names.alias("tokens")),
-        F.struct(F.lit("fact/date-containment").alias("rule_id"), F.lit("warning").alias("severity"), F.size(loose_dates).alias("n"), loose_dates.alias("tokens")),
-        F.struct(F.lit("fact/source-attribution").alias("rule_id"), F.lit("blocking").alias("severity"), F.when(F.size("sourceIds") == 0, 1).otherwise(F.size(unknown)).alias("n"), unknown.alias("tokens")),
-        F.struct(F.lit("fact/editorial-alignment").alias("rule_id"), F.lit("blocking").alias("severity"), (opinion & (F.col("reportingType") == "reporting")).cast("int").alias("n"), none.alias("tokens")),
-        F.struct(F.lit("fact/uncertainty-on-conflict").alias("rule_id"), F.lit("blocking").alias("severity"), (conflict & settled).cast("int").alias("n"), none.alias("tokens")),
-    )
-    return t.select("story_id", F.explode(rows).alias("r")).filter("r.n > 0").select("story_id", "r.rule_id", "r.severity", F.col("r.tokens").alias("ungrounded"))
+    found = lambda n, tokens: F.struct(n.alias("n"), tokens.alias("tokens"))
+    loose = lambda tokens: bound(tokens, lambda xs: found(F.size(xs), xs))
+    wrong = lambda fault: found(fault.cast("int"), F.array().cast("array<string>"))
+    checks = {
+        "fact/number-containment": ("blocking", lambda: loose(_loose_numbers())),
+        "fact/entity-containment": ("blocking", lambda: loose(_loose_names())),
+        "fact/date-containment": ("warning", lambda: loose(_loose_dates())),
+        "fact/source-attribution": ("blocking", lambda: bound(F.array_except("sourceIds", allowed), lambda xs: found(F.when(F.size("sourceIds") == 0, 1).otherwise(F.size(xs)), xs))),
+        "fact/editorial-alignment": ("blocking", lambda: wrong(opinion & (F.col("reportingType") == "reporting"))),
+        "fact/uncertainty-on-conflict": ("blocking", lambda: wrong(settled & _conflict())),
+    }
+    rows = [F.struct(F.lit(r).alias("rule_id"), F.lit(checks[r][0]).alias("severity"), checks[r][1]().alias("f")) for r in rules]
+    told = t.select("story_id", F.filter(F.array(*rows), lambda r: r["f"]["n"] > 0).alias("rows"))
+    return told.select("story_id", F.explode("rows").alias("r")).select("story_id", "r.rule_id", "r.severity", F.col("r.f.tokens").alias("ungrounded"))
 
 
 def factual_metrics(stories: DataFrame, findings: DataFrame) -> DataFrame:
