@@ -79,26 +79,37 @@ def truncated(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
-@F.pandas_udf(T.StringType())
-def fnv1a64(text: pd.Series) -> pd.Series:
-    """64-bit FNV-1a of the UTF-8 bytes, 16 hex digits. Rows go through together, byte by byte."""
-    data = [t.encode("utf-8", "replace") if t is not None else b"" for t in text]
-    out = np.full(len(data), 0xCBF29CE484222325, dtype=np.uint64)
-    order = np.argsort([-len(d) for d in data], kind="stable")
-    lengths = np.array([len(data[i]) for i in order])
-    for at in range(0, len(order), 512):  # rows of like length, so that few are padded
-        some, size = order[at : at + 512], lengths[at : at + 512]
-        if not len(size) or not size[0]:
-            break
-        block = np.zeros((size[0], len(some)), dtype=np.uint64)
-        for col, i in enumerate(some):
-            block[: len(data[i]), col] = np.frombuffer(data[i], dtype=np.uint8)
-        h = out[some]
+#: Bytes of texts that are hashed side by side, padding included.
+HASHED_BYTES = 1 << 26
+
+
+def fnv1a64_of(texts: list[str | None]) -> list[str | None]:
+    """64-bit FNV-1a of the UTF-8 bytes, 16 hex digits. Texts of like length go through together, byte by byte, as many as
+    HASHED_BYTES hold."""
+    out: list[str | None] = [None] * len(texts)
+    order = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: -len(texts[i]))
+    at = 0
+    while at < len(order):
+        most = max(1, 4 * len(texts[order[at]]))  # of bytes in any text from here on
+        some = order[at : at + max(1, min(512, HASHED_BYTES // most))]
+        at += len(some)
+        data = sorted(((texts[i].encode("utf-8", "replace"), i) for i in some), key=lambda x: -len(x[0]))
+        size = np.array([len(d) for d, _ in data])
+        block = np.zeros((size[0], len(data)), dtype=np.uint8)
+        for col, (d, _) in enumerate(data):
+            block[: len(d), col] = np.frombuffer(d, dtype=np.uint8)
+        h = np.full(len(data), 0xCBF29CE484222325, dtype=np.uint64)
         for k in range(size[0]):
             live = np.searchsorted(-size, -k, side="left")
             h[:live] = (h[:live] ^ block[k, :live]) * np.uint64(0x100000001B3)
-        out[some] = h
-    return pd.Series([f"{int(h):016x}" if t is not None else None for h, t in zip(out, text)], dtype=object)
+        for (_, i), value in zip(data, h):
+            out[i] = f"{int(value):016x}"
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def fnv1a64(text: pd.Series) -> pd.Series:
+    return pd.Series(fnv1a64_of(text.tolist()), dtype=object)
 
 
 def fnv1a32(text: Column) -> Column:
