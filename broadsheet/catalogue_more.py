@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.catalogue import query, sql_list
-from broadsheet.catalogue_rules import _WORDS_OF_STORY, BASE_SQL, editions_of
+from broadsheet.catalogue_rules import _WORDS_OF_STORY, BASE_SQL, Tables, editions_of
 from broadsheet.functions import constants as K
 from broadsheet.functions import text, urls
 from broadsheet.operators import findings as N
@@ -446,5 +446,5 @@ def edition_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadsheet.sources.documents import text_report
 
     rule = next(r for r in N.EDITION_RULES if r.id == "url/https-only")
-    found = rule.find(N.Edition(editions_of(spark, sf_dir)))
+    found = rule.find(Tables(spark, sf_dir))
     return text_report(found.withColumn("rule_id", F.lit(rule.id)).withColumn("severity", F.lit(rule.severity)))

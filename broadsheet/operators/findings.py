@@ -63,19 +63,25 @@ class Edition:
         self.stories = editions.select("file", "status", F.posexplode("stories").alias("pos", "s")).select("file", "status", "pos", "s.*")
         self.sources = editions.select("file", F.posexplode("sources").alias("pos", "s")).select("file", "pos", "s.*")
         self.notes = editions.select("file", "publishedAt", "updatedAt", F.posexplode("correctionNotes").alias("pos", "n")).select("file", "publishedAt", F.col("updatedAt").alias("editionUpdatedAt"), "pos", "n.*")
-        self.cites = self.stories.select("file", F.col("id").alias("story_id"), F.col("pos").alias("story_pos"), F.col("updatedAt").alias("story_updated"), F.posexplode("sourceIds").alias("cite_pos", "source_id"))
+        self.cites = self._cites(self.stories)
         last = Window.partitionBy("file", "id").orderBy(F.desc("pos"))
         self.source_of = self.sources.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r", "pos")
         self.cited = self.cites.join(self.source_of.withColumnRenamed("id", "source_id"), ["file", "source_id"])
         core = editions.select("file", F.posexplode("coreStoryIds").alias("rank", "id"))
         self.core = core.join(self.stories, ["file", "id"])
+        self.pooled = editions.select("file", F.explode(F.flatten(F.map_values("interestPools"))).alias("id")).distinct().join(self.stories, ["file", "id"])
+        self.files, self.minutes = editions.select("file"), editions.select("file", "estimatedMinutes")
+
+    @staticmethod
+    def _cites(stories: DataFrame) -> DataFrame:
+        return stories.select("file", F.col("id").alias("story_id"), F.col("pos").alias("story_pos"), F.col("updatedAt").alias("story_updated"), F.posexplode("sourceIds").alias("cite_pos", "source_id"))
 
     def rows(self, kind: str) -> DataFrame:
         if kind == "pair":
             return self.pairs().select("*", "a.id", "a.pos")
         if kind == "source":
             return self.sources.withColumn("host", urls.host_reach(urls.hostname(F.col("url"))))
-        return {"story": self.stories, "cite": self.cited, "note": self.notes, "edition": self.editions}[kind]
+        return self.editions if kind == "edition" else {"story": self.stories, "cite": self.cited, "note": self.notes}[kind]
 
     def pairs(self) -> DataFrame:
         """All pairs of stories of one edition, a before b, with what pairs are told by; an edition holds a score of stories."""
@@ -132,9 +138,7 @@ def story_words(word_count: Callable[[Column], Column], story: str = "") -> Colu
 
 def visible_stories(e: Edition) -> DataFrame:
     """The core and the two wordiest pooled stories, as the estimate of minutes counts them."""
-    counted = e.stories.select("file", "id", story_words(text.rule_word_count).alias("words"))
-    core = e.editions.select("file", F.explode("coreStoryIds").alias("id")).join(counted, ["file", "id"])
-    pooled = e.editions.select("file", F.explode(F.flatten(F.map_values("interestPools"))).alias("id")).distinct().join(counted, ["file", "id"])
+    core, pooled = (t.select("file", "id", story_words(text.rule_word_count).alias("words")) for t in (e.core, e.pooled))
     best = Window.partitionBy("file").orderBy(F.desc("words"), "id")
     return core.unionByName(pooled.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= K.POOLED_VISIBLE).drop("_r"))
 
@@ -156,7 +160,7 @@ def _publisher_stories(e: Edition) -> DataFrame:
 
 
 def _min_publishers(e: Edition) -> DataFrame:
-    n = e.editions.select("file").join(e.cited.groupBy("file").agg(F.count_distinct("publisher").alias("n")), "file", "left")
+    n = e.files.join(e.cited.groupBy("file").agg(F.count_distinct("publisher").alias("n")), "file", "left")
     return _edition(n.filter(F.coalesce("n", F.lit(0)) < K.MIN_PUBLISHERS), F.coalesce("n", F.lit(0)))
 
 
@@ -177,7 +181,7 @@ def _slug_score() -> Column:
 
 def _minutes(e: Edition) -> DataFrame:
     words = visible_stories(e).groupBy("file").agg(F.sum("words").alias("words"))
-    both = e.editions.select("file", "estimatedMinutes").join(words, "file", "left")
+    both = e.minutes.join(words, "file", "left")
     want = F.ceil(F.coalesce("words", F.lit(0)) / K.WORDS_PER_MINUTE)
     return _edition(both.filter(F.col("estimatedMinutes") != want), want)
 
