@@ -99,6 +99,13 @@ def _edition(df: DataFrame, detail: Column) -> DataFrame:
     return df.select("file", F.lit(None).cast("string").alias("story_id"), F.lit(-1).alias("story_pos"), detail.cast("string").alias("detail"))
 
 
+def opened(df: DataFrame, *keep: Column | str, **array: Column | str) -> DataFrame:
+    """keep and each element of an array of structs. An outer explode, as Spark would ask for the size of what a plain one
+    opens in a filter before it, and so make the array twice for each row."""
+    ((name, value),) = array.items()
+    return df.select(*keep, F.explode_outer(value).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _by_row(e: Edition, kind: str, rules: list[Rule]) -> DataFrame:
     """The findings of all rules that look at one kind of rows, from one projection of it."""
 
@@ -108,7 +115,7 @@ def _by_row(e: Edition, kind: str, rules: list[Rule]) -> DataFrame:
     each = [told(r) for r in rules if r.by_row and kind in r.by_row]
     at = _STORY_OF[kind]
     story, pos = (F.col(at[0]), F.col(at[1])) if at else (F.lit(None).cast("string"), F.lit(-1))
-    rows = e.rows(kind).select("file", story.alias("story_id"), pos.alias("story_pos"), F.explode(F.concat(*each)).alias("r"))
+    rows = opened(e.rows(kind), "file", story.alias("story_id"), pos.alias("story_pos"), r=F.concat(*each))
     return rows.select("file", "r.rule_id", "r.severity", "story_id", "story_pos", "r.detail")
 
 
@@ -458,7 +465,7 @@ def factual_findings(stories: DataFrame, rules: list[str] = FACT_RULES) -> DataF
     }
     rows = [F.struct(F.lit(r).alias("rule_id"), F.lit(checks[r][0]).alias("severity"), checks[r][1]().alias("f")) for r in rules]
     told = t.select("story_id", F.filter(F.array(*rows), lambda r: r["f"]["n"] > 0).alias("rows"))
-    return told.select("story_id", F.explode("rows").alias("r")).select("story_id", "r.rule_id", "r.severity", F.col("r.f.tokens").alias("ungrounded"))
+    return opened(told, "story_id", r="rows").select("story_id", "r.rule_id", "r.severity", F.col("r.f.tokens").alias("ungrounded"))
 
 
 def factual_metrics(stories: DataFrame, findings: DataFrame) -> DataFrame:

@@ -82,3 +82,8 @@ def test_a_rule_of_a_table_puts_no_documents_together(spark, rule):
     whole = findings.Edition(catalogue_rules.editions_of(spark, SF))
     want = next(r for r in findings.EDITION_RULES if r.id == rule).find(whole).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["fact_editorial_alignment", "fact_entity_containment", "fact_number_containment", "rule_length_deck_one_line"])
+def test_findings_of_a_row_are_made_once(spark, name):
+    assert "(size(" not in "".join(line for line in plan(catalogue.QUERIES[name](spark, SF)).splitlines() if "Filter" in line)
