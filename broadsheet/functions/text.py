@@ -159,11 +159,20 @@ def _composing() -> str:
 _COMPATIBLE, _COMPOSING = _compatible(), _composing()
 
 
+_COMPATIBLE_ONES = "[" + "".join(_COMPATIBLE) + "]"
+
+
 def _token_form(title: Column) -> Column:
-    """What composition changes in the ASCII words of a title, without leaving the JVM; other letters don't become words."""
+    """What composition changes in the ASCII words of a title, without leaving the JVM; other letters don't become words.
+
+    Texts may be long: only characters that occur and have another form are looked up, each once, and marks are looked for
+    only where there are any. No form holds a character that has another.
+    """
     table = F.create_map(*[F.lit(x) for kv in _COMPATIBLE.items() for x in kv])
-    mapped = F.array_join(F.transform(F.split(title, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    return F.when(title.rlike(r"[^\x00-\x7F]"), F.regexp_replace(mapped, _COMPOSING, "\u00e9")).otherwise(title)
+    found = F.array_distinct(F.regexp_extract_all(title, F.lit(_COMPATIBLE_ONES), F.lit(0)))
+    mapped = F.aggregate(found, title, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    composed = bound(mapped, lambda m: F.when(m.rlike("[\u0300-\u036f]"), F.regexp_replace(m, _COMPOSING, "\u00e9")).otherwise(m))
+    return F.when(title.rlike(r"[^\x00-\x7F]"), composed).otherwise(title)
 
 
 def normalized_title(title: Column) -> Column:
