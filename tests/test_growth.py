@@ -87,3 +87,9 @@ def test_a_rule_of_a_table_puts_no_documents_together(spark, rule):
 @pytest.mark.parametrize("name", ["fact_editorial_alignment", "fact_entity_containment", "fact_number_containment", "rule_length_deck_one_line"])
 def test_findings_of_a_row_are_made_once(spark, name):
     assert "(size(" not in "".join(line for line in plan(catalogue.QUERIES[name](spark, SF)).splitlines() if "Filter" in line)
+
+
+def test_the_driver_never_holds_the_plans_of_all_edition_rules(spark):
+    """Findings are written a few rules at a time: what is left is to read them."""
+    found = findings.edition_findings(written(catalogue_rules.editions_of(spark, SF), "test-editions"))
+    assert not any(step in plan(found) for step in ("Join", "Aggregate", "Generate", "Window"))
