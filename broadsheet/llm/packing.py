@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,19 +81,18 @@ class WordEncoder:
         data = ids.tobytes()
         return [data[lo:hi] for lo, hi in zip(at, at[1:])]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Plain Latin words are split as the tokenizer splits them, and their parts looked up; others it encodes whole."""
         whole, parted, parts, split = [], [], set(), self.parts.findall
         single = []
         for w in words:
-            text = w.decode()
             # below U+0130 each letter is composed already and has a lower case of one letter
-            if w.isascii() or max(text) < "İ":
-                if text.isalpha():
-                    single.append((w, text.lower()))
+            if w.isascii() or max(w) < "İ":
+                if w.isalpha():
+                    single.append((w, w.lower()))
                     continue
-                if "<|" not in text:
-                    text = text.lower()
+                if "<|" not in w:
+                    text = w.lower()
                     # most other words end in one mark
                     own = [text[:-1], text[-1]] if text[-1] in ".,;:!?" and text[:-1].isalpha() else split(text)
                     parted.append((w, own))
@@ -105,20 +105,40 @@ class WordEncoder:
         get = self.pieces.__getitem__
         self.words.update([(w, get(p)) for w, p in single])
         self.words.update([(w, b"".join(map(get, own))) for w, own in parted])
-        self.words.update(zip(whole, (ids.tobytes() for ids in self._encode([w.decode() for w in whole]))))
+        self.words.update(zip(whole, (ids.tobytes() for ids in self._encode(whole))))
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each whole text; null counts as empty."""
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all whole texts in one row, and where each text's begin (and the last's end); null counts as empty.
+
+        Only the different words are looked at one by one; a text's ids are gathered by its words' numbers.
+        """
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         collects = gc.isenabled()
         gc.disable()  # none of the many lists and tuples here is a cycle
         try:
-            self.learn(self.words.lacks(set().union(*split)))
-            get = self.words.__getitem__
-            return [b"".join(map(get, words)) for words in split]
+            self.learn(self.words.lacks(filter(None, words)))  # white space at the ends leaves an empty word
+            known = [self.words[w] if w else b"" for w in words]
         finally:
             if collects:
                 gc.enable()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
+        n = size[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(first[codes] - ends[:-1], n)
+        at += np.arange(len(at))
+        offsets = split.offsets.to_numpy()
+        return pool[at], ends[offsets - offsets[0]]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each whole text; null counts as empty."""
+        plain = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+        ids, at = self.encode_column(pa.array(plain, pa.binary()).cast(pa.string()))
+        data = ids.tobytes()
+        return [data[4 * lo : 4 * hi] for lo, hi in zip(at, at[1:])]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -146,8 +166,10 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, len(batch), BATCH):
                 ids, texts = (c.slice(at, BATCH) for c in batch.columns)
                 row, start, length, crc, total = [], [], [], [], []
-                for i, data in enumerate(e.encode_all(texts.to_pylist())):
-                    data += end
+                found, begins = e.encode_column(texts)
+                whole = found.tobytes()
+                for i, (lo, hi) in enumerate(zip(begins.tolist(), begins[1:].tolist())):
+                    data = whole[4 * lo : 4 * hi] + end
                     n = len(data) // 4
                     for s in range(0, n, room):
                         row.append(i)

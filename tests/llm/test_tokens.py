@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from broadsheet.llm import packing, token_counts
@@ -36,6 +37,16 @@ def test_ids_are_the_librarys(text):
     assert ids == WORDS.encode(text, add_special_tokens=False).ids
 
 
+def test_a_column_of_texts_is_encoded_by_its_different_words():
+    texts = [None, "  said one, said two", "", " \t\n", "said two said\u00a0one \u0130said", *["said one"] * 50]
+    known = packing.WordEncoder(BPE)
+    ids, at = known.encode_column(pa.array(["before", *texts]).slice(1))
+    want = [WORDS.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [ids[lo:hi].tolist() for lo, hi in zip(at, at[1:])] == want
+    assert set(known.words) == {"said", "one,", "two", "one", "said\u00a0one", "\u0130said"}
+    assert known.encode_column(pa.array([None, ""]))[1].tolist() == [0, 0, 0]
+
+
 def test_report(clashing, rows):
     got = token_counts.token_report(clashing, PIECES, limit=50).collect()
     want = Counter((r[0], len((r[1] or "").encode()), len(LIBRARY.encode(r[1] or "")), len(LIBRARY.encode(r[1] or "")) > 50) for r in rows)
