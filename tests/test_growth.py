@@ -100,7 +100,7 @@ def test_the_driver_never_holds_the_plans_of_all_edition_rules(spark):
 
 
 def test_json_registries_are_not_read_as_yaml(monkeypatch):
-    """As YAML, a file of 150 kB took seconds."""
+    """PyYAML is slow; what it reads in another way still goes through it."""
     plain, asked = yaml.load, []
     monkeypatch.setattr(yaml, "load", lambda t, loader: asked.append(t) or plain(t, loader))
     read = lambda t: registry.yaml_to_json.func(pd.Series([t]))[0]
