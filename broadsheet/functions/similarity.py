@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
@@ -29,6 +29,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(_shared(a, b) / union)
 
 
+#: Longs that hold the bits of a title's words or bigrams.
+BIT_LONGS = 4
+
+
+def bit_names(prefix: str, longs: int = BIT_LONGS) -> list[str]:
+    return [f"{prefix}{k}" for k in range(longs)]
+
+
+def with_bits(rows: DataFrame, words: str, names: list[str]) -> DataFrame:
+    """rows with longs that hold a bit for each word of a column, by its hash; words may share a bit."""
+    hashed = rows.withColumn("_h", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * len(names))).cast("int")))
+    mine = lambda k: F.filter("_h", lambda h: (h >= 64 * k) & (h < 64 * (k + 1)))
+    bits = {name: F.aggregate(mine(k), F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h))) for k, name in enumerate(names)}
+    return hashed.withColumns(bits).drop("_h")
+
+
+def most_common(a: list[str], b: list[str], n: Column, m: Column) -> Column:
+    """Words that two sets of n and m different words share at most: a bit that only one of them has is a word that the other lacks."""
+    alone = lambda x, y: sum((F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q)))) for p, q in zip(x, y)), F.lit(0))
+    return F.least(n - alone(a, b), m - alone(b, a))
+
+
 def common_tokens(a: Column, b: Column) -> Column:
     return F.array_intersect(a, b)
 
