@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import catalogue, catalogue_more, catalogue_rules
 from broadsheet.functions import facts, text
-from broadsheet.operators import clusters, findings
+from broadsheet.operators import clusters, findings, ranking
 from broadsheet.session import written
 from broadsheet.sources import registry
 
@@ -128,3 +128,12 @@ def test_titles_of_common_words_are_no_candidates(spark):
     want = {(a, b) for a in t for b in t if a < b and near(t[a], t[b])}
     got = {(r["a"], r["b"]) for r in clusters.near_candidates(items).collect()}
     assert want <= got and len(got) < len(want) + 0.35 * (200 * 199 / 2 - len(want)), (len(want), len(got))
+
+
+def test_titles_of_the_same_words_are_compared_once(spark):
+    rows = [(k, ["alpha", "beta", "gamma"] if k < 30 else ["alpha", "beta", f"w{k}"] if k < 40 else [f"x{k}"]) for k in range(45)]
+    df = spark.createDataFrame(rows, "id long, unigrams array<string>")
+    found = ranking.repeated_titles(df, df.withColumnRenamed("id", "title_id"))
+    got = sorted((int(r["id"]), int(r["title_id"]), round(r["dice"], 6)) for r in found.collect())
+    sim = lambda a, b: 2 * len(set(a) & set(b)) / (len(a) + len(b))
+    assert got == sorted((i, j, round(sim(a, b), 6)) for i, a in rows for j, b in rows if sim(a, b) >= 0.45)
