@@ -84,12 +84,13 @@ class WordEncoder:
     def learn(self, words: list[str]) -> None:
         """Plain Latin words are split as the tokenizer splits them, and their parts looked up; others it encodes whole."""
         whole, parted, parts, split = [], [], set(), self.parts.findall
-        single = []
+        single, lower = [], []
         for w in words:
             # below U+0130 each letter is composed already and has a lower case of one letter
             if w.isascii() or max(w) < "İ":
                 if w.isalpha():
-                    single.append((w, w.lower()))
+                    single.append(w)
+                    lower.append(w.lower())
                     continue
                 if "<|" not in w:
                     text = w.lower()
@@ -99,39 +100,37 @@ class WordEncoder:
                     parts.update(own)
                     continue
             whole.append(w)
-        parts.update([p for _, p in single])
+        parts.update(lower)
         new = sorted(self.pieces.lacks(parts))
         self.pieces.update(zip(new, self._encode_parts(new)))
         get = self.pieces.__getitem__
-        self.words.update([(w, get(p)) for w, p in single])
+        self.words.update(zip(single, map(get, lower)))
         self.words.update([(w, b"".join(map(get, own))) for w, own in parted])
         self.words.update(zip(whole, (ids.tobytes() for ids in self._encode(whole))))
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all whole texts in one row, and where each text's begin (and the last's end); null counts as empty.
 
-        Only the different words are looked at one by one; a text's ids are gathered by its words' numbers.
+        Only the different words are looked at one by one; a text's ids are put together by its words' numbers.
         """
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # makes no scalar of each
         collects = gc.isenabled()
         gc.disable()  # none of the many lists and tuples here is a cycle
         try:
             self.learn(self.words.lacks(filter(None, words)))  # white space at the ends leaves an empty word
-            known = [self.words[w] if w else b"" for w in words]
+            known = pa.array([self.words[w] if w else b"" for w in words], pa.large_binary())
         finally:
             if collects:
                 gc.enable()
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
-        codes = coded.indices.to_numpy()
-        n = size[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(first[codes] - ends[:-1], n)
-        at += np.arange(len(at))
+        # Arrow copies the ids of each word to its places: its buffer is the row of ids, its offsets are where words end
+        told = known.take(coded.indices)
+        _, at, data = told.buffers()
+        ends = np.frombuffer(at, np.int64, len(told) + 1) // 4 if len(told) else np.zeros(1, dtype=np.int64)
+        ids = np.frombuffer(data, "<u4", ends[-1]) if ends[-1] else np.zeros(0, dtype="<u4")
         offsets = split.offsets.to_numpy()
-        return pool[at], ends[offsets - offsets[0]]
+        return ids, ends[offsets - offsets[0]]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each whole text; null counts as empty."""
