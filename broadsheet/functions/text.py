@@ -157,13 +157,21 @@ def _composing() -> str:
 
 
 _COMPATIBLE, _COMPOSING = _compatible(), _composing()
+_ONE = {c: form for c, form in _COMPATIBLE.items() if len(form) == 1}
+_MANY = {c: form for c, form in _COMPATIBLE.items() if len(form) > 1}
 
 
 def _token_form(title: Column) -> Column:
-    """What composition changes in the ASCII words of a title, without leaving the JVM; other letters don't become words."""
-    table = F.create_map(*[F.lit(x) for kv in _COMPATIBLE.items() for x in kv])
-    mapped = F.array_join(F.transform(F.split(title, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    return F.when(title.rlike(r"[^\x00-\x7F]"), F.regexp_replace(mapped, _COMPOSING, "\u00e9")).otherwise(title)
+    """What composition changes in the ASCII words of a title, without leaving the JVM; other letters don't become words.
+
+    A form of one character is exchanged for its own; characters of longer forms are looked up only where a title has one.
+    """
+    table = F.create_map(*[F.lit(x) for kv in _MANY.items() for x in kv])
+    longer = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    one = F.translate(title, "".join(_ONE), "".join(_ONE.values()))
+    many = bound(one, lambda t: F.when(t.rlike(f"[{''.join(_MANY)}]"), longer(t)).otherwise(t))
+    composed = bound(many, lambda t: F.when(t.rlike("[\u0300-\u036f]"), F.regexp_replace(t, _COMPOSING, "\u00e9")).otherwise(t))
+    return F.when(title.rlike(r"[^\x00-\x7F]"), composed).otherwise(title)
 
 
 def normalized_title(title: Column) -> Column:

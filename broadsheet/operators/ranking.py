@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import constants as K
-from broadsheet.functions.similarity import bit_names, most_common, with_bits
 from broadsheet.functions.text import bound, title_tokens
-from broadsheet.session import written
+from broadsheet.operators import alike
 
 
 def recency(published_at: Column, reference: Column, half_life: float = K.HALF_LIFE_HOURS) -> Column:
@@ -62,37 +61,19 @@ REPEATED = 0.45
 def repeated_titles(candidates: DataFrame, recent: DataFrame, least: float = REPEATED) -> DataFrame:
     """candidates(id, unigrams) and recent(title_id, unigrams) -> id, title_id, dice of the pairs with dice >= least.
 
-    Words of both are ordered from rare to common. Titles of n and m words that are so alike share least / 2 * (n + m) words,
-    and m is n / least * (2 - least) at most: so they share one of the first words of both, and only these meet; what
-    the places of the word leave possible is asked of each hit before titles are compared. A word that half of all titles
-    have is hardly ever among the first. Titles of the same words are looked up and compared once; titles travel with bits of
-    their words, so that a pair that can't be alike is no row. Titles without words are alike.
+    Blocks of titles meet in tasks (see alike.dice_rows); titles of the same words are compared once a meeting. Titles without
+    words are alike.
     """
-    share = least / (2 - least)
     both = candidates.select(F.col("id").cast("string").alias("key"), F.lit(0).alias("side"), "unigrams").unionByName(recent.select(F.col("title_id").cast("string").alias("key"), F.lit(1).alias("side"), "unigrams"))
-    both = both.withColumn("n", F.size("unigrams"))
-    words = both.filter("n > 0").select("side", "key", "n", F.explode("unigrams").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(counts, "word").groupBy("side", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("ws"))
-    ranked = written(ranked.withColumn("h", F.xxhash64("ws")), "repeated-words")
-    bits = bit_names("u", 8)
-    sets = written(with_bits(ranked.groupBy("side", "h", "n", "ws").agg(F.min("key").alias("set")), "ws", bits), "repeated-sets")
-    of = written(ranked.join(sets.select("side", "h", "ws", "set"), ["side", "h", "ws"]).select("side", "key", "set"), "repeated-members")
-    prefix = F.transform(F.slice("ws", F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1), lambda w: F.xxhash64(w))
-    first = lambda side: sets.filter(F.col("side") == side).select("set", "n", *bits, F.posexplode(prefix).alias("i", "word"))
-    hits = first(0).join(first(1).select(F.col("set").alias("other"), F.col("n").alias("m"), *[F.col(b).alias(f"o{b}") for b in bits], F.col("i").alias("j"), "word"), "word")
-    enough = least * (F.col("n") + F.col("m")) - 1e-9
-    possible = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    hits = hits.filter((2 * possible >= enough) & (2 * most_common(bits, [f"o{b}" for b in bits], F.col("n"), F.col("m")) >= enough)).select("set", "other").distinct()
-    side = lambda k, name: sets.filter(F.col("side") == k).select(F.col("set").alias(name), F.col("ws").alias(f"{name}_ws"))
-    met = hits.join(side(0, "set"), "set").join(side(1, "other"), "other")
-    dice = 2.0 * F.size(F.array_intersect("set_ws", "other_ws")) / (F.size("set_ws") + F.size("other_ws"))
-    alike = met.select("set", "other", dice.alias("dice")).filter(F.col("dice") >= least)
-    members = lambda k, name, key: of.filter(F.col("side") == k).select(F.col("set").alias(name), F.col("key").alias(key))
-    alike = alike.withColumnRenamed("other", "other_set").join(members(0, "set", "key"), "set").join(members(1, "other_set", "other"), "other_set").select("key", "other", "dice")
-    bare = both.filter("n = 0")
+    found = alike.dice_rows(both, least)
+    bare = both.filter(F.size("unigrams") == 0)
     none = bare.filter("side = 0").select("key").crossJoin(F.broadcast(bare.filter("side = 1").agg(F.min("key").alias("other")).filter("other IS NOT NULL"))).withColumn("dice", F.lit(1.0))
-    return alike.unionByName(none).select(F.col("key").alias("id"), F.col("other").alias("title_id"), "dice")
+    return found.unionByName(none.select(F.col("key").alias("id"), F.col("other").alias("title_id"), "dice"))
+
+
+def titles_of_others(titles: DataFrame, least: float = REPEATED) -> DataFrame:
+    """titles(id, unigrams) -> id, title_id, dice of each with each other one that is so alike; those without words are left out."""
+    return alike.dice_rows(titles.select(F.col("id").alias("key"), F.lit(0).alias("side"), "unigrams"), least, itself=True)
 
 
 def repetition_penalties(candidates: DataFrame, recent: DataFrame) -> DataFrame:
