@@ -194,10 +194,8 @@ _SIMILARITY_SQL = f"""
         SELECT a, b, round(score, 6) AS score, common::INT AS common FROM scored WHERE common >= least({K.NEAR_TOKENS}, na, nb) AND score >= {K.NEAR_SCORE} AND NOT (na = 0 AND nb = 0)""",
 )
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = C.with_tokens(items_of(spark, sf_dir)).withColumn("node", F.col("doc_id")).filter(F.size("tokens.unigrams") > 0)
-    # whole texts are titles here: their words are found once, and read by each step
-    found = C.near_pairs(written(items.select("node", "source_id", "guid", "url", "content_hash", "published_at", F.col("tokens").dropFields("raw", "normalized", "significant").alias("tokens")), "near-items"))
-    return found.select("a", "b", F.round("score", 6).alias("score"), "common")
+    items = C.with_tokens(items_of(spark, sf_dir)).withColumn("node", F.col("doc_id"))
+    return C.near_pairs(items, bare=False).select("a", "b", F.round("score", 6).alias("score"), "common")
 
 
 def _keyed_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,13 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: an iteration's next round starts from files, not from its past.
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written to the shared folder and read back: an iteration's next round starts from files, not from its past. by:
+    columns that have a folder for each value.
 
     Files of repeated words are a small part of what they hold, and less of what is exploded from them: by their size Spark
     would take tables into the driver to broadcast them. So joins of what is read back are by sorted keys, if no broadcast is
     asked for.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
